@@ -110,4 +110,4 @@ def walk(bins: Column, feature: Column, cut: Column, depth: int) -> Column:
 
 def shown(c: Column, digits: int) -> Column:
     """Number as text with a fixed number of digits, N/A if missing."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c)).otherwise("N/A")

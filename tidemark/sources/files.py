@@ -96,7 +96,7 @@ def load_results(spark: SparkSession, paths: list[str]) -> DataFrame:
             continue
         df = spark.read.option("header", True).option("inferSchema", True).csv(path)
         df = first_alias(first_alias(df, TIME_NAMES, "time_s"), MEMORY_NAMES, "memory_mb")
-        df = df.drop(*[c for c in (*TIME_NAMES, *MEMORY_NAMES) if c not in ("time_s", "memory_mb")])
+        df = df.drop(*[c for c in (*TIME_NAMES, *MEMORY_NAMES) if c in df.columns and c not in ("time_s", "memory_mb")])
         df = df.withColumnRenamed("Valid updates", "valid_updates")
         df = df.withColumns({"library": library_of(F.lit(stem)), "task": task_of(F.lit(stem))})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
