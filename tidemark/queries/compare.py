@@ -196,7 +196,7 @@ def best_all_sql(metrics, where):
     parts = " UNION ALL ".join(f"SELECT dataset, library, model, '{m}' AS metric, {m} AS value FROM runs WHERE {where} AND {m} IS NOT NULL" for m in metrics)
     small = ", ".join(f"'{m}'" for m in sorted(cmp.SMALLER_IS_BETTER))
     return f"""SELECT metric, dataset, library, model, snap(value, 6) AS value FROM (
-  SELECT *, rank() OVER (PARTITION BY metric, dataset ORDER BY ((CASE WHEN metric IN ({small}) THEN 1 ELSE -1 END) * value)::REAL AS r
+  SELECT *, rank() OVER (PARTITION BY metric, dataset ORDER BY ((CASE WHEN metric IN ({small}) THEN 1 ELSE -1 END) * value)::REAL) AS r
   FROM (SELECT metric, dataset, library, model, avg(value) AS value FROM ({parts}) GROUP BY ALL)) WHERE r = 1"""
 
 

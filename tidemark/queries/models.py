@@ -1 +1,256 @@
+"""Models: exact prefix models first, then block models, fleets, trees and ensembles."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import anomaly, drift, experts
+from tidemark.operators.baselines import baseline_classifiers, baseline_regressors, class_list
+from tidemark.operators.bayes import gaussian_nb
+from tidemark.operators.neighbours import knn_class, knn_mean, nearest, neighbour_pairs
+from tidemark.queries import sql
+from tidemark.queries.quality import CLS_OUT, shown_classification
+from tidemark.queries.registry import query, snap
+from tidemark.queries.sql import BEFORE, EV, EMB, ORD, with_
+from tidemark.sources.tables import stream
+
+# ---------------------------------------------------------------- naive Bayes
+
+
+def nb_sql(src, y, features, name="nb"):
+    parts = " ".join(
+        f"""- 0.5 * ln(2 * pi() * greatest(v_{f}, 1e-9)) - ({f} - m_{f}) * ({f} - m_{f}) / (2 * greatest(v_{f}, 1e-9))""" for f in features
+    )
+    stats = ", ".join(
+        f"avg(s.{f}) FILTER (WHERE s.{y} = lb.c) OVER w AS m_{f}, var_pop(s.{f}) FILTER (WHERE s.{y} = lb.c) OVER w AS v_{f}" for f in features
+    )
+    cols = ", ".join(f"s.{f}" for f in features)
+    return f"""lb AS (SELECT DISTINCT {y} AS c FROM {src}),
+{name}_st AS (SELECT s.step, lb.c, {cols}, count(*) FILTER (WHERE s.{y} = lb.c) OVER w AS cn, {stats} FROM {src} s, lb
+  WINDOW w AS (PARTITION BY lb.c ORDER BY s.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_sc AS (SELECT step, c, ln(cn / (step - 1)) {parts} AS score FROM {name}_st WHERE cn > 0),
+{name} AS (SELECT step, c AS pred FROM {name}_sc QUALIFY row_number() OVER (PARTITION BY step ORDER BY score DESC, c) = 1)"""
+
+
+NB = nb_sql("ev", "event_type", ("value", "hour", "k"))
+
+
+@query("k3_naive_bayes", with_(EV, NB) + "SELECT ev.step, ev.event_type AS y, nb.pred FROM ev LEFT JOIN nb ON nb.step = ev.step")
+def k3_naive_bayes(spark, d):
+    st = stream(spark, d, "ev_multi")
+    out = gaussian_nb(st, class_list(st), ["value", "hour", "k"])
+    return out.select("step", F.col("event_type").alias("y"), F.col("naive_bayes").alias("pred"))
+
+
+@query(
+    "k3_naive_bayes_checkpoints",
+    with_(
+        ORD, sql.sized("ord", "floor"), nb_sql("ord", "o_orderstatus", ("o_totalprice", "month", "priority")),
+        "preds AS (SELECT ord.step, o_orderstatus AS y, 'naive_bayes' AS model, nb.pred FROM ord LEFT JOIN nb ON nb.step = ord.step)",
+        sql.classification_checkpoints("preds", "floor", "F"),
+    )
+    + CLS_OUT,
+)
+def k3_naive_bayes_checkpoints(spark, d):
+    from tidemark.operators.metrics import classification_checkpoints, long_predictions
+
+    st = stream(spark, d, "ord_multi")
+    out = gaussian_nb(st, class_list(st), ["o_totalprice", "month", "priority"])
+    preds = long_predictions(out, ["naive_bayes"], st.target)
+    return shown_classification(classification_checkpoints(preds, st.n, "floor", positive="F"))
+
+
+# ---------------------------------------------------------------- neighbours
+
+NEAR = """near AS (
+  SELECT t.step, c.step AS neighbour, c.{y} AS y, sqrt({d}) AS distance,
+         row_number() OVER (PARTITION BY t.step ORDER BY {d}, c.step DESC) AS position
+  FROM {src} t JOIN {src} c ON c.step < t.step AND c.step >= t.step - {w} QUALIFY position <= {k})"""
+EV_DIST = "(t.value - c.value) * (t.value - c.value) + (t.hour - c.hour) * (t.hour - c.hour) + (t.k - c.k) * (t.k - c.k)"
+ORD_DIST = "(t.month - c.month) * (t.month - c.month) + (t.priority - c.priority) * (t.priority - c.priority) + (t.state - c.state) * (t.state - c.state)"
+EV_NEAR = NEAR.format(src="ev", y="event_type", d=EV_DIST, w=200, k=5)
+ORD_NEAR = NEAR.format(src="ord", y="o_totalprice", d=ORD_DIST, w=200, k=5)
+
+
+def vote_sql(weight, src="ev", y="event_type"):
+    return f"""v AS (SELECT step, y, sum({weight}) AS w FROM near GROUP BY step, y),
+p AS (SELECT step, y AS pred FROM v QUALIFY row_number() OVER (PARTITION BY step ORDER BY w DESC, y) = 1)
+SELECT s.step, s.{y} AS y, p.pred FROM {src} s LEFT JOIN p ON p.step = s.step"""
+
+
+def _ev_near(spark, d):
+    st = stream(spark, d, "ev_multi")
+    return st, nearest(st, ["value", "hour", "k"], 5, 200)
+
+
+def _voted(spark, d, weighted):
+    st, found = _ev_near(spark, d)
+    out = knn_class(found, class_list(st), weighted).select("step", F.col("knn").alias("pred"))
+    return st.df.select("step", F.col("event_type").alias("y")).join(out, "step")
+
+
+@query("k5_knn", with_(EV, EV_NEAR, vote_sql("1.0")))
+def k5_knn(spark, d):
+    return _voted(spark, d, False)
+
+
+@query("k6_weighted_knn", with_(EV, EV_NEAR, vote_sql("1.0 / (distance + 1e-9)")))
+def k6_weighted_knn(spark, d):
+    return _voted(spark, d, True)
+
+
+@query(
+    "r6_knn_regressor",
+    with_(ORD, ORD_NEAR) + "SELECT ord.step, snap(coalesce(avg(near.y), 0.0), 4) AS pred FROM ord LEFT JOIN near ON near.step = ord.step GROUP BY ord.step",
+)
+def r6_knn_regressor(spark, d):
+    st = stream(spark, d, "ord_reg")
+    found = nearest(st, ["month", "priority", "state"], 5, 200)
+    return knn_mean(found).select("step", snap("knn", 4).alias("pred"))
+
+
+EMB_NEAR = """pairs AS (
+  SELECT t.step, c.step AS neighbour, c.label AS y,
+         list_sum(list_transform(list_zip(t.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS dd
+  FROM emb t JOIN emb c ON c.step < t.step AND c.step >= t.step - 1000),
+near AS (SELECT step, neighbour, y, sqrt(dd) AS distance, CAST(row_number() OVER (PARTITION BY step ORDER BY dd, neighbour DESC) AS INTEGER) AS position FROM pairs QUALIFY position <= 5)"""
+
+
+@query("j7_neighbour_pairs", with_(EMB, EMB_NEAR) + "SELECT step, position, neighbour, snap(distance, 6) AS distance, y FROM near")
+def j7_neighbour_pairs(spark, d):
+    out = neighbour_pairs(stream(spark, d, "emb_multi"), ["embedding"], 5, 1000)
+    return out.select("step", "position", "neighbour", snap("distance", 6).alias("distance"), "y")
+
+
+@query("t4_k_nearest", with_(ORD, ORD_NEAR) + "SELECT step, CAST(max(neighbour) AS BIGINT) AS latest, count(*) AS found, snap(max(distance), 6) AS farthest FROM near GROUP BY step")
+def t4_k_nearest(spark, d):
+    found = nearest(stream(spark, d, "ord_reg"), ["month", "priority", "state"], 5, 200).filter(F.size("neighbours") > 0)
+    return found.select(
+        "step", F.array_max("neighbours.step").alias("latest"), F.size("neighbours").cast("long").alias("found"),
+        snap(F.array_max("neighbours.distance"), 6).alias("farthest"),
+    )
+
+
+# ---------------------------------------------------------------- experts and drift
+
+
+@query(
+    "e6_voting",
+    with_(EV, NB, sql.classifiers("ev", "event_type"),
+          "allp AS (SELECT step, pred FROM preds UNION ALL SELECT step, pred FROM nb)",
+          "v AS (SELECT step, pred, count(*) AS n FROM allp WHERE pred IS NOT NULL GROUP BY ALL)",
+          "p AS (SELECT step, pred FROM v QUALIFY row_number() OVER (PARTITION BY step ORDER BY n DESC, pred) = 1)")
+    + "SELECT ev.step, ev.event_type AS y, p.pred FROM ev LEFT JOIN p ON p.step = ev.step",
+)
+def e6_voting(spark, d):
+    st = stream(spark, d, "ev_multi")
+    classes = class_list(st)
+    rows = gaussian_nb(st, classes, ["value", "hour", "k"], rows=baseline_classifiers(st, classes))
+    out = experts.voting(rows, ["last_class", "majority", "naive_bayes"], classes)
+    return out.select("step", F.col("event_type").alias("y"), F.col("voting").alias("pred"))
+
+
+@query(
+    "e8_exponential_weights",
+    with_(
+        EV, sql.regressors("ev", "value"), sql.fading("ev", "value"),
+        "m AS (SELECT b.step, b.y, b.mean, b.no_change, f.pred AS fading FROM base b JOIN fade f ON f.step = b.step)",
+        "l AS (SELECT *, " + ", ".join(f"coalesce(sum((y - {c}) * (y - {c})) OVER ({BEFORE}), 0.0) AS l_{c}" for c in ("mean", "fading", "no_change")) + " FROM m)",
+        "w AS (SELECT *, " + ", ".join(f"exp(-0.5 * (l_{c} - least(l_mean, l_fading, l_no_change))) AS w_{c}" for c in ("mean", "fading", "no_change")) + " FROM l)",
+    )
+    + "SELECT step, snap((w_mean * mean + w_fading * fading + w_no_change * no_change) / (w_mean + w_fading + w_no_change), 6) AS pred FROM w",
+)
+def e8_exponential_weights(spark, d):
+    st = stream(spark, d, "ev_reg")
+    out = experts.exponential_weights(st, baseline_regressors(st), ["mean", "fading", "no_change"])
+    return out.select("step", snap("ewa", 6).alias("pred"))
+
+
+@query(
+    "d1_adwin_cuts",
+    with_(
+        EV, sql.regressors("ev", "value"),
+        "b AS (SELECT model, CAST(ceil(step / 200.0) AS BIGINT) AS block, count(*) AS n, sum(abs(y - pred)) AS s, sum((y - pred) * (y - pred)) AS q FROM preds GROUP BY ALL)",
+        """c AS (SELECT model, block, sum(n) OVER w AS n0, sum(s) OVER w AS s0, sum(n) OVER p AS nt, sum(s) OVER p AS st, sum(q) OVER p AS qt FROM b
+  WINDOW w AS (PARTITION BY model ORDER BY block), p AS (PARTITION BY model))""",
+        """g AS (SELECT model, block, abs(s0 / n0 - (st - s0) / (nt - n0)) AS gap, greatest(0.0, qt / nt - (st / nt) * (st / nt)) AS var,
+  1.0::DOUBLE / (1.0::DOUBLE / n0 + 1.0::DOUBLE / (nt - n0)) AS m, ln(2.0 * ln(nt) / 0.002) AS e FROM c WHERE nt > n0)""",
+    )
+    + "SELECT model, block, snap(gap, 6) AS gap, snap(sqrt(2.0 / m * var * e) + 2.0 / (3.0 * m) * e, 6) AS bound, gap > sqrt(2.0 / m * var * e) + 2.0 / (3.0 * m) * e AS drift FROM g",
+)
+def d1_adwin_cuts(spark, d):
+    st = stream(spark, d, "ev_reg")
+    rows = baseline_regressors(st, ("mean", "no_change"))
+    parts = [rows.select("step", F.lit(m).alias("model"), F.abs(F.col("value") - F.col(m)).alias("e")) for m in ("mean", "no_change")]
+    err = parts[0].unionByName(parts[1])
+    blocks = err.groupBy("model", F.ceil(F.col("step") / 200).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q")
+    )
+    out = drift.cut_tests(blocks, ["model"])
+    return out.select("model", "block", snap("gap", 6).alias("gap"), snap("bound", 6).alias("bound"), "drift")
+
+
+# ---------------------------------------------------------------- anomaly scores
+
+MOMENTS = f"""mo AS (SELECT *, count(value) OVER ({BEFORE}) AS cn, avg(value) OVER ({BEFORE}) AS m, stddev_samp(value) OVER ({BEFORE}) AS sd FROM ev)"""
+ERF = "(1.0 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x))"
+GAUSS = f"""z AS (SELECT *, abs(value - m) / sd / sqrt(2.0) AS x FROM mo),
+ga AS (SELECT step, is_high, CASE WHEN cn >= 100 AND sd > 0 THEN {ERF} ELSE 0.0 END AS score FROM (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS t FROM z))"""
+
+
+@query("n1_gaussian_scorer", with_(EV, MOMENTS, GAUSS) + "SELECT step, snap(score, 6) AS score FROM ga")
+def n1_gaussian_scorer(spark, d):
+    return anomaly.gaussian_scorer(stream(spark, d, "ev_anom"), "value").select("step", snap("gaussian", 6).alias("score"))
+
+
+@query("n2_absolute_deviation", with_(EV, MOMENTS) + "SELECT step, snap(coalesce(abs(value - m) / (sd + 1e-10), 0.0), 6) AS score FROM mo")
+def n2_absolute_deviation(spark, d):
+    return anomaly.absolute_deviation(stream(spark, d, "ev_anom"), "value").select("step", snap("deviation", 6).alias("score"))
+
+
+PREDICTIVE = f"""er AS (SELECT step, abs(y - pred) AS e FROM preds WHERE model = 'mean'),
+pm AS (SELECT step, e, count(*) OVER ({BEFORE}) AS cn, avg(e) OVER ({BEFORE}) AS m, stddev_pop(e) OVER ({BEFORE}) AS sd FROM er),
+pr AS (SELECT step, CASE WHEN cn > 0 AND m + 3 * sd > 0 THEN least(1.0, e / (m + 3 * sd)) ELSE 0.0 END AS score FROM pm)"""
+
+
+@query("n3_predictive_scorer", with_(EV, sql.regressors("ev", "value"), PREDICTIVE) + "SELECT step, snap(score, 6) AS score FROM pr")
+def n3_predictive_scorer(spark, d):
+    st = stream(spark, d, "ev_reg")
+    out = anomaly.predictive_scorer(st, baseline_regressors(st, ("mean",)), "mean")
+    return out.select("step", snap("predictive", 6).alias("score"))
+
+
+HST_FEATURES = {"value": (0.0, 500.0), "k": (0.0, 100.0), "hour": (0.0, 24.0)}
+
+
+def hst_sql(height=8, trees=10, window=250):
+    feature, cut = anomaly.half_space_trees(trees, height, len(HST_FEATURES))
+    scaled = ", ".join(f"({c} - {lo}) / ({hi} - {lo})" for c, (lo, hi) in HST_FEATURES.items())
+    rows = ", ".join(f"({t}, {[int(v) for v in feature[t]]}, {[float(v) for v in cut[t]]}::DOUBLE[])" for t in range(trees))
+    ctes = [f"x AS (SELECT step, CAST((step - 1) // {window} AS BIGINT) AS blk, [{scaled}] AS v FROM ev)",
+            f"tr(t, fs, cs) AS (VALUES {rows})",
+            "d0 AS (SELECT step, blk, v, t, fs, cs, 0 AS node FROM x, tr)"]
+    for h in range(height):
+        ctes.append(f"d{h + 1} AS (SELECT step, blk, v, t, fs, cs, 2 * node + CASE WHEN v[fs[node + 1] + 1] >= cs[node + 1] THEN 2 ELSE 1 END AS node FROM d{h})")
+    ctes.append("nodes AS (" + " UNION ALL ".join(f"SELECT step, blk, t, {h} AS depth, node FROM d{h}" for h in range(height + 1)) + ")")
+    ctes.append("mass AS (SELECT blk + 1 AS blk, t, node, count(*) AS m FROM nodes GROUP BY ALL)")
+    ctes.append("seen AS (SELECT n.step, n.t, n.depth, coalesce(m.m, 0) AS m FROM nodes n LEFT JOIN mass m ON m.blk = n.blk AND m.t = n.t AND m.node = n.node)")
+    ctes.append(f"open AS (SELECT step, m * power(2, depth) AS s, coalesce(min(m) OVER (PARTITION BY step, t ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {window}) >= {0.1 * window} AS o FROM seen)")
+    return with_(EV, *ctes) + f"SELECT step, snap(1.0 - coalesce(sum(s) FILTER (WHERE o), 0) / {trees * window * (2.0 ** (height + 1) - 1)}, 9) AS score FROM open GROUP BY step"
+
+
+@query("n4_half_space_trees", hst_sql())
+def n4_half_space_trees(spark, d):
+    out = anomaly.half_space_scores(stream(spark, d, "ev_multi"), HST_FEATURES)
+    return out.select("step", snap("score", 9).alias("score"))
+
+
+@query(
+    "n10_anomaly_checkpoints",
+    with_(EV, sql.sized("ev", "floor"), MOMENTS, GAUSS, "preds AS (SELECT step, is_high AS y, 'gaussian' AS model, CAST(score > 0.5 AS INTEGER) AS pred FROM ga)",
+          sql.classification_checkpoints("preds", "floor")) + CLS_OUT,
+)
+def n10_anomaly_checkpoints(spark, d):
+    st = stream(spark, d, "ev_anom")
+    scores = anomaly.gaussian_scorer(st, "value")
+    return shown_classification(anomaly.evaluate(scores, st.n, "gaussian", "is_high"))
