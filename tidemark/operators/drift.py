@@ -41,15 +41,15 @@ class BlockAdwin:
         self.delta, self.window = delta, []
 
     def add(self, n: float, s: float, q: float) -> bool:
-        """Add one block; True if the window shrank."""
+        """Add one block; True if the window shrank because the mean went up."""
         if n <= 0:
             return False
         self.window.append((n, s, q))
-        shrank = False
+        before, shrank = self.mean, False
         while len(self.window) > 1 and self._changed():
             self.window.pop(0)
             shrank = True
-        return shrank
+        return shrank and self.mean > before
 
     def _changed(self) -> bool:
         n, s, q = (sum(w[i] for w in self.window) for i in range(3))

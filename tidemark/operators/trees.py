@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,9 @@ from tidemark.plans.blocks import Blocks
 
 BINS = 32
 MAX_CELLS = 20_000_000
-MEMBER = "feature array<int>, cut array<int>, value array<double>, right double, wrong double, weight double"
+STATE = (
+    "members array<struct<feature:array<int>,cut:array<int>,value:array<double>,right:double,wrong:double,weight:double>>"
+)
 
 
 @dataclass
@@ -57,7 +60,7 @@ class Tree:
 
     feature: np.ndarray
     cut: np.ndarray
-    stats: np.ndarray  # per node: class counts, or (n, sum, sum of squares), or (n, gradient, hessian)
+    stats: np.ndarray  # per node: class counts, or (n, sum, sum of squares), or (n, value, -)
     hist: dict = field(default_factory=dict)  # node -> [feature, bin, output]
     drift: dict = field(default_factory=dict)  # node -> BlockAdwin
     errors: list = field(default_factory=list)
@@ -117,6 +120,7 @@ class Forest:
 
     def __init__(self, blocks: Blocks, spec: TreeSpec, features: list[str], target: Column, outputs: int = 3, edges=None) -> None:
         self.blocks, self.spec, self.features, self.target = blocks, spec, features, target
+        self.drifted: set[int] = set()
         self.outputs = outputs if spec.kind == "class" else 3
         self.edges = edges or edges_of(blocks, features)
         self.rng = np.random.default_rng(spec.seed)
@@ -140,7 +144,11 @@ class Forest:
             return np.where(s.sum(axis=1) > 0, s.argmax(axis=1), -1).astype(float)
         if self.spec.kind == "reg":
             return np.divide(s[:, 1], s[:, 0], out=np.zeros(len(s)), where=s[:, 0] > 0)
-        return -self.spec.shrink * s[:, 1] / (s[:, 2] + self.spec.ridge)
+        return s[:, 1]
+
+    def _step(self, sums: np.ndarray) -> float:
+        """Change of an additive leaf value for (n, gradient, hessian) sums."""
+        return float(-self.spec.shrink * sums[1] / (sums[2] + self.spec.ridge))
 
     def state(self) -> dict:
         """The members as they enter the state table; factors of boosting are those of the blocks before."""
@@ -156,41 +164,48 @@ class Forest:
 
     # ------------------------------------------------------------ expressions
 
-    def routed(self, rows: DataFrame) -> DataFrame:
-        """Add ``_leaf`` and ``_value`` (one entry per member)."""
+    @cached_property
+    def _route(self) -> dict[str, Column]:
         depth = self.spec.depth
-        rows = rows.withColumn("_leaf", F.transform("members", lambda m: walk(F.col("_bins"), m["feature"], m["cut"], depth)))
         value = F.zip_with("members", "_leaf", lambda m, leaf: F.get(m["value"], leaf))
-        return rows.withColumn("_value", value)
+        return {"_leaf": F.transform("members", lambda m: walk(F.col("_bins"), m["feature"], m["cut"], depth)), "_value": value}
 
-    def payload(self, rows: DataFrame) -> DataFrame:
-        """Add ``_pay``: per member (member, leaf, w, a, b) as the histograms need it."""
-        spec, y = self.spec, self.target.cast("double")
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """Add ``_leaf`` and ``_value`` (one entry per member)."""
+        for name, column in self._route.items():
+            rows = rows.withColumn(name, column)
+        return rows
+
+    @cached_property
+    def _pay(self) -> list[dict[str, Column]]:
+        """Columns that lead to ``_pay``: per member (member, leaf, w, a, b) as the histograms need it."""
+        spec, y = self.spec, F.col("_y")
         index = F.sequence(F.lit(0), F.lit(spec.members - 1))
-        rows = rows.withColumn("_y", y)
-        if spec.rate > 0:
-            draw = lambda m: poisson_weight(uniform(F.lit(spec.seed), m, F.col("step")), spec.rate)
-            rows = rows.withColumn("_w", F.transform(index, draw))
-        else:
-            rows = rows.withColumn("_w", F.array_repeat(F.lit(1.0), spec.members))
+        ones = F.array_repeat(F.lit(1.0), spec.members)
+        draw = lambda m: poisson_weight(uniform(F.lit(spec.seed), m, F.col("step")), spec.rate)
+        steps = [{"_y": self.target.cast("double"), "_w": F.transform(index, draw) if spec.rate > 0 else ones}]
         if spec.boost:
-            rows = rows.withColumn("_w", self._boosted())
+            steps.append({"_w": self._boosted()})
         if spec.kind == "gradient":
             # score before member m = sum of the values of members before m
             before = lambda m: F.aggregate(F.slice(F.col("_value"), F.lit(1), m), F.lit(0.0), lambda a, v: a + v)
-            rows = rows.withColumn("_f", F.transform(index, before))
+            steps.append({"_f": F.transform(index, before)})
+            p = lambda f: 1.0 / (1.0 + F.exp(-f))
             if spec.log_loss:
-                p = lambda f: 1.0 / (1.0 + F.exp(-f))
-                rows = rows.withColumns(
-                    {"_a": F.transform("_f", lambda f: p(f) - F.col("_y")), "_b": F.transform("_f", lambda f: p(f) * (1.0 - p(f)))}
-                )
+                steps.append({"_a": F.transform("_f", lambda f: p(f) - y), "_b": F.transform("_f", lambda f: p(f) * (1.0 - p(f)))})
             else:
-                rows = rows.withColumns({"_a": F.transform("_f", lambda f: f - F.col("_y")), "_b": F.array_repeat(F.lit(1.0), spec.members)})
+                steps.append({"_a": F.transform("_f", lambda f: f - y), "_b": ones})
         elif spec.kind == "reg":
-            rows = rows.withColumns({"_a": F.transform("_w", lambda w: w * F.col("_y")), "_b": F.transform("_w", lambda w: w * F.col("_y") * F.col("_y"))})
+            steps.append({"_a": F.transform("_w", lambda w: w * y), "_b": F.transform("_w", lambda w: w * y * y)})
         else:
-            rows = rows.withColumns({"_a": F.col("_w"), "_b": F.col("_w")})
-        return rows.withColumn("_pay", F.arrays_zip(index.alias("m"), F.col("_leaf"), F.col("_w"), F.col("_a"), F.col("_b"), F.col("_value")))
+            steps.append({"_a": F.col("_w"), "_b": F.col("_w")})
+        steps.append({"_pay": F.arrays_zip(index.alias("m"), *[F.col(c) for c in ("_leaf", "_w", "_a", "_b")])})
+        return steps
+
+    def payload(self, rows: DataFrame) -> DataFrame:
+        for columns in self._pay:
+            rows = rows.withColumns(columns)
+        return rows
 
     def _boosted(self) -> Column:
         """Row weights passed from member to member: up after a wrong prediction, down after a right one."""
@@ -249,12 +264,10 @@ class Forest:
     def fit(self, learn: DataFrame | None = None) -> list[dict]:
         """States before each block. ``learn`` gives other rows to learn from (default: the stream itself)."""
         blocks = self.blocks
-        rows = blocks.stream.df if learn is None else learn
+        rows = binned(blocks.stream.df if learn is None else learn, self.features, self.edges)
         states = [self.state()]
         for b in range(1, blocks.used):
-            here = binned(blocks.rows(b, rows), self.features, self.edges).withColumn("block", F.lit(b))
-            state = here.sparkSession.createDataFrame([{"block": b, **states[-1]}], f"block int, members array<struct<{_struct(MEMBER)}>>")
-            here = here.join(F.broadcast(state), "block")
+            here = blocks.with_state(states, STATE, blocks.rows(b, rows))
             self.learn(self.histograms(self.payload(self.routed(here))))
             states.append(self.state())
         return states
@@ -262,7 +275,7 @@ class Forest:
     def score(self, states: list[dict], rows: DataFrame | None = None) -> DataFrame:
         """All rows with a prediction column, each from the state before its block."""
         rows = binned(self.blocks.stream.df if rows is None else rows, self.features, self.edges)
-        out = self.routed(self.blocks.with_state(states, f"members array<struct<{_struct(MEMBER)}>>", rows))
+        out = self.routed(self.blocks.with_state(states, STATE, rows))
         return out.withColumn(self.spec.name, self.prediction()).drop("_bins", "_leaf", "_value", "members", "block")
 
     def run(self, learn: DataFrame | None = None) -> DataFrame:
@@ -286,7 +299,7 @@ class Forest:
                 node = int(leaf)
                 if spec.kind == "gradient":
                     tree.hist[node] = h  # gradients age with the model, so only the block itself counts
-                    tree.stats[node] += h[0].sum(axis=0)
+                    tree.stats[node, :2] += (h[0, :, 0].sum(), self._step(h[0].sum(axis=0)))
                 else:
                     tree.hist[node] = tree.hist.get(node, 0) + h
                     tree.stats[node] += h[0].sum(axis=0)
@@ -325,7 +338,6 @@ class Forest:
         elif self.spec.vote == "decay":
             self.weight[i] = max(1e-3, self.weight[i] * 0.5 ** (error / total > 1 - 1 / max(self.outputs, 2)))
         if self.spec.reset:
-            self.drifted = getattr(self, "drifted", set())
             if self.adwin[i].add(total, error, sq.sum()):
                 self.drifted.add(i)
         if self.spec.prune:
@@ -414,13 +426,16 @@ class Forest:
             tree.feature[node], tree.cut[node] = f, cut
             left = h[f][: cut + 1].sum(axis=0)
             right = h[f][cut + 1 :].sum(axis=0)
+            if spec.kind == "gradient":
+                base = tree.stats[node, 1] - self._step(h[f].sum(axis=0))
+                left, right = ((side[0], base + self._step(side), 0.0) for side in (left, right))
             tree.stats[2 * node + 1], tree.stats[2 * node + 2] = left, right
             tree.stats[node] = 0 if spec.prune or spec.revisit else tree.stats[node]
             if not spec.revisit:
                 tree.hist.pop(node, None)
 
     def _restart(self) -> None:
-        drifted = getattr(self, "drifted", set())
+        drifted = self.drifted
         if not drifted:
             return
         if self.spec.reset == "worst":
@@ -432,6 +447,3 @@ class Forest:
             self.right[i] = self.wrong[i] = 0.0
         self.drifted = set()
 
-
-def _struct(fields: str) -> str:
-    return ", ".join(p.strip().replace(" ", ":", 1) for p in fields.split(","))

@@ -36,8 +36,7 @@ class Blocks:
         return F.ceil(F.col("step") / self.size).cast("int")
 
     def rows(self, b: int, df: DataFrame | None = None) -> DataFrame:
-        df = self.stream.df if df is None else df
-        return df.filter(F.col("step").between((b - 1) * self.size + 1, b * self.size))
+        return self.stream.between((b - 1) * self.size + 1, b * self.size, df)
 
     def with_state(self, states: list[dict], schema: str, rows: DataFrame | None = None) -> DataFrame:
         """Join the state before each block to its rows; ``states[b]`` is fitted on blocks 1..b.

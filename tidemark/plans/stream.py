@@ -30,6 +30,7 @@ class Stream:
     features: tuple[str, ...]
     by: tuple[str, ...] = ()
     centre: dict[str, float] = field(default_factory=dict)
+    parts: tuple[tuple[int, int], ...] = ()  # (partition, rows before it)
 
     @cached_property
     def chunk_rows(self) -> int:
@@ -44,8 +45,16 @@ class Stream:
     def chunk(self, rows: int | None = None) -> Column:
         return F.floor((F.col("step") - 1) / (rows or self.chunk_rows)).cast("long")
 
-    def with_rows(self, df: DataFrame) -> "Stream":
-        return Stream(df, self.n, self.target, self.features, self.by, self.centre)
+    def between(self, lo: int, hi: int, df: DataFrame | None = None) -> DataFrame:
+        """Rows lo..hi by step. ``step`` is computed, so the partitions that hold the rows are named as well:
+        that filter reaches the scan and skips the other files."""
+        df = self.df if df is None else df
+        df = df.filter(F.col("step").between(lo, hi))
+        if self.by or "_part" not in df.columns:
+            return df
+        ends = [before for _, before in self.parts[1:]] + [self.n]
+        hit = [p for (p, before), end in zip(self.parts, ends) if before < hi and end >= lo]
+        return df.filter(F.col("_part").between(min(hit), max(hit))) if hit else df
 
 
 def _numbered(df: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, str]:
@@ -87,8 +96,8 @@ def prepare(
     else:
         small = spark.createDataFrame(offsets, "_part int, _offset long")
         stepped = rows.join(F.broadcast(small), "_part").withColumn("step", F.col("_offset") + F.col("_pos") + 1)
-    stepped = stepped.drop("_part", "_pos", "_offset")
+    stepped = stepped.drop("_pos", "_offset")
     if by:
         starts = stepped.groupBy(*by).agg((F.min("step") - 1).alias("_start"))
-        stepped = stepped.join(starts, list(by)).withColumn("step", F.col("step") - F.col("_start")).drop("_start")
-    return Stream(stepped, total, target, tuple(features), tuple(by), centre)
+        stepped = stepped.join(starts, list(by)).withColumn("step", F.col("step") - F.col("_start")).drop("_start", "_part")
+    return Stream(stepped, total, target, tuple(features), tuple(by), centre, tuple(offsets))

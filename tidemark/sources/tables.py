@@ -117,4 +117,4 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> Stream:
         built = _prepared[key]
     if target is None:
         return built
-    return Stream(built.df, built.n, target, features, built.by, built.centre)
+    return Stream(built.df, built.n, target, features, built.by, built.centre, built.parts)
