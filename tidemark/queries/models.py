@@ -254,3 +254,303 @@ def n10_anomaly_checkpoints(spark, d):
     st = stream(spark, d, "ev_anom")
     scores = anomaly.gaussian_scorer(st, "value")
     return shown_classification(anomaly.evaluate(scores, st.n, "gaussian", "is_high"))
+
+
+# ---------------------------------------------------------------- block models (updates at block ends)
+
+from pyspark.sql import DataFrame  # noqa: E402
+
+from tidemark.operators import ensembles, isolation, linear, mondrian, replay, rules  # noqa: E402
+from tidemark.operators.linear import LinearBlock, MlpBlock, SoftmaxBlock, block_scaled  # noqa: E402
+from tidemark.operators.trees import Forest, TreeSpec  # noqa: E402
+from tidemark.plans.blocks import Blocks, run_blocks  # noqa: E402
+
+N_BLOCKS = 6
+EVF = ["value", "hour", "k"]
+REGF = ["hour", "u", "k"]
+
+
+def blocks_of(spark, d, name, count=N_BLOCKS):
+    return Blocks(stream(spark, d, name), count)
+
+
+def class_index(st):
+    classes = class_list(st)
+    pairs = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
+    return F.element_at(pairs, F.col(st.target)), classes
+
+
+def _linear(names, kind):
+    def run(spark, d) -> DataFrame:
+        blocks = blocks_of(spark, d, "ev_bin" if kind == "class" else "ev_reg", 10)
+        feats = EVF if kind == "class" else REGF
+        y = F.col("is_error" if kind == "class" else "value")
+        models = [LinearBlock(n, feats, y, **opts) for n, opts in names.items()]
+        out = run_blocks(blocks, models, block_scaled(blocks, feats))
+        return out.select("step", y.alias("y"), *[snap(n, 6).alias(n) for n in names])
+
+    return run
+
+
+query("k4_logistic_block")(_linear({"logistic": {"loss": "log", "rate": 0.5}, "logistic_slow": {"loss": "log", "rate": 0.005}}, "class"))
+query("k9_alma_block")(_linear({"alma": {"loss": "alma"}}, "class"))
+query("k10_passive_aggressive_block")(_linear({"pa": {"loss": "pa_class"}}, "class"))
+query("r4_linear_block")(
+    _linear({"plain": {}, "ridge": {"l2": 1.0}, "lasso": {"l1": 1.0}}, "reg")
+)
+query("r5_passive_aggressive_block")(_linear({"pa1": {"loss": "pa1"}, "pa2": {"loss": "pa2"}}, "reg"))
+
+
+@query("k8_softmax_block")
+def k8_softmax_block(spark, d):
+    blocks = blocks_of(spark, d, "ev_multi")
+    y, classes = class_index(blocks.stream)
+    out = run_blocks(blocks, [SoftmaxBlock("softmax", EVF, y, len(classes))], block_scaled(blocks, EVF))
+    return out.select("step", y.cast("int").alias("y"), F.col("softmax").cast("int").alias("pred"))
+
+
+@query("r16_mlp_block")
+def r16_mlp_block(spark, d):
+    blocks = blocks_of(spark, d, "ev_reg")
+    out = run_blocks(blocks, [MlpBlock("mlp", REGF, F.col("value"), rate=0.05, scale=50.0)], block_scaled(blocks, REGF))
+    return out.select("step", snap("mlp", 6).alias("pred"))
+
+
+@query(
+    "r4_normal_sums",
+    with_(ORD, "b AS (SELECT CAST(ceil(step / ceil((SELECT count(*) FROM ord) / 10.0)) AS INTEGER) AS block, * FROM ord)")
+    + "SELECT block, count(*) AS n, snap(sum(month), 2) AS sm, snap(sum(month * month), 2) AS smm, snap(sum(month * priority), 2) AS smp, snap(sum(priority * o_totalprice), 2) AS spy FROM b GROUP BY block",
+)
+def r4_normal_sums(spark, d):
+    sums = linear.product_sums(blocks_of(spark, d, "ord_reg", 10), ["month", "priority", "o_totalprice"])
+    return sums.select(
+        "block", F.col("`1*1`").cast("long").alias("n"), snap(F.col("`1*month`"), 2).alias("sm"), snap(F.col("`month*month`"), 2).alias("smm"),
+        snap(F.col("`month*priority`"), 2).alias("smp"), snap(F.col("`priority*o_totalprice`"), 2).alias("spy"),
+    )
+
+
+@query("r4_normal_equations")
+def r4_normal_equations(spark, d):
+    out = linear.normal_equations(blocks_of(spark, d, "ord_reg", 10), ["month", "priority", "state"], "o_totalprice")
+    return out.select("step", snap("least_squares", 4).alias("pred"))
+
+
+# ---------------------------------------------------------------- fleets (row by row, one model per user)
+
+
+def _fleet(names, target, feats):
+    def run(spark, d) -> DataFrame:
+        st = stream(spark, d, "ev_keyed")
+        models = {n: (lambda k, o=o: replay.OnlineLinear(k, **o)) for n, o in names.items()}
+        out = replay.replay(st, models, feats, target)
+        return out.select("user_id", "step", F.col("_y").alias("y"), *[snap(n, 6).alias(n) for n in names])
+
+    return run
+
+
+query("r4_linear_fleet")(_fleet({"plain": {}, "ridge": {"l2": 1.0}, "lasso": {"l1": 1.0}}, "value", REGF))
+query("r5_passive_aggressive_fleet")(_fleet({"pa1": {"loss": "pa1"}, "pa2": {"loss": "pa2"}}, "value", REGF))
+query("k4_logistic_fleet")(_fleet({"logistic": {"loss": "log", "rate": 0.005}}, "is_error", EVF))
+query("k9_k10_margin_fleet")(_fleet({"alma": {"loss": "alma"}, "pa": {"loss": "pa_class"}}, "is_error", EVF))
+
+
+@query("l5_all_models_fleet")
+def l5_all_models_fleet(spark, d):
+    """Every (model, stream) pair in one job: the run plan is the model list times the keys."""
+    st = stream(spark, d, "ev_keyed")
+    specs = {"plain": {}, "ridge": {"l2": 1.0}, "pa1": {"loss": "pa1"}}
+    out = replay.replay(st, {n: (lambda k, o=o: replay.OnlineLinear(k, **o)) for n, o in specs.items()}, REGF, "value")
+    aggs = [F.avg(F.abs(F.col("_y") - F.col(n))).alias(f"mae_{n}") for n in specs]
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+
+
+# ---------------------------------------------------------------- trees and ensembles
+
+CLASS_TREES = {
+    "k11_hoeffding_tree": TreeSpec("pred"),
+    "k12_efdt": TreeSpec("pred", revisit=True),
+    "k13_hoeffding_adaptive_tree": TreeSpec("pred", prune=True),
+    "k14_adaptive_random_forest": TreeSpec("pred", members=10, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
+    "k16_streaming_random_patches": TreeSpec("pred", members=10, rate=6.0, subset=2, reset="member", vote="accuracy"),
+    "e1_online_bagging": TreeSpec("pred", members=10, rate=1.0),
+    "e2_adwin_bagging": TreeSpec("pred", members=10, rate=1.0, reset="worst"),
+    "e3_leveraging_bagging": TreeSpec("pred", members=10, rate=6.0, reset="worst"),
+    "e4_oza_boost": TreeSpec("pred", members=5, rate=1.0, boost="oza", vote="log_odds"),
+    "e4_smooth_boost": TreeSpec("pred", members=5, boost="smooth"),
+    "e5_dynamic_weighted_majority": TreeSpec("pred", members=5, rate=1.0, subset=2, vote="decay"),
+}
+REG_TREES = {
+    "r7_hoeffding_tree_regressor": TreeSpec("pred", kind="reg"),
+    "r7_option_tree_regressor": TreeSpec("pred", kind="reg", members=3, subset=2),
+    "r8_hoeffding_adaptive_tree_regressor": TreeSpec("pred", kind="reg", prune=True),
+    "r9_stochastic_gradient_tree": TreeSpec("pred", kind="gradient", shrink=0.8),
+    "r10_adaptive_random_forest_regressor": TreeSpec("pred", kind="reg", members=10, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
+    "r13_streaming_random_patches_regressor": TreeSpec("pred", kind="reg", members=10, rate=6.0, subset=2, reset="member"),
+    "e1_bagging_regressor": TreeSpec("pred", kind="reg", members=10, rate=1.0, prune=True),
+    "r15_gradient_boosted_regression": TreeSpec("pred", kind="gradient", members=5, shrink=0.5),
+}
+
+
+def _class_tree(spec):
+    def run(spark, d) -> DataFrame:
+        blocks = blocks_of(spark, d, "ev_multi")
+        y, classes = class_index(blocks.stream)
+        out = Forest(blocks, spec, EVF, y, len(classes)).run()
+        return out.select("step", y.cast("int").alias("y"), F.col("pred").cast("int").alias("pred"))
+
+    return run
+
+
+def _reg_tree(spec):
+    def run(spark, d) -> DataFrame:
+        blocks = blocks_of(spark, d, "ev_reg")
+        out = Forest(blocks, spec, REGF, F.col("value")).run()
+        return out.select("step", F.col("value").alias("y"), snap("pred", 6).alias("pred"))
+
+    return run
+
+
+for _name, _spec in CLASS_TREES.items():
+    query(_name)(_class_tree(_spec))
+for _name, _spec in REG_TREES.items():
+    query(_name)(_reg_tree(_spec))
+
+
+@query("k18_gradient_boosted_trees")
+def k18_gradient_boosted_trees(spark, d):
+    blocks = blocks_of(spark, d, "ev_bin")
+    out = Forest(blocks, TreeSpec("pred", kind="gradient", members=5, shrink=0.5, log_loss=True), EVF, F.col("is_error")).run()
+    return out.select("step", F.col("is_error").alias("y"), F.col("pred").cast("int").alias("pred"))
+
+
+@query("k15_mondrian_forest")
+def k15_mondrian_forest(spark, d):
+    blocks = blocks_of(spark, d, "ev_multi")
+    y, classes = class_index(blocks.stream)
+    out = mondrian.mondrian_forest(blocks, EVF, y, len(classes))
+    return out.select("step", y.cast("int").alias("y"), F.col("mondrian").cast("int").alias("pred"))
+
+
+@query("r11_mondrian_forest_regressor")
+def r11_mondrian_forest_regressor(spark, d):
+    out = mondrian.mondrian_forest(blocks_of(spark, d, "ev_reg"), REGF, F.col("value"))
+    return out.select("step", F.col("value").alias("y"), snap("mondrian", 6).alias("pred"))
+
+
+@query("r12_model_rules")
+def r12_model_rules(spark, d):
+    out = rules.model_rules(blocks_of(spark, d, "ev_reg"), REGF, F.col("value"))
+    return out.select("step", F.col("value").alias("y"), snap("model_rules", 6).alias("pred"))
+
+
+@query("r14_nearest_leaves")
+def r14_nearest_leaves(spark, d):
+    spec = TreeSpec("pred", kind="reg", members=5, rate=6.0, leaf_subset=2)
+    out = ensembles.NearestLeaves(blocks_of(spark, d, "ev_reg"), spec, REGF, F.col("value")).run()
+    return out.select("step", F.col("value").alias("y"), snap("pred", 6).alias("pred"))
+
+
+@query("k17_oversampled_tree")
+def k17_oversampled_tree(spark, d):
+    blocks = blocks_of(spark, d, "ev_bin")
+    learn = ensembles.oversampled(blocks.stream, EVF, 1, copies=3)
+    out = Forest(blocks, TreeSpec("pred"), EVF, F.col("is_error"), 2).run(learn)
+    return out.select("step", F.col("is_error").alias("y"), F.col("pred").cast("int").alias("pred"))
+
+
+@query("k19_shrubs_classifier")
+def k19_shrubs_classifier(spark, d):
+    blocks = blocks_of(spark, d, "ev_multi")
+    y, classes = class_index(blocks.stream)
+    out = ensembles.Shrubs(blocks, TreeSpec("pred", members=4, depth=3), EVF, y, len(classes)).run()
+    return out.select("step", y.cast("int").alias("y"), F.col("pred").cast("int").alias("pred"))
+
+
+@query("k19_shrubs_regressor")
+def k19_shrubs_regressor(spark, d):
+    out = ensembles.Shrubs(blocks_of(spark, d, "ev_reg"), TreeSpec("pred", kind="reg", members=4, depth=3), REGF, F.col("value")).run()
+    return out.select("step", F.col("value").alias("y"), snap("pred", 6).alias("pred"))
+
+
+@query("e7_stacking")
+def e7_stacking(spark, d):
+    blocks = blocks_of(spark, d, "ev_multi")
+    y, classes = class_index(blocks.stream)
+    out = ensembles.stacking(blocks, EVF, classes, y)
+    return out.select("step", y.cast("int").alias("y"), F.col("stacking").cast("int").alias("pred"))
+
+
+@query("k7_two_memories")
+def k7_two_memories(spark, d):
+    out = ensembles.two_memories(blocks_of(spark, d, "ev_multi"), EVF)
+    return out.select("step", "y", F.col("sam").alias("pred"))
+
+
+# ---------------------------------------------------------------- block anomaly scorers
+
+
+@query("n5_one_class_svm_block")
+def n5_one_class_svm_block(spark, d):
+    blocks = blocks_of(spark, d, "ev_anom", 10)
+    model = LinearBlock("svm", ["value", "hour", "k"], F.col("is_high"), loss="one_class", rate=0.1, nu=0.1)
+    out = run_blocks(blocks, [model], block_scaled(blocks, ["value", "hour", "k"]))
+    return out.select("step", "is_high", snap("svm", 6).alias("score"))
+
+
+def _isolation(kind):
+    def run(spark, d) -> DataFrame:
+        out = isolation.tree_scores(blocks_of(spark, d, "ev_anom"), EVF, kind)
+        return out.select("step", snap("score", 6).alias("score"))
+
+    return run
+
+
+query("n6_isolation_forest")(_isolation("path"))
+query("n7_random_histogram_forest")(_isolation("histogram"))
+query("n8_random_cut_forest")(_isolation("displacement"))
+
+
+@query("n9_linear_autoencoder")
+def n9_linear_autoencoder(spark, d):
+    out = linear.linear_autoencoder(blocks_of(spark, d, "ev_anom", 10), EVF)
+    return out.select("step", snap("autoencoder", 6).alias("score"))
+
+
+@query("j8_state_before_block", with_(ORD, "b AS (SELECT step, o_totalprice AS y, CAST(ceil(step / ceil((SELECT count(*) FROM ord) / 10.0)) AS INTEGER) AS block FROM ord)",
+       "s AS (SELECT block, sum(sum(y)) OVER w AS sy, sum(count(*)) OVER w AS n FROM b GROUP BY block WINDOW w AS (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+       + "SELECT step, b.block, snap(coalesce(sy / n, 0.0), 4) AS pred FROM b JOIN s ON s.block = b.block")
+def j8_state_before_block(spark, d):
+    """Rows meet the state fitted on the blocks before theirs (mean target as the state)."""
+    blocks = blocks_of(spark, d, "ord_reg", 10)
+    sums = linear.product_sums(blocks, ["o_totalprice"]).orderBy("block").collect()
+    states, n, s = [], 0.0, 0.0
+    for r in sums:
+        states.append({"mean": s / n if n else 0.0})
+        n, s = n + r["1*1"], s + r["1*o_totalprice"]
+    return blocks.with_state(states, "mean double").select("step", "block", snap("mean", 4).alias("pred"))
+
+
+@query("l6_user_block_model")
+def l6_user_block_model(spark, d):
+    """A model written against the BlockModel interface: midrange of the target so far."""
+
+    class MidRange:
+        name, schema = "midrange", "lo double; hi double"
+
+        def empty(self):
+            return (0.0, 0.0)
+
+        def totals(self, state):
+            return {"lo": F.min("value"), "hi": F.max("value")}
+
+        def learn(self, state, sums):
+            return (min(state[0], sums["lo"]), max(state[1], sums["hi"]))
+
+        def columns(self, state):
+            return {"lo": float(state[0]), "hi": float(state[1])}
+
+        def predict(self):
+            return (F.col("midrange__lo") + F.col("midrange__hi")) / 2
+
+    out = run_blocks(blocks_of(spark, d, "ev_reg", 10), [MidRange()])
+    return out.select("step", snap("midrange", 6).alias("pred"))
