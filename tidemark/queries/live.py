@@ -1 +1,102 @@
+"""Live counterparts: the same results from Structured Streaming."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators.baselines import class_list
+from tidemark.operators.linear import LinearBlock
+from tidemark.queries import sql
+from tidemark.queries.registry import query, snap
+from tidemark.queries.sql import BEFORE, EV, KEYED, with_
+from tidemark.session import scratch_path
+from tidemark.sources.tables import stream, table
+from tidemark.streaming import live
+
+FILES = 4
+
+
+def growing(spark, d, df, order, label="incoming"):
+    """The rows of a table as a folder that received one write after the other, as a producer would leave it."""
+    path = scratch_path(spark, label)
+    cuts = df.approxQuantile(order, [i / FILES for i in range(1, FILES)], 0.01)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df if lo is None else df.filter(F.col(order) > lo)
+        part = part if hi is None else part.filter(F.col(order) <= hi)
+        part.write.mode("append").parquet(path)
+    return path
+
+
+@query("s10_stream_source", "SELECT event_type, count(*) AS n, snap(sum(value), 2) AS total FROM events GROUP BY event_type")
+def s10_stream_source(spark, d):
+    folder, out = growing(spark, d, table(spark, d, "events"), "event_id"), scratch_path(spark, "out")
+    live.run_available(live.source(spark, folder, live.EVENT_SCHEMA), path=out)
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), snap(F.sum("value"), 2).alias("total"))
+
+
+@query(
+    "l1_event_time_windows",
+    """SELECT date_trunc('day', ts) AS day, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM events GROUP BY ALL""",
+)
+def l1_event_time_windows(spark, d):
+    folder = growing(spark, d, table(spark, d, "events").select("event_id", "ts", "event_type"), "event_id")
+    rows = live.source(spark, folder, "event_id bigint, ts timestamp_ntz, event_type string").withColumn("pred", F.lit("click"))
+    windows, out = live.windowed_metrics(rows, "ts", "event_type", "pred"), scratch_path(spark, "windows")
+    # complete mode keeps the last window, which a watermark alone would still hold back
+    live.run_available(windows, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i}"), mode="complete")
+    last = max((int(p) for p in _children(spark, out)), default=0)
+    result = spark.read.parquet(f"{out}/{last}")
+    return result.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "hits")
+
+
+def _children(spark, path):
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(root)]
+
+
+@query(
+    "l2_keyed_state",
+    with_(KEYED.replace("event_id, value", "event_id, value, event_type"))
+    + f"""SELECT user_id, step, event_id, snap(coalesce(avg(value) OVER (PARTITION BY user_id {BEFORE}), 0.0), 6) AS mean,
+  coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY step), 0.0) AS no_change,
+  lag(event_type) OVER (PARTITION BY user_id ORDER BY step) AS last_class FROM evk""",
+)
+def l2_keyed_state(spark, d):
+    folder, out = growing(spark, d, table(spark, d, "events"), "event_id"), scratch_path(spark, "keyed")
+    live.run_available(live.keyed_baselines(live.source(spark, folder, live.EVENT_SCHEMA, 1)), path=out)
+    return spark.read.parquet(out).select("user_id", "step", "event_id", snap("mean", 6).alias("mean"), "no_change", "last_class")
+
+
+@query("l3_block_model_live")
+def l3_block_model_live(spark, d):
+    st = stream(spark, d, "ev_reg")
+    rows = st.df.select("step", "value", "hour", "u", "k")
+    folder = growing(spark, d, rows, "step")
+    feats = {f: (F.col(f) - c) / s for f, c, s in (("hour", 12.0, 7.0), ("u", 4.5, 3.0), ("k", 50.0, 29.0))}
+    model = LinearBlock("linear", list(feats), F.col("value"), rate=0.1, scaled=False)
+    runner = live.LiveBlocks(spark, model, ["step", "value"])
+    incoming = live.source(spark, folder, "step bigint, value double, hour double, u double, k double", 1).withColumns(feats)
+    live.run_available(incoming, runner)
+    return runner.scored().select("step", "value", snap("linear", 6).alias("pred"))
+
+
+@query(
+    "l4_live_checkpoints",
+    with_(EV, sql.sized("ev", "floor"), sql.classifiers("ev", "event_type"), "lc AS (SELECT * FROM preds WHERE model = 'last_class')",
+          sql.classification_checkpoints("lc", "floor", "error"))
+    + "SELECT model, step, CAST(n_scored AS BIGINT) AS n_scored, snap(accuracy, 6) AS accuracy, snap(f1, 6) AS f1, snap(macro, 6) AS macro FROM ck",
+)
+def l4_live_checkpoints(spark, d):
+    from tidemark.operators.baselines import baseline_classifiers
+
+    st = stream(spark, d, "ev_multi")
+    preds = baseline_classifiers(st, class_list(st), ("last_class",)).select(
+        "step", F.col("event_type").alias("y"), F.lit("last_class").alias("model"), F.col("last_class").alias("pred")
+    )
+    folder = growing(spark, d, preds, "step")
+    counts = live.LiveConfusion(spark, st.n)
+    live.run_available(live.source(spark, folder, "step bigint, y string, model string, pred string", 1), counts)
+    out = counts.checkpoints("error")
+    return out.select("model", "step", "n_scored", snap("Accuracy", 6).alias("accuracy"), snap("F1", 6).alias("f1"), snap("MacroF1", 6).alias("macro"))
