@@ -88,13 +88,25 @@ def uniform(*parts: Column) -> Column:
 
 def poisson_weight(u: Column, rate: float, largest: int = 30) -> Column:
     """Poisson count for a uniform number, by the inverse distribution function."""
-    cumulative, term = 0.0, math.exp(-rate)
-    edges = []
+    cumulative, term, edges = 0.0, math.exp(-rate), []
     for k in range(largest):
         cumulative += term
-        edges.append(F.lit(cumulative))
+        edges.append(cumulative)
         term *= rate / (k + 1)
-    return F.size(F.filter(F.array(*edges), lambda e: e <= u)).cast("double")
+    return interval_of(u, edges, closed_left=True).cast("double")
+
+
+def interval_of(c: Column, edges: list[float], closed_left: bool = False) -> Column:
+    """Number of edges below the value (or up to it if ``closed_left``), by nested comparisons."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        here = c < edges[mid] if closed_left else c <= edges[mid]
+        return F.when(here, search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(edges)).cast("int")
 
 
 def walk(bins: Column, feature: Column, cut: Column, depth: int) -> Column:

@@ -24,24 +24,22 @@ def best_class(scores: list[Column], classes: list) -> Column:
 def gaussian_nb(stream: Stream, classes: list, features: list[str], name: str = "naive_bayes", rows: DataFrame | None = None) -> DataFrame:
     """Class prior times normal densities, from the rows before; NULL before the first label."""
     y = F.col(stream.target)
+    around = {f: f"(CAST(`{f}` AS DOUBLE) - {float(stream.centre.get(f, 0.0))!r}D)" for f in features}
     sums = {}
     for i, c in enumerate(classes):
-        mine = y == c
-        sums[f"_n{i}"] = F.when(mine, 1.0).otherwise(0.0)
+        sums[f"_n{i}"] = F.when(y == c, 1.0).otherwise(0.0)
         for f in features:
-            v = F.col(f) - F.lit(float(stream.centre.get(f, 0.0)))
-            sums[f"_s{i}_{f}"] = F.when(mine, v).otherwise(0.0)
-            sums[f"_q{i}_{f}"] = F.when(mine, v * v).otherwise(0.0)
+            sums[f"_s{i}_{f}"] = F.expr(f"_mine{i} * {around[f]}")
+            sums[f"_q{i}_{f}"] = F.expr(f"_mine{i} * {around[f]} * {around[f]}")
+    rows = (stream.df if rows is None else rows).withColumns({f"_mine{i}": sums[f"_n{i}"] for i in range(len(classes))})
     out = scan(stream, sums, rows=rows)
-    seen = sum((F.col(f"_n{i}") for i in range(1, len(classes))), F.col("_n0"))
+    seen = " + ".join(f"_n{i}" for i in range(len(classes)))
     scores = []
     for i in range(len(classes)):
-        n = F.col(f"_n{i}")
-        score = F.log(n / seen)
+        score = f"ln(_n{i} / ({seen}))"
         for f in features:
-            v = F.col(f) - F.lit(float(stream.centre.get(f, 0.0)))
-            mean = F.col(f"_s{i}_{f}") / n
-            var = F.greatest(F.col(f"_q{i}_{f}") / n - mean * mean, F.lit(VARIANCE_FLOOR))
-            score = score - 0.5 * F.log(2 * math.pi * var) - (v - mean) * (v - mean) / (2 * var)
-        scores.append(F.when(n > 0, score))
-    return out.withColumn(name, best_class(scores, classes)).drop(*sums)
+            mean = f"`_s{i}_{f}` / _n{i}"
+            var = f"greatest(`_q{i}_{f}` / _n{i} - ({mean}) * ({mean}), {VARIANCE_FLOOR}D)"
+            score += f" - 0.5D * ln({2 * math.pi!r}D * {var}) - ({around[f]} - {mean}) * ({around[f]} - {mean}) / (2 * {var})"
+        scores.append(F.expr(f"CASE WHEN _n{i} > 0 THEN {score} END"))
+    return out.withColumn(name, best_class(scores, classes)).drop(*sums, *[f"_mine{i}" for i in range(len(classes))])

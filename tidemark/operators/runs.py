@@ -7,6 +7,7 @@ All models of a stream share one scan; a family only differs in where its checkp
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +40,24 @@ def state_values(model: str, n_classes: int) -> int:
     return {"mean": 2, "fading": 2, "no_change": 1, "last_class": 1, "majority": n_classes}[model]
 
 
-def run_stream(st: Stream, task: str, library: str, classes: list, positive: str | None) -> DataFrame:
-    rule = RULES[library]
+def predictions(st: Stream, task: str, classes: list) -> tuple[DataFrame, list[str]]:
+    """Predictions of all baselines as a table, so that both result families read the same scan."""
     if task == "Regression":
         models = ["mean", "no_change"]
-        out = regression_checkpoints(baseline_regressors(st, tuple(models)), st.n, models, st.target, rule)
+        preds = baseline_regressors(st, tuple(models))
     else:
         models = ["last_class", "majority"]
-        preds = long_predictions(baseline_classifiers(st, classes), models, st.target)
-        out = classification_checkpoints(preds, st.n, rule, positive)
-    sizes = F.create_map(*[F.lit(x) for m in models for x in (m, state_values(m, len(classes)) * 8 / BYTES_PER_MB)])
+        preds = baseline_classifiers(st, classes)
+    return written(preds.select("step", st.target, *models), "predictions"), models
+
+
+def run_checkpoints(preds: DataFrame, models: list[str], st: Stream, task: str, library: str, n_classes: int, positive: str | None) -> DataFrame:
+    rule = RULES[library]
+    if task == "Regression":
+        out = regression_checkpoints(preds, st.n, models, st.target, rule)
+    else:
+        out = classification_checkpoints(long_predictions(preds, models, st.target), st.n, rule, positive)
+    sizes = F.create_map(*[F.lit(x) for m in models for x in (m, state_values(m, n_classes) * 8 / BYTES_PER_MB)])
     return out.withColumn("memory_mb", F.element_at(sizes, F.col("model")))
 
 
@@ -61,28 +70,38 @@ def clock(st: Stream, column: str, rule: str) -> DataFrame:
     return checkpoint_steps(st.df, st.n, rule).select("step", F.abs(at - F.lit(first)).alias("time_s"))
 
 
-def build_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dataset_runs(spark: SparkSession, sf_dir: str, task: str, dataset: str) -> DataFrame:
+    """All runs of one dataset of a task, as a table."""
+    name, ts = DATASETS[task][dataset]
+    st = stream(spark, sf_dir, name)
+    classes = [] if task == "Regression" else class_list(st)
+    preds, models = predictions(st, task, classes)
     parts = []
-    for task, datasets in DATASETS.items():
-        for dataset, (name, ts) in datasets.items():
-            st = stream(spark, sf_dir, name)
-            classes = [] if task == "Regression" else class_list(st)
-            for library, rule in RULES.items():
-                out = run_stream(st, task, library, classes, POSITIVE.get(name)).join(clock(st, ts, rule), "step", "left")
-                shown = F.create_map(*[F.lit(x) for pair in SHOWN_AS[library].items() for x in pair])
-                parts.append(
-                    out.select(
-                        F.lit(library).alias("library"),
-                        F.lit(task).alias("track"),
-                        F.element_at(shown, F.col("model")).alias("model"),
-                        F.lit(dataset).alias("dataset"),
-                        "step",
-                        *[F.col(m) if m in out.columns else F.lit(None).cast("double").alias(m) for m in METRICS],
-                        "valid_updates",
-                        "memory_mb",
-                        "time_s",
-                    )
-                )
+    for library, rule in RULES.items():
+        out = run_checkpoints(preds, models, st, task, library, len(classes), POSITIVE.get(name))
+        out = out.join(clock(st, ts, rule), "step", "left")
+        shown = F.create_map(*[F.lit(x) for pair in SHOWN_AS[library].items() for x in pair])
+        parts.append(
+            out.select(
+                F.lit(library).alias("library"),
+                F.lit(task).alias("track"),
+                F.element_at(shown, F.col("model")).alias("model"),
+                F.lit(dataset).alias("dataset"),
+                "step",
+                *[F.col(m) if m in out.columns else F.lit(None).cast("double").alias(m) for m in METRICS],
+                "valid_updates",
+                "memory_mb",
+                "time_s",
+            )
+        )
+    return written(parts[0].unionByName(parts[1]), "runs")
+
+
+def build_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all datasets. They do not depend on each other, so their jobs are submitted side by side."""
+    pairs = [(task, dataset) for task, sets in DATASETS.items() for dataset in sets]
+    with ThreadPoolExecutor(len(pairs)) as pool:
+        parts = list(pool.map(lambda p: dataset_runs(spark, sf_dir, *p), pairs))
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p)
@@ -96,7 +115,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checkpoint table of all runs, computed once per session and kept in the shared folder."""
     key = (spark.sparkContext.applicationId, str(sf_dir))
     if key not in _runs:
-        _runs[key] = written(build_runs(spark, sf_dir), "runs")
+        _runs[key] = build_runs(spark, sf_dir)
     return _runs[key]
 
 

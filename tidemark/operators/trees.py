@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import poisson_weight, uniform, walk
+from tidemark.functions.columns import interval_of, poisson_weight, uniform, walk
 from tidemark.operators.drift import BlockAdwin
 from tidemark.plans.blocks import Blocks
 
@@ -99,20 +99,8 @@ def edges_of(blocks: Blocks, features: list[str], bins: int = BINS) -> list[list
     return [sorted(set(e)) for e in first.approxQuantile(features, shares, 0.001)]
 
 
-def bin_of(c: Column, edges: list[float]) -> Column:
-    """Number of edges below the value, by nested comparisons."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c <= edges[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(edges)).cast("int")
-
-
 def binned(rows: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
-    return rows.withColumn("_bins", F.array(*[bin_of(F.col(f), e) for f, e in zip(features, edges)]))
+    return rows.withColumn("_bins", F.array(*[interval_of(F.col(f), e) for f, e in zip(features, edges)]))
 
 
 class Forest:

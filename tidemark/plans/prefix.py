@@ -38,8 +38,9 @@ def _history(name: str, window) -> Column:
 
 def _before_one_level(totals, by, sums, lags, decays, size, reach):
     order = Window.partitionBy(*by).orderBy("_chunk")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    cols = [F.coalesce(F.sum(c).over(past), F.lit(0.0)).alias(f"_b_{c}") for c in sums]
+    keys = f"PARTITION BY {', '.join(f'`{k}`' for k in by)} " if by else ""
+    frame = f"({keys}ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cols = [F.expr(f"coalesce(sum(`{c}`) OVER {frame}, 0D)").alias(f"_b_{c}") for c in sums]
     cols += [F.lag(c).over(order).alias(f"_b_{c}") for c in lags]
     cols += [
         _carry(_history(c, order.rowsBetween(-reach[c], -1)), factor, size).alias(f"_b_{c}")
@@ -127,7 +128,10 @@ def scan(
     order = Window.partitionBy(*by, "_chunk").orderBy("step")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    out = {c: F.coalesce(F.col(f"_b_{c}"), zero) + F.coalesce(F.sum(f"_v_{c}").over(past), zero) for c in sums}
+    # as text: there may be many sums, and one parsed expression is cheaper than a tree of column calls
+    keys = ", ".join(f"`{k}`" for k in (*by, "_chunk"))
+    frame = f"(PARTITION BY {keys} ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    out = {c: F.expr(f"coalesce(`_b_{c}`, 0D) + coalesce(sum(`_v_{c}`) OVER {frame}, 0D)") for c in sums}
     for c in lags:
         out[c] = F.when(F.row_number().over(order) == 1, F.col(f"_b_{c}")).otherwise(F.lag(f"_v_{c}").over(order))
     for c, (_, factor) in decays.items():

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.stream import parallelism
+
 SPAN_ROWS = 4096
 
 
@@ -29,4 +31,4 @@ def apply_spans(rows: DataFrame, reach: int, fn, schema: str, size: int | None =
         pdf = pdf.sort_values("step", kind="stable").reset_index(drop=True)
         return fn(pdf, int(key[0]) * size + 1)
 
-    return cut.groupBy("_span").applyInPandas(run, schema)
+    return cut.repartition(2 * parallelism(rows), "_span").groupBy("_span").applyInPandas(run, schema)

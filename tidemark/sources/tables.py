@@ -104,14 +104,14 @@ _VIEWS = {
     "ord_multi": ("ord", "o_orderstatus", ("o_totalprice", "month", "priority")),
 }
 _prepared: dict[tuple, Stream] = {}
-_lock = threading.Lock()
+_locks: dict[tuple, threading.Lock] = {}
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> Stream:
     """A prepared stream. Preparation writes one table per session, which all later runs read."""
     base, target, features = _VIEWS.get(name, (name, None, None))
     key = (spark.sparkContext.applicationId, str(sf_dir), base)
-    with _lock:
+    with _locks.setdefault(key, threading.Lock()):
         if key not in _prepared:
             _prepared[key] = _BUILD[base](spark, sf_dir)
         built = _prepared[key]

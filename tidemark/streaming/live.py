@@ -104,17 +104,27 @@ class LiveConfusion:
 class LiveBlocks:
     """A block model on a live stream: a micro-batch is scored with the state before it, then learned.
 
-    States are kept per batch id; a batch that is run again after a failure finds the same state and writes
-    the same output folder.
+    The sums of every batch are kept in a table by batch id. A state is their fold, so a batch that is run
+    again after a failure, even by a new driver, finds the same state and writes the same output folder.
     """
 
     def __init__(self, spark: SparkSession, model, columns: list[str], folder: str | None = None) -> None:
         self.spark, self.model, self.columns = spark, model, columns
-        self.folder = folder or scratch_path(spark, "live-model")
+        folder = folder or scratch_path(spark, "live-model")
+        self.folder, self.sums_folder = f"{folder}/scored", f"{folder}/sums"
         self.states = {0: model.empty()}
 
+    def state_before(self, batch_id: int):
+        if batch_id not in self.states:
+            rows = self.spark.read.parquet(self.sums_folder).filter(F.col("batch") < batch_id).orderBy("batch").collect()
+            state = self.model.empty()
+            for r in rows:
+                state = self.model.learn(state, {k: v for k, v in r.asDict().items() if k != "batch"})
+            self.states[batch_id] = state
+        return self.states[batch_id]
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        state = self.states[batch_id]
+        state = self.state_before(batch_id)
         names = [part.strip().split(" ", 1) for part in self.model.schema.split(";")]
         values = self.model.columns(state)
         table = self.spark.createDataFrame(
@@ -122,7 +132,10 @@ class LiveBlocks:
         )
         scored = batch.crossJoin(F.broadcast(table)).withColumn(self.model.name, self.model.predict())  # one state row
         scored.select(*self.columns, self.model.name).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-        sums = batch.agg(*[c.alias(k) for k, c in self.model.totals(state).items()]).collect()[0].asDict()
+        totals = batch.agg(*[c.alias(k) for k, c in self.model.totals(state).items()])
+        path = f"{self.sums_folder}/batch={batch_id}"
+        totals.write.mode("overwrite").parquet(path)
+        sums = self.spark.read.parquet(path).collect()[0].asDict()
         self.states[batch_id + 1] = self.model.learn(state, sums)
 
     def scored(self) -> DataFrame:
