@@ -56,9 +56,9 @@ def linear_models(reg, cls):
 
 
 MODELS = {
-    "tree": forest("class"), "efdt": forest("class", revisit=True), "hat": forest("class", prune=True),
+    "tree": forest("class", delta=0.05), "efdt": forest("class", delta=0.05, revisit=True), "hat": forest("class", delta=0.05, prune=True),
     "arf": forest("class", members=4, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
-    "leveraging": forest("class", members=4, rate=6.0, reset="worst"), "oza": forest("class", members=3, boost="oza", vote="log_odds"),
+    "leveraging": forest("class", members=4, rate=6.0, reset="worst"), "oza": forest("class", delta=0.05, members=3, boost="oza", vote="log_odds"),
     "reg_tree": forest("reg"), "gradient": forest("gradient", members=3, shrink=0.8),
     "mondrian": lambda reg, cls: mondrian.mondrian_forest(Blocks(cls, COUNT), FEATS, F.col("cls"), 3, n_trees=4, name="p"),
     "mondrian_reg": lambda reg, cls: mondrian.mondrian_forest(Blocks(reg, COUNT), FEATS, F.col("y"), 0, n_trees=4, name="p"),

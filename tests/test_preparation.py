@@ -43,7 +43,7 @@ def test_interval_ends_count_once(spark):
         "SELECT timestamp_ntz'2024-01-01 00:10:00' AS s, timestamp_ntz'2024-01-01 00:20:00' AS e UNION ALL SELECT timestamp_ntz'2024-01-01 00:14:00', timestamp_ntz'2024-01-01 00:16:00'"
     )
     for width in (60, 3600):
-        out = prep.interval_label(points, "ts", ["id"], windows, "s", "e", width)
+        out = prep.interval_label(points, "ts", windows, "s", "e", width)
         assert {r["id"]: r["target"] for r in out.collect()} == {1: 1, 2: 1, 3: 1, 4: 0} and out.count() == 4
 
 

@@ -82,13 +82,13 @@ def distribution(final: DataFrame, metric: str, keys: list[str], approximate: bo
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
     """Scale columns to 0..1 over the whole table; a column with one value stays as it is."""
-    bounds = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    out = df.crossJoin(F.broadcast(bounds))  # one row by construction
-    scaled = {
-        c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(F.col(c))
-        for c in columns
-    }
-    return out.withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
+    bounds = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).collect()[0]
+    scaled = {}
+    for c in columns:
+        lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
+        if lo is not None and hi > lo:
+            scaled[c] = (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
+    return df.withColumns(scaled) if scaled else df
 
 
 def metric_long(final: DataFrame, metrics: list[str]) -> DataFrame:

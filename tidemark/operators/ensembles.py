@@ -222,7 +222,7 @@ def two_memories(
     # keep cap rows per block before anything is collected: only these can be among the cap of a prefix
     share = min(1.0, 4.0 * cap / max(blocks.size, 1))
     drawn = clean.select("block", item.alias("r"))
-    kept = drawn.filter(F.col("r.u") <= share).orderBy("block", "r.u")
+    kept = drawn.filter(F.col("r.u") <= share)
     lists = kept.groupBy("block").agg(F.slice(F.array_sort(F.collect_list("r")), 1, cap).alias("l")).collect()
     memory, states = [], [{"long": []}]
     by_block = {r["block"]: r["l"] for r in lists}

@@ -72,9 +72,8 @@ def mondrian_forest(
     rng = np.random.default_rng(seed)
     trees = [draw_tree(low, high, depth, rng) for _ in range(n_trees)]
     inner, leaves = 2**depth - 1, 2**depth
-    forest = rows.sparkSession.createDataFrame([(trees,)], "trees array<struct<feature:array<int>,cut:array<double>>>")
-    # one row by construction: the drawn trees
-    routed = rows.crossJoin(F.broadcast(forest)).withColumn("_x", x)
+    drawn = [{"trees": trees}] * blocks.used
+    routed = blocks.with_state(drawn, "trees array<struct<feature:array<int>,cut:array<double>>>").drop("block").withColumn("_x", x)
     routed = routed.withColumn("_leaf", F.transform("trees", lambda t: walk(F.col("_x"), t["feature"], t["cut"], depth) - inner)).drop("trees", "_x")
     y = target.cast("double")
     long = routed.select(blocks.number().alias("block"), y.alias("y"), F.posexplode("_leaf").alias("tree", "leaf"))

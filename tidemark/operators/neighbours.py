@@ -22,7 +22,7 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
 
 
 def nearest(stream: Stream, features: list[str], k: int = 5, window: int = WINDOW, rows: DataFrame | None = None) -> DataFrame:
-    """Add ``neighbours``: the k nearest of the ``window`` rows before, as (step, distance, y), nearest first.
+    """(step, y, neighbours): the k nearest of the ``window`` rows before, as (step, distance, y), nearest first.
 
     Exact search; equal distances prefer the more recent row. Work per row is bounded by the window.
     """
@@ -49,9 +49,9 @@ def nearest(stream: Stream, features: list[str], k: int = 5, window: int = WINDO
             for i, picks in enumerate(order):
                 picks = [p for p in picks if np.isfinite(dist[i, p])]
                 found.append([(int(step[cand[p]]), float(np.sqrt(dist[i, p])), y[cand[p]]) for p in picks])
-        return pd.DataFrame({"step": step[begin:], "neighbours": found})
+        return pd.DataFrame({"step": step[begin:], "y": y[begin:], "neighbours": pd.Series(found, dtype=object)})
 
-    schema = f"step long, neighbours array<struct<step:long,distance:double,y:{kind}>>"
+    schema = f"step long, y {kind}, neighbours array<struct<step:long,distance:double,y:{kind}>>"
     return apply_spans(use, window, search, schema)
 
 

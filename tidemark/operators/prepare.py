@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import number_or_null, number_or_zero
@@ -41,12 +41,13 @@ def one_vs_rest(df: DataFrame, label: str, normal: str, drop: tuple[int, ...] =
 
 
 def interval_label(
-    points: DataFrame, ts: str, key: list[str], intervals: DataFrame, start: str, end: str, width: int
+    points: DataFrame, ts: str, intervals: DataFrame, start: str, end: str, width: int
 ) -> DataFrame:
     """1 if the time lies in any interval (ends included), else 0.
 
     Time is cut into buckets of ``width`` seconds; an interval is listed in every bucket it touches, so the
-    search is an equi join. The semi form never duplicates a point, whatever the number of hits.
+    search is an equi join. Overlapping intervals of a bucket are merged first: a point then meets at most one,
+    and a single left join keeps every point exactly once.
     """
     def bucket(c):
         return F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / width)
@@ -54,13 +55,17 @@ def interval_label(
     spread = intervals.select(
         F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(bucket(start), bucket(end))).alias("_bucket")
     )
+    order = Window.partitionBy("_bucket").orderBy("_s", "_e")
+    reached = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(reached.isNull() | (F.col("_s") > reached), 1).otherwise(0)
+    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = (
+        spread.withColumn("_new", starts).withColumn("_island", island).groupBy("_bucket", "_island")
+        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).withColumnRenamed("_bucket", "_b")
+    )
     cut = points.withColumn("_bucket", bucket(ts))
-    inside = cut.join(
-        bounded(spread),
-        (cut["_bucket"] == spread["_bucket"]) & cut[ts].between(spread["_s"], spread["_e"]),
-        "left_semi",
-    ).select(*key, F.lit(1).alias("target"))
-    return points.join(inside, key, "left").withColumn("target", F.coalesce("target", F.lit(0)))
+    hit = cut.join(bounded(merged), (F.col("_bucket") == F.col("_b")) & F.col(ts).between(F.col("_s"), F.col("_e")), "left")
+    return hit.withColumn("target", F.col("_s").isNotNull().cast("int")).drop("_bucket", "_b", "_s", "_e", "_island")
 
 
 def sparse_to_columns(df: DataFrame, features: str, key_rows: int | None = 10_000, limit: int = 5_000) -> DataFrame:

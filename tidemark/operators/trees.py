@@ -60,7 +60,7 @@ class Tree:
 
     feature: np.ndarray
     cut: np.ndarray
-    stats: np.ndarray  # per node: class counts, or (n, sum, sum of squares), or (n, value, -)
+    stats: np.ndarray  # per node: class counts, or (n, sum, sum of squares), or (n, gradient, hessian)
     hist: dict = field(default_factory=dict)  # node -> [feature, bin, output]
     drift: dict = field(default_factory=dict)  # node -> BlockAdwin
     errors: list = field(default_factory=list)
@@ -132,11 +132,8 @@ class Forest:
             return np.where(s.sum(axis=1) > 0, s.argmax(axis=1), -1).astype(float)
         if self.spec.kind == "reg":
             return np.divide(s[:, 1], s[:, 0], out=np.zeros(len(s)), where=s[:, 0] > 0)
-        return s[:, 1]
-
-    def _step(self, sums: np.ndarray) -> float:
-        """Change of an additive leaf value for (n, gradient, hessian) sums."""
-        return float(-self.spec.shrink * sums[1] / (sums[2] + self.spec.ridge))
+        # every member fits the gradient left by the members before it, so its own value does not enter
+        return -self.spec.shrink * s[:, 1] / (s[:, 2] + self.spec.ridge)
 
     def state(self) -> dict:
         """The members as they enter the state table; factors of boosting are those of the blocks before."""
@@ -287,7 +284,7 @@ class Forest:
                 node = int(leaf)
                 if spec.kind == "gradient":
                     tree.hist[node] = h  # gradients age with the model, so only the block itself counts
-                    tree.stats[node, :2] += (h[0, :, 0].sum(), self._step(h[0].sum(axis=0)))
+                    tree.stats[node] += h[0].sum(axis=0)
                 else:
                     tree.hist[node] = tree.hist.get(node, 0) + h
                     tree.stats[node] += h[0].sum(axis=0)
@@ -322,7 +319,7 @@ class Forest:
             self.weight[i] = max(1e-6, 1 - error / total) if self.spec.kind == "class" else 1.0 / (1e-9 + error / total)
         elif self.spec.vote == "log_odds":
             share = min(max(self.wrong[i] / max(self.right[i] + self.wrong[i], 1e-9), 1e-6), 1 - 1e-6)
-            self.weight[i] = max(0.0, math.log((1 - share) / share) + math.log(max(self.outputs - 1, 1)))
+            self.weight[i] = max(1e-3, math.log((1 - share) / share) + math.log(max(self.outputs - 1, 1)))
         elif self.spec.vote == "decay":
             self.weight[i] = max(1e-3, self.weight[i] * 0.5 ** (error / total > 1 - 1 / max(self.outputs, 2)))
         if self.spec.reset:
@@ -414,9 +411,6 @@ class Forest:
             tree.feature[node], tree.cut[node] = f, cut
             left = h[f][: cut + 1].sum(axis=0)
             right = h[f][cut + 1 :].sum(axis=0)
-            if spec.kind == "gradient":
-                base = tree.stats[node, 1] - self._step(h[f].sum(axis=0))
-                left, right = ((side[0], base + self._step(side), 0.0) for side in (left, right))
             tree.stats[2 * node + 1], tree.stats[2 * node + 2] = left, right
             tree.stats[node] = 0 if spec.prune or spec.revisit else tree.stats[node]
             if not spec.revisit:

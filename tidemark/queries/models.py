@@ -85,8 +85,7 @@ def _ev_near(spark, d):
 
 def _voted(spark, d, weighted):
     st, found = _ev_near(spark, d)
-    out = knn_class(found, class_list(st), weighted).select("step", F.col("knn").alias("pred"))
-    return st.df.select("step", F.col("event_type").alias("y")).join(out, "step")
+    return knn_class(found, class_list(st), weighted).select("step", "y", F.col("knn").alias("pred"))
 
 
 @query("k5_knn", with_(EV, EV_NEAR, vote_sql("1.0")))
@@ -383,7 +382,7 @@ REG_TREES = {
     "r7_hoeffding_tree_regressor": TreeSpec("pred", kind="reg"),
     "r7_option_tree_regressor": TreeSpec("pred", kind="reg", members=3, subset=2),
     "r8_hoeffding_adaptive_tree_regressor": TreeSpec("pred", kind="reg", prune=True),
-    "r9_stochastic_gradient_tree": TreeSpec("pred", kind="gradient", shrink=0.8),
+    "r9_stochastic_gradient_tree": TreeSpec("pred", kind="gradient", shrink=1.0),
     "r10_adaptive_random_forest_regressor": TreeSpec("pred", kind="reg", members=10, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
     "r13_streaming_random_patches_regressor": TreeSpec("pred", kind="reg", members=10, rate=6.0, subset=2, reset="member"),
     "e1_bagging_regressor": TreeSpec("pred", kind="reg", members=10, rate=1.0, prune=True),

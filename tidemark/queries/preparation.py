@@ -227,7 +227,7 @@ def _windows(spark, d):
 )
 def p8_interval_label(spark, d):
     points = events(spark, d).select("event_id", "ts")
-    return prep.interval_label(points, "ts", ["event_id"], _windows(spark, d), "start", "end", 3600).select("event_id", "target")
+    return prep.interval_label(points, "ts", _windows(spark, d), "start", "end", 3600).select("event_id", "target")
 
 
 @query(
@@ -311,7 +311,7 @@ def f9_fallback_prediction(spark, d):
 )
 def j2_interval_hits(spark, d):
     points = events(spark, d).select("event_id", "ts", "value")
-    out = prep.interval_label(points, "ts", ["event_id"], _windows(spark, d), "start", "end", 3600)
+    out = prep.interval_label(points, "ts", _windows(spark, d), "start", "end", 3600)
     return out.filter(F.col("target") == 1).select("event_id", "value")
 
 

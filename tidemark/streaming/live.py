@@ -5,6 +5,7 @@ Each operator has the same result as its batch counterpart on the same rows (che
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,11 +127,10 @@ class LiveBlocks:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         state = self.state_before(batch_id)
         names = [part.strip().split(" ", 1) for part in self.model.schema.split(";")]
-        values = self.model.columns(state)
-        table = self.spark.createDataFrame(
-            [tuple(values[n] for n, _ in names)], ", ".join(f"`{self.model.name}__{n}` {t}" for n, t in names)
-        )
-        scored = batch.crossJoin(F.broadcast(table)).withColumn(self.model.name, self.model.predict())  # one state row
+        values = F.from_json(F.lit(json.dumps(self.model.columns(state))), ", ".join(f"`{n}` {t}" for n, t in names))
+        rows = batch.withColumn("_state", values)  # a constant
+        rows = rows.withColumns({f"{self.model.name}__{n}": F.col("_state")[n] for n, _ in names})
+        scored = rows.withColumn(self.model.name, self.model.predict())
         scored.select(*self.columns, self.model.name).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
         totals = batch.agg(*[c.alias(k) for k, c in self.model.totals(state).items()])
         path = f"{self.sums_folder}/batch={batch_id}"
