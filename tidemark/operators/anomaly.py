@@ -110,7 +110,7 @@ def half_space_scores(
         return pd.DataFrame({"step": step[mine], "score": (1.0 - total / top)[mine]})
 
     size = window * max(1, math.ceil(4096 / window))
-    return apply_spans(stream.df.select("step", *scaled), window, score, "step long, score double", size)
+    return apply_spans(stream.df.select("step", *scaled), stream.n, window, score, "step long, score double", size)
 
 
 def evaluate(scores: DataFrame, n: int, score: str, label: str, threshold: float = 0.5) -> DataFrame:

@@ -82,7 +82,7 @@ def tree_scores(blocks: Blocks, features: list[str], kind: str = "path", n_trees
         f, c, v = build_tree(pdf[features].to_numpy(float), kind, np.random.default_rng([seed, int(key[0]), int(key[1])]))
         return pd.DataFrame({"block": [key[0]], "tree": [key[1]], "feature": [f], "cut": [c], "value": [v]})
 
-    trees = picked.repartition(2 * parallelism(rows), "block", "tree").groupBy("block", "tree").applyInPandas(build, f"block int, tree int, {TREE}")
+    trees = picked.repartition(parallelism(rows), "block", "tree").groupBy("block", "tree").applyInPandas(build, f"block int, tree int, {TREE}")
     state = trees.groupBy((F.col("block") + 1).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("tree", "feature", "cut", "value"))).alias("trees")
     )

@@ -52,7 +52,7 @@ def nearest(stream: Stream, features: list[str], k: int = 5, window: int = WINDO
         return pd.DataFrame({"step": step[begin:], "y": y[begin:], "neighbours": pd.Series(found, dtype=object)})
 
     schema = f"step long, y {kind}, neighbours array<struct<step:long,distance:double,y:{kind}>>"
-    return apply_spans(use, window, search, schema)
+    return apply_spans(use, stream.n, window, search, schema)
 
 
 def neighbour_pairs(stream: Stream, features: list[str], k: int, window: int) -> DataFrame:

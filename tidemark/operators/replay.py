@@ -129,7 +129,7 @@ def replay(stream: Stream, models: dict[str, Callable], features: list[str], tar
     keys = ", ".join(f"{k} {types[k]}" for k in by)
     schema = f"{keys}, step long, _y double, {', '.join(f'`{m}` double' for m in models)}, _state string"
     names = list(models)
-    rows = rows.repartition(4 * parallelism(rows), *by)  # Python groups: keep them spread over all cores
+    rows = rows.repartition(parallelism(rows, 4), *by)  # Python groups: keep them spread over all cores
 
     def run(rows_pdf: pd.DataFrame, state_pdf: pd.DataFrame | None) -> pd.DataFrame:
         if rows_pdf.empty:

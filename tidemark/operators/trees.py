@@ -282,12 +282,9 @@ class Forest:
                     for j, c in enumerate(("w", "a", "b")):
                         np.add.at(h[:, :, j], (f, bins), part[c].to_numpy(float))
                 node = int(leaf)
-                if spec.kind == "gradient":
-                    tree.hist[node] = h  # gradients age with the model, so only the block itself counts
-                    tree.stats[node] += h[0].sum(axis=0)
-                else:
-                    tree.hist[node] = tree.hist.get(node, 0) + h
-                    tree.stats[node] += h[0].sum(axis=0)
+                # gradients age with the model, so only the block itself counts
+                tree.hist[node] = h if spec.kind == "gradient" else tree.hist.get(node, 0) + h
+                tree.stats[node] += h[0].sum(axis=0)
                 if spec.revisit:
                     while node > 0:
                         node = (node - 1) // 2

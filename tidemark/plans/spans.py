@@ -6,6 +6,8 @@ history. A group therefore never holds more than ``size + reach`` rows, whatever
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,13 @@ def spanned(rows: DataFrame, reach: int, size: int | None = None) -> tuple[DataF
     return rows.withColumn("_span", F.explode(spans)), size
 
 
-def apply_spans(rows: DataFrame, reach: int, fn, schema: str, size: int | None = None) -> DataFrame:
-    """``fn(rows, first)`` per span: rows sorted by step, output expected for rows with ``step >= first``."""
+def apply_spans(rows: DataFrame, n: int, reach: int, fn, schema: str, size: int | None = None) -> DataFrame:
+    """``fn(rows, first)`` per span of the ``n`` rows: rows sorted by step, output expected for rows with ``step >= first``."""
     cut, size = spanned(rows, reach, size)
 
     def run(key, pdf):
         pdf = pdf.sort_values("step", kind="stable").reset_index(drop=True)
         return fn(pdf, int(key[0]) * size + 1)
 
-    return cut.repartition(2 * parallelism(rows), "_span").groupBy("_span").applyInPandas(run, schema)
+    parts = min(parallelism(rows), math.ceil(n / size) + 1)
+    return cut.repartition(parts, "_span").groupBy("_span").applyInPandas(run, schema)

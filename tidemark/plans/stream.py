@@ -57,17 +57,18 @@ class Stream:
         return df.filter(F.col("_part").between(min(hit), max(hit))) if hit else df
 
 
-def parallelism(df: DataFrame) -> int:
+def parallelism(df: DataFrame, per_core: int = 2) -> int:
     """Partitions for work that must stay spread even if the data looks small (sorted files, Python groups)."""
     spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    return max(per_core * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _numbered(df: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, "stream")
     # enough files that a block of the stream, a contiguous part of it, is still read by many tasks
     (
-        df.repartitionByRange(4 * parallelism(df), *[F.col(c) for c in order])
+        df.repartitionByRange(parallelism(df, 4), *[F.col(c) for c in order])
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(POSITION_MASK)))

@@ -13,7 +13,7 @@ from tidemark.session import scratch_path
 from tidemark.sources.tables import stream, table
 from tidemark.streaming import live
 
-FILES = 4
+FILES = 2
 
 
 def growing(spark, d, df, order, label="incoming"):
