@@ -10,7 +10,7 @@ from tidemark.functions.columns import uniform
 from tidemark.operators.baselines import class_list
 from tidemark.operators.bayes import best_class, gaussian_nb
 from tidemark.operators.neighbours import knn_class, nearest
-from tidemark.operators.trees import STATE, Forest, Tree, TreeSpec, binned
+from tidemark.operators.trees import STATE, Forest, TreeSpec, binned
 from tidemark.plans.blocks import Blocks
 from tidemark.plans.stream import Stream, prepare
 from tidemark.session import written

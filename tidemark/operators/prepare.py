@@ -17,7 +17,7 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def needs_encoding(df: DataFrame, label: str, first: int = 10) -> Column:
+def needs_encoding(df: DataFrame, label: str, first: int = 10) -> DataFrame:
     """Whether any of the first ``first`` labels is not a number (the type sniff looks no further)."""
     return df.filter(F.col("step") <= first).agg(
         (F.count_if(number_or_null(F.col(label)).isNull()) > 0).alias("needs_encoding")

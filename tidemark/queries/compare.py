@@ -13,7 +13,6 @@ from tidemark.queries.registry import query, snap
 from tidemark.queries.sql import EV, ORD
 from tidemark.session import scratch_path
 from tidemark.sources import files
-from tidemark.sources.tables import stream
 
 A, B = LIBRARIES
 TARGETS = {

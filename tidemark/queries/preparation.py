@@ -278,7 +278,7 @@ def f3_finite_rows(spark, d):
     from tidemark.operators.metrics import finite
 
     raw = col.number_or_null(F.substring_index("p_brand", "#", -1))
-    # log of a negative number is NULL and 1/0 style values are infinite: neither may be scored
+    # some predictions are missing, NaN or infinite: none of them may be scored
     pred = F.when(raw > 5, raw).when(raw > 3, F.lit(float("nan"))).when(raw > 1, F.lit(float("inf")))
     rows = table(spark, d, "part").select("p_partkey", "p_retailprice", pred.alias("pred"))
     return rows.filter(finite(F.col("p_retailprice")) & finite(F.col("pred")))
