@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import shards, simhash
+from tidemark.llm import decontaminate, packing, secrets, shards, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -26,11 +26,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and, as it is part of the installed packages, on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_decontamination", decontaminate.SQL)
+def op1(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op3_vector_packing")
+def op3(spark, sf_dir):
+    return packing.digest(table(spark, sf_dir, "documents"), vocabulary(packing.VOCABULARY))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return shards.digest(table(spark, sf_dir, "documents"))
