@@ -229,8 +229,8 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(tran
 lens AS (SELECT DISTINCT len(w) AS n FROM win),
 heads AS (SELECT DISTINCT w[1] AS head FROM win),
 one AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-at AS (SELECT d.r, one.i, lens.n, d.w[one.i:one.i + lens.n - 1] AS w FROM one JOIN heads ON one.word = heads.head JOIN d ON one.r = d.r CROSS JOIN lens WHERE one.i + lens.n - 1 <= len(d.w)),
-m AS (SELECT at.r, at.i, at.n, win.item_id FROM at JOIN win ON at.w = win.w),
+spot AS (SELECT d.r, one.i, lens.n, d.w[one.i:one.i + lens.n - 1] AS w FROM one JOIN heads ON one.word = heads.head JOIN d ON one.r = d.r CROSS JOIN lens WHERE one.i + lens.n - 1 <= len(d.w)),
+m AS (SELECT spot.r, spot.i, spot.n, win.item_id FROM spot JOIN win ON spot.w = win.w),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY r),
 t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,

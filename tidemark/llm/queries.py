@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, secrets, shards, simhash
+from tidemark.llm import decontaminate, packing, quality, secrets, shards, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op3(spark, sf_dir):
     return packing.digest(table(spark, sf_dir, "documents"), vocabulary(packing.VOCABULARY))
 
 
+@query("op4_quality_resampling")
+def op4(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_secret_scan")
 def op8(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
