@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, quality, secrets, shards, simhash
+from tidemark.llm import decontaminate, logbilinear, packing, quality, secrets, shards, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op8(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op9_log_bilinear")
+def op9(spark, sf_dir):
+    return logbilinear.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op10_sharding")
 def op10(spark, sf_dir):
     return shards.digest(table(spark, sf_dir, "documents"))
