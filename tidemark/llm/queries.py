@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, logbilinear, packing, quality, secrets, shards, simhash
+from tidemark.llm import decontaminate, language, logbilinear, packing, quality, secrets, shards, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op4(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_language_mixture")
+def op5(spark, sf_dir):
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op8_secret_scan")
 def op8(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
