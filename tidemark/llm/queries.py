@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, logbilinear, packing, quality, secrets, shards, simhash
+from tidemark.llm import decontaminate, language, logbilinear, packing, quality, secrets, shards, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op5(spark, sf_dir):
     return language.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op6_toxicity_neighbours")
+def op6(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_secret_scan")
 def op8(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
