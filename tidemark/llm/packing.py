@@ -21,10 +21,10 @@ from tidemark.llm.common import body
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 LENGTH = 4096
-#: Words whose ids a worker keeps; it starts anew beyond that.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker process keeps (some 60 MB).
+CACHE_WORDS = 400_000
 #: Pieces that wait for a sequence in one task: as many as give the heuristic a choice, and few enough for memory.
-POOL = 1024
+POOL = 512
 
 
 @dataclass(frozen=True)
@@ -40,27 +40,81 @@ class Limits:
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word: no token of this vocabulary spans white space, so a word's ids are kept."""
+    """Ids of whole texts, word by word: no token of this vocabulary spans white space, so a word's ids are kept.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Kept are the first CACHE_WORDS words, among which frequent ones soon are; others are encoded for each batch. New
+    words are cut as the tokenizer cuts them, and each different part is encoded once. Parts end with an id that the
+    vocabulary marks as a word's end, which is checked; words for which this might not hold are encoded one by one.
+    """
 
-        self.encoder, self.kept = Tokenizer.from_file(path), {}
+    #: The tokenizer's own cut of a text.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __call__(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words = text.split()  # on bytes: ASCII white space
+    def __init__(self, path: str):
+        import regex
+        import tokenizers
+
+        self.encoder = tokenizers.Tokenizer.from_file(path)
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cut = regex.compile(self.PARTS + "| ").findall
+        spaces = b"|".join(chr(i).encode() for i in range(0x80, 0x3001) if chr(i).isspace() or i == 0x180E)
+        self.odd = regex.compile(rb"[\x00-\x1F\x7F]|<\||" + spaces).search
+        # a worker process runs one task after another, and what it has learned holds for all of them
+        self.kept: dict[bytes, bytes] = tokenizers.__dict__.setdefault("_kept_words", {}).setdefault(path, {})
+
+    def _one_by_one(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            codes = self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            out.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, codes, strict=True))
+        return out
+
+    def _together(self, words: list[bytes]) -> dict[bytes, bytes] | None:
+        """Ids of different words, or None if their parts can't be told apart."""
+        text = self.encoder.normalizer.normalize_str(b" ".join(words).decode("utf-8", "replace"))
+        if text.count(" ") != len(words) - 1:
+            return None
+        found = self.cut(text)
+        parts = list(dict.fromkeys(found))
+        if " " in parts:
+            parts.remove(" ")
+        ids_of = {}
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                return None
+            raw, stops = ids.tobytes(), (4 * ends).tolist()
+            ids_of.update((p, raw[s:e]) for p, s, e in zip(some, [0, *stops], stops, strict=False))
+        out, bits, n = {}, [], 0
+        for p in found:
+            if p == " ":
+                out[words[n]] = b"".join(bits)
+                bits, n = [], n + 1
+            else:
+                bits.append(ids_of[p])
+        out[words[n]] = b"".join(bits)
+        return out
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; none for null."""
         kept = self.kept
-        new = [w for w in dict.fromkeys(words) if w not in kept]
-        if new:
-            if len(kept) + len(new) > CACHE_WORDS:
-                kept.clear()
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                codes = self.encoder.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                kept.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, codes, strict=True))
-        return b"".join([kept[w] for w in words])
+        split = [t.split() if t else [] for t in texts]  # on bytes: ASCII white space
+        fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in kept]
+        new: dict[bytes, bytes] = {}
+        odd = [w for w in fresh if self.odd(w)]
+        if odd:
+            new.update(self._one_by_one(odd))
+            fresh = [w for w in fresh if w not in new]
+        if fresh:
+            new.update(self._together(fresh) or self._one_by_one(fresh))
+        for w in list(new)[: max(0, CACHE_WORDS - len(kept))]:
+            kept[w] = new.pop(w)
+        return [b"".join([kept[w] if w in kept else new[w] for w in words]) for words in split]
 
 
 def choose(needs: np.ndarray, waits: np.ndarray, room: np.ndarray, scale: np.ndarray) -> int:
@@ -125,7 +179,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     piece_loss = min(limits.tokens, limits.loss)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = WordTokenizer(path), Packer(limits)
+        encoder, packer = WordTokenizer(path), Packer(limits)
         sequence, rows, stop = TaskContext.get().partitionId() << 36, [], int(end).to_bytes(4, "little")
 
         def out(bins):
@@ -145,17 +199,20 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 made["doc_id"] = made["doc_id"].astype("Int64")
             return made
 
+        def place(d, free: bytes, ids_: bytes):
+            data = free + ids_ + stop
+            total, at, no_loss = len(data) // 4, 0, len(free) // 4
+            while at < total:
+                skip = min(max(0, no_loss - at), limits.tokens)
+                n = min(total - at, limits.tokens, skip + piece_loss)
+                out(packer.add((d, at, data[4 * at : 4 * (at + n)], total), n, n - min(skip, n)))
+                at += n
+
         for part in parts:
-            for d, before, t in zip(part["doc_id"].array, part["prompt"], part["body"], strict=True):
-                d = None if pd.isna(d) else d
-                free = encode(before) if before else b""
-                data = free + (encode(t) if t else b"") + stop
-                total, at, no_loss = len(data) // 4, 0, len(free) // 4
-                while at < total:
-                    skip = min(max(0, no_loss - at), limits.tokens)
-                    n = min(total - at, limits.tokens, skip + piece_loss)
-                    out(packer.add((d, at, data[4 * at : 4 * (at + n)], total), n, n - min(skip, n)))
-                    at += n
+            for some in (part[i : i + 2000] for i in range(0, len(part), 2000)):
+                free = encoder.encode(list(some["prompt"])) if prompt else [b""] * len(some)
+                for d, before, after in zip(some["doc_id"].array, free, encoder.encode(list(some["body"])), strict=True):
+                    place(None if pd.isna(d) else d, before, after)
             yield frame()
         out(packer.close())
         yield frame()
