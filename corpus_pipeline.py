@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, quality, secrets, simhash
+from tidemark.llm import decontaminate, packing, quality, secret_scan, simhash
 from tidemark.llm.common import plain
 from tidemark.llm.queries import table, vocabulary
 from tidemark.session import written
@@ -33,7 +33,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced, and their lengths anew."""
-    clean = secrets.redact(docs)
+    clean = secret_scan.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
     length = F.length("text").cast(docs.schema["n_chars"].dataType)

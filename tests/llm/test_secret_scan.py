@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tidemark.llm import secrets
+from tidemark.llm import secret_scan as secrets
 
 ASSIGN = re.compile(secrets.ASSIGN.replace(r"\x20", " "), re.IGNORECASE | re.ASCII)
 

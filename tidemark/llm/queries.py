@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, logbilinear, packing, quality, secrets, shards, simhash, toxicity
+from tidemark.llm import curves, decontaminate, language, logbilinear, packing, quality, secret_scan, shards, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -63,9 +63,14 @@ def op6(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_hilbert_neighbours")
+def op7(spark, sf_dir):
+    return curves.digest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_secret_scan")
 def op8(spark, sf_dir):
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
 @query("op9_log_bilinear")
