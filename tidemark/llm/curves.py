@@ -96,7 +96,7 @@ def distinct_vectors(vectors: DataFrame, vec_id: str, vector: str, keep: int, ki
         seen: dict[bytes, list[int]] = {}
 
         def frame():
-            out = pd.DataFrame({"raw": list(seen), "ids": list(seen.values())})
+            out = pd.DataFrame({"raw": pd.Series(list(seen), dtype=object), "ids": pd.Series(list(seen.values()), dtype=object)})
             seen.clear()
             return out
 
