@@ -8,8 +8,8 @@ from tidemark.llm.queries import table
 
 def index_of(texts, labels):
     index = toxicity.Index(np.array(labels))
-    terms = {w for t in texts for w in toxicity.terms_of(t)}
-    index.idf = {w: 1.0 + sum(w in toxicity.terms_of(t) for t in texts) ** -0.5 for w in terms}
+    terms = {w for t in texts for w in toxicity.words_of(t)}
+    index.idf = {w: 1.0 + sum(w in toxicity.words_of(t) for t in texts) ** -0.5 for w in terms}
     index.build([index.vector(t) for t in texts])
     return index
 

@@ -19,17 +19,27 @@ EXAMPLES = 2000
 #: Examples that vote, block length of the posting lists.
 NEIGHBOURS = 25
 BLOCK = 64
-#: Terms kept: of those whose share of documents differs between the labels by this many standard errors.
+#: Terms kept: those whose share of documents differs between the labels by this many standard errors, and by this factor.
 SIGMAS = 5.0
+FACTOR = 3.0
+#: Besides words, their beginnings of so many bytes are terms, so that other endings of a word are met.
+STEMS = (4, 5)
+#: Words whose kept terms a task remembers.
+CACHE_WORDS = 200_000
 LEAST_DOCUMENTS = 5
 #: Fixed by the definition of a term: lower-cased A-Z, digits and everything outside ASCII.
 _TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TERM).split()
 
 
+def terms_of(word: bytes) -> list[bytes]:
+    """The word, and its beginnings with a mark that no word has."""
+    return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
+
+
 @dataclass
 class Index:
     """Examples as unit TF-IDF vectors, by term: example numbers and weights in blocks, with each block's largest weight."""
@@ -39,6 +49,7 @@ class Index:
     examples: dict[bytes, np.ndarray] = field(default_factory=dict)
     weights: dict[bytes, np.ndarray] = field(default_factory=dict)
     tops: dict[bytes, np.ndarray] = field(default_factory=dict)
+    known: dict[bytes, tuple[bytes, ...]] = field(default_factory=dict, repr=False)
     prior: float = 0.0
     blank: float = 0.0
     bandwidth: float = 0.25
@@ -46,8 +57,16 @@ class Index:
 
     def vector(self, text: bytes | None) -> dict[bytes, float]:
         """Unit TF-IDF vector over the kept terms: (1 + log of the count) times idf. Empty if the text has none of them."""
-        idf = self.idf
-        seen = Counter([w for w in terms_of(text) if w in idf])
+        idf, known = self.idf, self.known
+        seen: Counter[bytes] = Counter()
+        for w in words_of(text):
+            terms = known.get(w)
+            if terms is None:
+                terms = tuple(t for t in terms_of(w) if t in idf)
+                if len(known) < CACHE_WORDS:
+                    known[w] = terms
+            if terms:
+                seen.update(terms)
         v = {w: (1 + log(n)) * idf[w] for w, n in seen.items()}
         norm = sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()} if norm else {}
@@ -117,26 +136,32 @@ class Index:
         return float((toxic + ground * self.prior) / (total + ground)), near, cosines
 
 
-def _sample(marked: DataFrame, label: int, n: int, seed: int) -> list[tuple[bytes | None, int]]:
-    """``n`` rows of a label with the smallest hashes: the same in any partitioning."""
-    some = marked.where(F.col("_label") == label).select("h", "body")
-    if (m := some.count()) > 2 * n:  # leave out most rows before they are sorted; what is left holds the n smallest, or all are sorted
-        cut = some.where(F.shiftrightunsigned("h", 11) < int(2 * n / m * (1 << 53)))
-        some = cut if cut.count() >= n else some
-    return [(r["body"] and bytes(r["body"]), label) for r in some.orderBy("h").limit(n).collect()]
+def _sample(marked: DataFrame, label: int, n: int, rows: int) -> list[tuple[bytes | None, int]]:
+    """Of the ``rows`` of a label, ``n`` different texts with the smallest hashes: the same in any partitioning.
+
+    Most rows are left out by their hash before equal ones are united; if too few texts are left, as there are many
+    copies, all are taken in.
+    """
+    some = marked.where(F.col("_label") == label)
+    for share in (4.0 * n / max(rows, 1), 1.0):
+        near = some if share >= 1 else some.where(F.shiftrightunsigned("h", 11) < int(share * (1 << 53)))
+        found = near.groupBy("h").agg(F.min("body").alias("body")).orderBy(F.shiftrightunsigned("h", 11), "h").limit(n).collect()
+        if len(found) == n:
+            break
+    return [(r["body"] and bytes(r["body"]), label) for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, seed: int = 11) -> Index:
-    """An index over a bounded sample of labelled documents: at most ``examples`` of either label, by hash of the text.
+    """An index over a bounded sample of labelled documents: at most ``examples`` different texts of either label.
 
     Terms are those that the two labels use in clearly different shares of their documents, so that a term marks a
     document rather than its topic. A document with several labels has the smallest; null labels are left out.
     """
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body(F.col(f"`{text}`")).alias("body"))
     named = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("label"))
-    marked = labelled(source, named, "label").where("_label is not null").withColumn("h", F.xxhash64("doc_id", "body", F.lit(seed)))
+    marked = labelled(source, named, "label").where("_label is not null").withColumn("h", F.xxhash64("body", F.lit(seed)))
     totals = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = _sample(marked, 0, examples, seed) + _sample(marked, 1, examples, seed)
+    rows = [x for y in (0, 1) for x in _sample(marked, y, examples, totals.get(y, 0))]
     index = Index(np.array([y for _, y in rows], np.int64))
     n = np.array([totals.get(0, 0), totals.get(1, 0)], float)
     kept = np.bincount(index.labels, minlength=2).astype(float)
@@ -147,16 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     index.prior = float(n[1] / n.sum())
     seen = [Counter(), Counter()]
     for t, y in rows:
-        seen[y].update(set(terms_of(t)))
+        seen[y].update({x for w in set(words_of(t)) for x in terms_of(w)})
     for w in seen[0].keys() | seen[1].keys():
         a = np.array([seen[0][w], seen[1][w]])
         if a.sum() < LEAST_DOCUMENTS:
             continue
         p, pooled = a / kept, a.sum() / kept.sum()
-        if abs(p[0] - p[1]) >= SIGMAS * sqrt(pooled * (1 - pooled) * (1 / kept).sum()):
+        more, less = (p + 0.5 / kept).max(), (p + 0.5 / kept).min()
+        if more >= FACTOR * less and more - less >= SIGMAS * sqrt(pooled * (1 - pooled) * (1 / kept).sum()):
             index.idf[w] = log(1 + kept.sum() / a.sum())
     vectors = [index.vector(t) for t, _ in rows]
     index.build(vectors)
+    index.known.clear()
     empty = np.bincount([y for v, (_, y) in zip(vectors, rows, strict=True) if not v], minlength=2) * index.scale
     index.blank = float((empty[1] + index.prior) / (empty.sum() + 1))
     return index
