@@ -17,10 +17,19 @@ def test_label_texts(spark):
 
 def test_first_true_label(spark):
     df = spark.createDataFrame([("{'sad': False, 'angry': True, 'calm': True}",), ("{'sad': False}",), ("{broken",)], "t string")
-    classes = ["angry", "calm", "sad"]
-    assert [r[0] for r in df.select(col.first_true(F.col("t"), classes)).collect()] == [0, 0, 0]
-    df = spark.createDataFrame([("{'sad': True, 'angry': True}",)], "t string")
-    assert df.select(col.first_true(F.col("t"), classes)).collect()[0][0] == 2
+    assert [r[0] for r in df.select(col.first_true(F.col("t"))).collect()] == ["angry", None, None]
+    assert [r[0] for r in prep.first_true_index(df, "t").select("label_index").collect()] == [0, 0, 0]
+    df = df.unionByName(spark.createDataFrame([("{'sad': True, 'angry': True}",)], "t string"))
+    assert sorted(r[0] for r in prep.first_true_index(df, "t").select("label_index").collect()) == [0, 0, 0, 2]
+
+
+def test_many_and_late_classes(spark):
+    df = spark.range(3000).select(F.format_string("{'k%05d': True}", F.col("id")).alias("t"), "id")
+    assert prep.first_true_index(df, "t").where("label_index <> id").count() == 0
+    labels = spark.range(1, 30).select(F.col("id").alias("step"), F.when(F.col("id") == 11, "cat").otherwise(F.col("id").cast("string")).alias("y"))
+    assert prep.needs_encoding(labels, "y").first()[0]
+    assert not prep.needs_encoding(labels, "y", first=10).first()[0]
+    assert {r.y: r.label_index for r in prep.label_index(labels, "y").collect()} == {y: i for i, y in enumerate(sorted(r.y for r in labels.collect()))}
 
 
 def test_numbers(spark):
@@ -52,8 +61,8 @@ def test_sparse_keys_from_first_rows(spark):
         F.col("id").alias("step"),
         F.when(F.col("id") == 10_001, F.create_map(F.lit("late"), F.lit(1.0))).otherwise(F.create_map(F.lit("b"), F.lit(2.0))).alias("x"),
     )
-    assert prep.sparse_to_columns(df, "x").columns == ["step", "x_b"]
-    out = prep.sparse_to_columns(df, "x", key_rows=None)
+    assert prep.sparse_to_columns(df, "x", key_rows=10_000).columns == ["step", "x_b"]
+    out = prep.sparse_to_columns(df, "x")
     assert out.columns == ["step", "x_b", "x_late"]
     assert tuple(out.filter("step = 10001").collect()[0])[1:] == (0.0, 1.0)
 

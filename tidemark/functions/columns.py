@@ -50,16 +50,14 @@ def whole_class(pred: Column) -> Column:
     return pred.cast("double").cast("int")
 
 
-def first_true(text: Column, classes: list[str]) -> Column:
-    """Index of the first true key of a dict text such as ``{'a': False, 'b': True}``.
+def first_true(text: Column) -> Column:
+    """First true key of a dict text such as ``{'a': False, 'b': True}``; keys keep their order.
 
-    Keys keep their order; no true key gives the first class, a broken text gives index 0.
+    NULL if no key is true or the text is broken; its index is then 0 (see ``prepare.first_true_index``).
     """
     json = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     entries = F.map_entries(F.from_json(json, "map<string,boolean>"))
-    name = F.get(F.filter(entries, lambda e: e["value"]), 0)["key"]
-    position = F.array_position(F.array(*[F.lit(c) for c in classes]), name) - 1
-    return F.coalesce(F.when(position >= 0, position), F.lit(0)).cast("int")
+    return F.get(F.filter(entries, lambda e: e["value"]), 0)["key"]
 
 
 def dict_keys(text: Column) -> Column:
@@ -83,7 +81,7 @@ def two_sided(z: Column) -> Column:
 
 def uniform(*parts: Column) -> Column:
     """Repeatable number in [0, 1) from a hash of the parts; the same on every run and partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)).cast("double") / 1_000_003.0
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
 def poisson_weight(u: Column, rate: float, largest: int = 30) -> Column:

@@ -29,6 +29,7 @@ def gaussian_nb(stream: Stream, classes: list, features: list[str], name: str =
     for i, c in enumerate(classes):
         sums[f"_n{i}"] = F.when(y == c, 1.0).otherwise(0.0)
         for f in features:
+            sums[f"_m{i}_{f}"] = F.expr(f"CASE WHEN `{f}` IS NULL THEN 0D ELSE _mine{i} END")
             sums[f"_s{i}_{f}"] = F.expr(f"_mine{i} * {around[f]}")
             sums[f"_q{i}_{f}"] = F.expr(f"_mine{i} * {around[f]} * {around[f]}")
     rows = (stream.df if rows is None else rows).withColumns({f"_mine{i}": sums[f"_n{i}"] for i in range(len(classes))})
@@ -38,8 +39,10 @@ def gaussian_nb(stream: Stream, classes: list, features: list[str], name: str =
     for i in range(len(classes)):
         score = f"ln(_n{i} / ({seen}))"
         for f in features:
-            mean = f"`_s{i}_{f}` / _n{i}"
-            var = f"greatest(`_q{i}_{f}` / _n{i} - ({mean}) * ({mean}), {VARIANCE_FLOOR}D)"
-            score += f" - 0.5D * ln({2 * math.pi!r}D * {var}) - ({around[f]} - {mean}) * ({around[f]} - {mean}) / (2 * {var})"
+            mean = f"`_s{i}_{f}` / `_m{i}_{f}`"
+            var = f"greatest(`_q{i}_{f}` / `_m{i}_{f}` - ({mean}) * ({mean}), {VARIANCE_FLOOR}D)"
+            density = f"0.5D * ln({2 * math.pi!r}D * {var}) + ({around[f]} - {mean}) * ({around[f]} - {mean}) / (2 * {var})"
+            # a missing value says nothing about the class, nor does a feature not yet seen in it
+            score += f" - CASE WHEN `{f}` IS NULL OR `_m{i}_{f}` = 0 THEN 0D ELSE {density} END"
         scores.append(F.expr(f"CASE WHEN _n{i} > 0 THEN {score} END"))
     return out.withColumn(name, best_class(scores, classes)).drop(*sums, *[f"_mine{i}" for i in range(len(classes))])

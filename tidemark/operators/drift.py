@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 DELTA = 0.002
 
 
-def cut_bound(n0, n1, var, delta: float = DELTA, log=math.log, sqrt=math.sqrt):
-    """Largest mean difference that chance explains between the two sides of a cut."""
+def cut_bound(n0, n1, var, delta: float = DELTA, log=math.log, sqrt=math.sqrt, span=1.0):
+    """Largest mean difference that chance explains between the two sides of a cut; ``span`` is the range of the values."""
     m = 1.0 / (1.0 / n0 + 1.0 / n1)
     evidence = log(2.0 * log(n0 + n1) / delta)
-    return sqrt(2.0 / m * var * evidence) + 2.0 / (3.0 * m) * evidence
+    return sqrt(2.0 / m * var * evidence) + span * 2.0 / (3.0 * m) * evidence
 
 
 def cut_tests(blocks: DataFrame, keys: list[str], delta: float = DELTA) -> DataFrame:
@@ -38,10 +38,11 @@ class BlockAdwin:
     """Window over (n, mean, variance) of blocks; drops old blocks while a cut shows a change."""
 
     def __init__(self, delta: float = DELTA) -> None:
-        self.delta, self.window = delta, []
+        self.delta, self.window, self.span = delta, [], 0.0
 
-    def add(self, n: float, s: float, q: float) -> bool:
-        """Add one block; True if the window shrank because the mean went up."""
+    def add(self, n: float, s: float, q: float, top: float = 1.0) -> bool:
+        """Add one block (weight, sum and sum of squares of its errors, and the largest); True if the window shrank because the mean went up."""
+        self.span = max(self.span, top)
         if n <= 0:
             return False
         self.window.append((n, s, q))
@@ -57,7 +58,7 @@ class BlockAdwin:
         n0 = s0 = 0.0
         for bn, bs, _ in self.window[:-1]:
             n0, s0 = n0 + bn, s0 + bs
-            if abs(s0 / n0 - (s - s0) / (n - n0)) > cut_bound(n0, n - n0, var, self.delta):
+            if abs(s0 / n0 - (s - s0) / (n - n0)) > cut_bound(n0, n - n0, var, self.delta, span=self.span):
                 return True
         return False
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import uniform
@@ -198,6 +201,22 @@ def stacking(blocks: Blocks, features: list[str], classes: list, index: Column,
     return meta.run()
 
 
+def smallest(rows: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` rows of each block with the smallest ``u`` (ties by step), exactly: first in each partition, then over all."""
+
+    def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in parts:
+            both = part if best is None else pd.concat([best, part])
+            best = both.sort_values(["u", "step"]).groupby("block", sort=False).head(cap)
+        if best is not None:
+            yield best
+
+    few = rows.mapInPandas(local, rows.schema)
+    place = F.row_number().over(Window.partitionBy("block").orderBy("u", "step"))
+    return few.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
+
+
 def two_memories(
     blocks: Blocks, features: list[str], windows: tuple[int, ...] = (50, 100, 200), k: int = 5, cap: int = 200, seed: int = 42, name: str = "sam"
 ) -> DataFrame:
@@ -218,12 +237,8 @@ def two_memories(
     rows = written(rows.withColumn("block", blocks.number()), "memories")
     # long memory after block b: the cap rows with the smallest hash among the clean rows of blocks <= b
     clean = rows.filter(F.col(f"short_{windows[-1]}") == F.col("y"))
-    item = F.struct(uniform(F.lit(seed), F.col("step")).alias("u"), "step", "x", "y")
-    # keep cap rows per block before anything is collected: only these can be among the cap of a prefix
-    share = min(1.0, 4.0 * cap / max(blocks.size, 1))
-    drawn = clean.select("block", item.alias("r"))
-    kept = drawn.filter(F.col("r.u") <= share)
-    lists = kept.groupBy("block").agg(F.slice(F.array_sort(F.collect_list("r")), 1, cap).alias("l")).collect()
+    drawn = clean.select("block", uniform(F.lit(seed), F.col("step")).alias("u"), "step", "x", "y")
+    lists = smallest(drawn, cap).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("u", "step", "x", "y"))).alias("l")).collect()
     memory, states = [], [{"long": []}]
     by_block = {r["block"]: r["l"] for r in lists}
     for b in range(1, blocks.used):

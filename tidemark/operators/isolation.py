@@ -1,7 +1,7 @@
 """Isolation-style scorers: trees built on a sample of the block before, scored by column expressions.
 
 Which rows a tree sees depends on a hash only, and a block is scored with trees of the block before, so all
-blocks are built and scored at once. A tree is built from at most ``SAMPLE`` rows; that sample is the method.
+blocks are built and scored at once. A tree is built from a sample of the block; its size is an argument.
 """
 
 from __future__ import annotations
@@ -67,15 +67,19 @@ def build_tree(x: np.ndarray, kind: str, rng: np.random.Generator, depth: int =
     return feature.tolist(), cut.tolist(), value.tolist()
 
 
-def tree_scores(blocks: Blocks, features: list[str], kind: str = "path", n_trees: int = 10, seed: int = 42, name: str = "score") -> DataFrame:
-    """Add the score of every row; 0.0 in the first block, which has no trees."""
+def tree_scores(blocks: Blocks, features: list[str], kind: str = "path", n_trees: int = 10, seed: int = 42, name: str = "score", sample: int = SAMPLE) -> DataFrame:
+    """Add the score of every row; 0.0 in the first block, which has no trees.
+
+    A tree sees the ``sample`` rows of its block with the smallest hashes (all rows of a smaller block). Rows are first
+    thinned to a share that holds so many but for a chance below 1e-20.
+    """
     rows = blocks.stream.df.select("step", *[F.col(f).cast("double").alias(f) for f in features])
     rows = rows.withColumn("block", blocks.number())
-    share = min(1.0, 1.5 * SAMPLE / blocks.size)
+    share = min(1.0, (sample + 10 * math.sqrt(sample) + 50) / blocks.size)
     draw = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), uniform(F.lit(seed), t, F.col("step")).alias("u")))
     picked = rows.withColumn("p", F.explode(F.filter(draw, lambda d: d["u"] <= share))).select("block", "p.tree", "p.u", "step", *features)
-    rank = F.row_number().over(Window.partitionBy("block", "tree").orderBy("u", "step"))
-    picked = picked.withColumn("_r", rank).filter(F.col("_r") <= SAMPLE)
+    rank = F.row_number().over(Window.partitionBy("block", "tree").orderBy("u", F.xxhash64(F.lit(seed), "tree", "step")))
+    picked = picked.withColumn("_r", rank).filter(F.col("_r") <= sample)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
@@ -91,5 +95,5 @@ def tree_scores(blocks: Blocks, features: list[str], kind: str = "path", n_trees
     reached = F.transform("trees", lambda t: F.get(t["value"], walk(F.col("_x"), t["feature"], t["cut"], DEPTH)))
     mean = F.aggregate(reached, F.lit(0.0), lambda a, v: a + v) / n_trees
     if kind == "path":
-        mean = F.pow(F.lit(2.0), -mean / _average_path(min(SAMPLE, blocks.size)))
+        mean = F.pow(F.lit(2.0), -mean / _average_path(min(sample, blocks.size)))
     return out.withColumn(name, F.coalesce(mean, F.lit(0.0))).select("step", name)

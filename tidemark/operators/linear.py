@@ -23,20 +23,21 @@ def block_scaled(blocks: Blocks, features: list[str], rows: DataFrame | None = N
     """
     rows = blocks.stream.df if rows is None else rows
     centre = blocks.stream.centre
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = []
     for f in features:
         v = F.col(f).cast("double") - F.lit(float(centre.get(f, 0.0)))
-        aggs += [F.sum(v).alias(f"s_{f}"), F.sum(v * v).alias(f"q_{f}")]
+        aggs += [F.count(v).alias(f"n_{f}"), F.sum(v).alias(f"s_{f}"), F.sum(v * v).alias(f"q_{f}")]
     per_block = {r["b"]: r for r in rows.groupBy(blocks.number().alias("b")).agg(*aggs).collect()}
-    n, s, q = 0.0, np.zeros(len(features)), np.zeros(len(features))
+    n, s, q = (np.zeros(len(features)) for _ in range(3))
     stats = [([0.0] * len(features), [0.0] * len(features))]
     for b in range(1, blocks.used + 1):
         r = per_block[b]
-        n += r["n"]
+        n += [r[f"n_{f}"] for f in features]
         s += [r[f"s_{f}"] or 0.0 for f in features]
         q += [r[f"q_{f}"] or 0.0 for f in features]
-        var = np.maximum(q / n - (s / n) ** 2, 0.0)
-        mean = s / n + [centre.get(f, 0.0) for f in features]
+        seen = np.maximum(n, 1.0)
+        var = np.maximum(q / seen - (s / seen) ** 2, 0.0)
+        mean = s / seen + [centre.get(f, 0.0) for f in features]
         stats.append((mean.tolist(), np.sqrt(var).tolist()))
     states = [{"zm": stats[b][0], "zs": stats[b][1], "lm": stats[b + 1][0], "ls": stats[b + 1][1]} for b in range(blocks.used)]
     out = blocks.with_state(states, "zm array<double>, zs array<double>, lm array<double>, ls array<double>", rows)
@@ -44,7 +45,8 @@ def block_scaled(blocks: Blocks, features: list[str], rows: DataFrame | None = N
     for i, f in enumerate(features):
         for k in "zl":
             spread = F.col(f"{k}s")[i]
-            cols[f"{k}_{f}"] = F.when(spread > 0, (F.col(f) - F.col(f"{k}m")[i]) / F.nullif(spread, F.lit(0.0))).otherwise(0.0)
+            scaled = F.when(spread > 0, (F.col(f) - F.col(f"{k}m")[i]) / F.nullif(spread, F.lit(0.0)))
+            cols[f"{k}_{f}"] = F.coalesce(scaled, F.lit(0.0))  # a missing value counts as the mean
     return out.withColumns(cols).drop("zm", "zs", "lm", "ls", "block")
 
 
@@ -116,6 +118,8 @@ class LinearBlock:
             step = F.when(sign * score <= margin * F.sqrt(norm), sign).otherwise(0.0) / F.sqrt(norm)
         else:  # one_class: hinge below the offset
             step = F.when(score < 0, 1.0).otherwise(0.0)
+        if self.loss != "one_class":
+            step = F.when(y.isNotNull(), step)  # rows without a target take no part in the mean
         out = {f"g{i}": F.avg(step * xi) for i, xi in enumerate(x)}
         return {**out, "gb": F.avg(step)}
 
@@ -239,8 +243,11 @@ class MlpBlock:
 
 
 def product_sums(blocks: Blocks, columns: list[str], rows: DataFrame | None = None) -> DataFrame:
-    """(block, n, sums of all pairwise products) of the blocks; the constant 1 is the first column."""
-    rows = blocks.stream.df if rows is None else rows
+    """(block, n, sums of all pairwise products) of the blocks; the constant 1 is the first column.
+
+    Rows with a missing value in any of the columns are left out, so that all sums are over the same rows.
+    """
+    rows = (blocks.stream.df if rows is None else rows).dropna(subset=columns)
     names = ["1", *columns]
     value = {"1": F.lit(1.0), **{c: F.col(c).cast("double") for c in columns}}
     aggs = [F.sum(value[a] * value[b]).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]]
@@ -273,7 +280,7 @@ def normal_equations(blocks: Blocks, features: list[str], target: str, ridge: fl
         a = m[:k, :k] / np.outer(scale, scale) + ridge * np.eye(k)
         states.append({"w": (np.linalg.solve(a, m[:k, k] / scale) / scale).tolist()})
     out = blocks.with_state(states, "w array<double>")
-    pred = _total([F.col("w")[0], *[F.col(f).cast("double") * F.col("w")[i + 1] for i, f in enumerate(features)]])
+    pred = _total([F.col("w")[0], *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * F.col("w")[i + 1] for i, f in enumerate(features)]])
     return out.withColumn(name, pred).drop("w", "block")
 
 

@@ -76,7 +76,7 @@ def mondrian_forest(
     routed = blocks.with_state(drawn, "trees array<struct<feature:array<int>,cut:array<double>>>").drop("block").withColumn("_x", x)
     routed = routed.withColumn("_leaf", F.transform("trees", lambda t: walk(F.col("_x"), t["feature"], t["cut"], depth) - inner)).drop("trees", "_x")
     y = target.cast("double")
-    long = routed.select(blocks.number().alias("block"), y.alias("y"), F.posexplode("_leaf").alias("tree", "leaf"))
+    long = routed.where(y.isNotNull()).select(blocks.number().alias("block"), y.alias("y"), F.posexplode("_leaf").alias("tree", "leaf"))
     if classes:
         sums = long.groupBy("block", "tree", "leaf", "y").agg(F.count(F.lit(1)).cast("double").alias("n")).toPandas()
         width = classes
@@ -92,7 +92,10 @@ def mondrian_forest(
         if classes:
             value = (count + 0.5) / (count.sum(axis=2, keepdims=True) + 0.5 * classes)
         else:
-            value = np.divide(count[..., 1], count[..., 0], out=np.zeros_like(count[..., 0]), where=count[..., 0] > 0)[..., None]
+            value = np.divide(count[..., 1], count[..., 0], out=np.zeros_like(count[..., 0]), where=count[..., 0] > 0)
+            for node in range(1, value.shape[1]):  # a cell without rows says what the cell around it says
+                value[:, node] = np.where(count[:, node, 0] > 0, value[:, node], value[:, (node - 1) // 2])
+            value = value[..., None]
         spread = 1.0 if classes else max(count[:, 0, 2].sum() / max(count[:, 0, 0].sum(), 1.0), 1e-12)
         mixed = np.stack([_blend(value[t], loss[t], inner, 1.0 if classes else 1.0 / spread) for t in range(n_trees)])
         states.append({"leaf_values": mixed.tolist() if classes else mixed[..., 0].tolist()})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import number_or_null, number_or_zero
+from tidemark.functions.columns import dict_keys, first_true, number_or_null, number_or_zero
+from tidemark.plans.order import numbered
 from tidemark.plans.prefix import moments
 from tidemark.plans.stream import Stream
 
@@ -17,20 +18,25 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def needs_encoding(df: DataFrame, label: str, first: int = 10) -> DataFrame:
-    """Whether any of the first ``first`` labels is not a number (the type sniff looks no further)."""
-    return df.filter(F.col("step") <= first).agg(
+def needs_encoding(df: DataFrame, label: str, first: int | None = None) -> DataFrame:
+    """Whether any label is not a number. ``first`` looks at so many rows only, as row-by-row loaders do (10)."""
+    seen = df if first is None else df.filter(F.col("step") <= first)
+    return seen.agg(
         (F.count_if(number_or_null(F.col(label)).isNull()) > 0).alias("needs_encoding")
     )
 
 
 def label_index(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
-    """Encode labels as 0.. in sorted (bytewise) order; ``limit`` in class_list bounds the mapping."""
-    labels = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().limit(100_001).collect())
-    if len(labels) > 100_000:
-        raise ValueError("too many distinct labels for a class column")
-    mapping = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], f"{label} string, {name} int")
-    return df.join(F.broadcast(mapping), label, "left")
+    """Encode labels as 0.. in sorted (bytewise) order, however many there are."""
+    return df.join(bounded(numbered(df, label, name)), label, "left")
+
+
+def first_true_index(df: DataFrame, text: str, name: str = "label_index") -> DataFrame:
+    """Index of the first true key of a dict text among all keys of the column, sorted; 0 if there is none."""
+    keys = df.select(F.explode(dict_keys(F.col(text))).alias("_key"))
+    place = bounded(numbered(keys, "_key", name))
+    out = df.withColumn("_first", first_true(F.col(text))).join(place, F.col("_first") == F.col("_key"), "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0))).drop("_first", "_key")
 
 
 def one_vs_rest(df: DataFrame, label: str, normal: str, drop: tuple[int, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,10 +74,11 @@ def interval_label(
     return hit.withColumn("target", F.col("_s").isNotNull().cast("int")).drop("_bucket", "_b", "_s", "_e", "_island")
 
 
-def sparse_to_columns(df: DataFrame, features: str, key_rows: int | None = 10_000, limit: int = 5_000) -> DataFrame:
+def sparse_to_columns(df: DataFrame, features: str, key_rows: int | None = None, limit: int = 5_000) -> DataFrame:
     """One column per key of a map column, sorted, missing keys 0.0.
 
-    Keys are taken from the first ``key_rows`` rows (later unseen keys are dropped); ``None`` takes all rows.
+    Keys are taken from all rows. ``key_rows`` takes them from the first rows only, as row-by-row loaders do, and drops
+    keys first seen later. A table can't have columns without end: beyond ``limit`` keys it stays a map.
     """
     seen = df if key_rows is None else df.filter(F.col("step") <= key_rows)
     keys = sorted(r[0] for r in seen.select(F.explode(F.map_keys(features)).alias("key")).distinct().limit(limit + 1).collect())

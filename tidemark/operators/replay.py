@@ -21,6 +21,8 @@ from tidemark.plans.stream import Stream, parallelism
 from tidemark.session import written
 
 CHUNK_ROWS = 1_000_000
+#: A stream without keys is replayed up to this length, in chunks; it runs on one core.
+KEYLESS_ROWS = 1_000_000
 
 
 class RunningScale:
@@ -116,12 +118,17 @@ def replay_rows(model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.empty(len(y))
     for i in range(len(y)):
         out[i] = model.predict(x[i])
-        model.learn(x[i], y[i])
+        if not math.isnan(y[i]):
+            model.learn(x[i], y[i])  # a row without a target is predicted only
     return out
 
 
 def replay(stream: Stream, models: dict[str, Callable], features: list[str], target: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(keys, step, target, one prediction column per model); ``models`` maps names to ``f(n_features)``."""
+    """(keys, step, target, one prediction column per model); ``models`` maps names to ``f(n_features)``.
+
+    Missing features count as 0. A stream without keys is one group, so only a short one is taken."""
+    if not stream.by and stream.n > KEYLESS_ROWS:
+        raise ValueError(f"a stream of more than {KEYLESS_ROWS} rows without keys can't be spread: use a block model")
     by = list(stream.by) or ["_one"]
     rows = stream.df if stream.by else stream.df.withColumn("_one", F.lit(0))
     rows = rows.select(*by, "step", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
@@ -135,7 +142,7 @@ def replay(stream: Stream, models: dict[str, Callable], features: list[str], tar
         if rows_pdf.empty:
             return pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
         rows_pdf = rows_pdf.sort_values("step", kind="stable")
-        x, y = rows_pdf[features].to_numpy(float), rows_pdf["_y"].to_numpy(float)
+        x, y = rows_pdf[features].fillna(0.0).to_numpy(float), rows_pdf["_y"].to_numpy(float)
         old = json.loads(state_pdf["_state"].iloc[0]) if state_pdf is not None and len(state_pdf) else {}
         out = rows_pdf[[*by, "step", "_y"]].copy()
         new = {}

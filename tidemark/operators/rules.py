@@ -51,9 +51,9 @@ def _best_cut(h: np.ndarray, delta: float, tie: float):
 
 
 def model_rules(
-    blocks: Blocks, features: list[str], target: Column, max_rules: int = 32, delta: float = 1e-7, tie: float = 0.05, name: str = "model_rules"
+    blocks: Blocks, features: list[str], target: Column, delta: float = 1e-7, tie: float = 0.05, name: str = "model_rules"
 ) -> DataFrame:
-    """Add the prediction (mean target of the covering rule)."""
+    """Add the prediction (mean target of the covering rule). Rows without a target are scored and not learned."""
     rows = binned(blocks.stream.df, features, edges_of(blocks, features)).withColumn("_y", target.cast("double"))
     n = len(features)
     rules = [Rule(n)]  # the last one is the default rule
@@ -65,12 +65,13 @@ def model_rules(
     state = lambda: {"rules": [(r.lo, r.hi, float(r.value)) for r in rules]}
     states = [state()]
     for b in range(1, blocks.used):
-        here = blocks.with_state(states, STATE, blocks.rows(b, rows)).withColumn("rule", first)
+        here = blocks.with_state(states, STATE, blocks.rows(b, rows).where("_y is not null")).withColumn("rule", first)
         y = F.col("_y")
+        here = here.withColumn("_e", F.pow(y - F.get("rules", F.col("rule"))["value"], F.lit(2)))
         table = (
-            here.select("rule", "_y", F.posexplode("_bins").alias("f", "bin"))
+            here.select("rule", "_y", "_e", F.posexplode("_bins").alias("f", "bin"))
             .groupBy("rule", "f", "bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.sum("_e").alias("e"), F.sum(F.col("_e") * F.col("_e")).alias("e2"), F.max("_e").alias("top"))
             .toPandas()
         )
         keep, new = [], []
@@ -79,10 +80,9 @@ def model_rules(
             h = np.zeros((n, BINS, 3))
             for j, c in enumerate(("n", "s", "q")):
                 np.add.at(h[:, :, j], (part["f"].to_numpy(int), part["bin"].to_numpy(int)), part[c].to_numpy(float))
-            cnt, s, q = h[0].sum(axis=0)
-            miss = max(q - 2 * r.value * s + r.value**2 * cnt, 0.0)
+            own = part[part["f"] == 0]
             default = i == len(rules) - 1
-            if r.adwin.add(cnt, miss, miss * miss / max(cnt, 1.0)) and not default:
+            if len(own) and r.adwin.add(own["n"].sum(), own["e"].sum(), own["e2"].sum(), own["top"].max()) and not default:
                 continue  # drifted: the rule goes
             r.hist = r.hist + h
             seen = r.hist[0].sum(axis=0)
@@ -99,8 +99,7 @@ def model_rules(
                 side = r.hist[f][: c + 1].sum(axis=0) if left else r.hist[f][c + 1 :].sum(axis=0)
                 grown.value = float(side[1] / side[0])
                 if default:
-                    if len(rules) + len(new) < max_rules:
-                        new.append(grown)
+                    new.append(grown)
                     r.hist = np.zeros_like(r.hist)
                 else:
                     r.hist = np.zeros_like(r.hist)

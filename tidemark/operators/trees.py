@@ -64,11 +64,12 @@ class Tree:
     hist: dict = field(default_factory=dict)  # node -> [feature, bin, output]
     drift: dict = field(default_factory=dict)  # node -> BlockAdwin
     errors: list = field(default_factory=list)
+    value: np.ndarray | None = None  # of gradient trees, per node: sum of the steps so far
 
     @classmethod
     def empty(cls, depth: int, outputs: int) -> "Tree":
         n = 2 ** (depth + 1) - 1
-        return cls(np.full(n, -1), np.zeros(n, int), np.zeros((n, outputs)))
+        return cls(np.full(n, -1), np.zeros(n, int), np.zeros((n, outputs)), value=np.zeros(n))
 
     def below(self, node: int) -> list[int]:
         """A node and all its descendants in the arrays."""
@@ -100,7 +101,9 @@ def edges_of(blocks: Blocks, features: list[str], bins: int = BINS) -> list[list
 
 
 def binned(rows: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
-    return rows.withColumn("_bins", F.array(*[interval_of(F.col(f), e) for f, e in zip(features, edges)]))
+    """Bins of the features; a missing value counts as 0, as in the readers."""
+    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    return rows.withColumn("_bins", F.array(*[interval_of(value(f), e) for f, e in zip(features, edges)]))
 
 
 class Forest:
@@ -132,8 +135,7 @@ class Forest:
             return np.where(s.sum(axis=1) > 0, s.argmax(axis=1), -1).astype(float)
         if self.spec.kind == "reg":
             return np.divide(s[:, 1], s[:, 0], out=np.zeros(len(s)), where=s[:, 0] > 0)
-        # every member fits the gradient left by the members before it, so its own value does not enter
-        return -self.spec.shrink * s[:, 1] / (s[:, 2] + self.spec.ridge)
+        return tree.value
 
     def state(self) -> dict:
         """The members as they enter the state table; factors of boosting are those of the blocks before."""
@@ -172,9 +174,8 @@ class Forest:
         if spec.boost:
             steps.append({"_w": self._boosted()})
         if spec.kind == "gradient":
-            # score before member m = sum of the values of members before m
-            before = lambda m: F.aggregate(F.slice(F.col("_value"), F.lit(1), m), F.lit(0.0), lambda a, v: a + v)
-            steps.append({"_f": F.transform(index, before)})
+            # the gradient at the current prediction of all members; they learn in turn, one a block
+            steps.append({"_f": F.array_repeat(F.aggregate("_value", F.lit(0.0), lambda a, v: a + v), spec.members)})
             p = lambda f: 1.0 / (1.0 + F.exp(-f))
             if spec.log_loss:
                 steps.append({"_a": F.transform("_f", lambda f: p(f) - y), "_b": F.transform("_f", lambda f: p(f) * (1.0 - p(f)))})
@@ -184,7 +185,11 @@ class Forest:
             steps.append({"_a": F.transform("_w", lambda w: w * y), "_b": F.transform("_w", lambda w: w * y * y)})
         else:
             steps.append({"_a": F.col("_w"), "_b": F.col("_w")})
-        steps.append({"_pay": F.arrays_zip(index.alias("m"), *[F.col(c) for c in ("_leaf", "_w", "_a", "_b")])})
+        if spec.kind == "reg":
+            steps.append({"_e": F.transform("_value", lambda v: F.pow(y - v, F.lit(2)))})
+        else:
+            steps.append({"_e": ones})
+        steps.append({"_pay": F.arrays_zip(index.alias("m"), *[F.col(c) for c in ("_leaf", "_w", "_a", "_b", "_e")])})
         return steps
 
     def payload(self, rows: DataFrame) -> DataFrame:
@@ -233,18 +238,23 @@ class Forest:
 
     # ------------------------------------------------------------ fitting
 
-    def histograms(self, rows: DataFrame):
-        """(member, leaf, feature, bin[, class]) sums of one block, as a small local table."""
-        table = rows.select("_y", "_bins", F.explode("_pay").alias("p"))
+    def histograms(self, rows: DataFrame, member: int | None = None):
+        """(member, leaf, feature, bin[, class]) sums of one block, as a small local table; of one member if it is named."""
+        pay = F.explode("_pay") if member is None else F.get("_pay", F.lit(member))
+        table = rows.select("_y", "_bins", pay.alias("p"))
         table = table.select(
             F.col("p.m").alias("m"), F.col("p._leaf").alias("leaf"), F.col("p._w").alias("w"), F.col("p._a").alias("a"),
-            F.col("p._b").alias("b"), "_y", F.posexplode("_bins").alias("f", "bin"),
+            F.col("p._b").alias("b"), F.col("p._e").alias("e"), "_y", F.posexplode("_bins").alias("f", "bin"),
         )
         if self.spec.kind == "class":
             keys, sums = ["m", "leaf", "f", "bin", "_y"], ["w"]
         else:
             keys, sums = ["m", "leaf", "f", "bin"], ["w", "a", "b"]
-        return table.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("n")).toPandas()
+        aggs = [F.sum(c).alias(c) for c in sums] + [F.count(F.lit(1)).alias("n")]
+        if self.spec.kind == "reg":
+            # squared errors: weighted sum, sum of squares and largest, for the drift test
+            aggs += [F.sum(F.col("w") * F.col("e")).alias("e"), F.sum(F.col("w") * F.col("e") * F.col("e")).alias("e2"), F.max("e").alias("top")]
+        return table.groupBy(*keys).agg(*aggs).toPandas()
 
     def fit(self, learn: DataFrame | None = None) -> list[dict]:
         """States before each block. ``learn`` gives other rows to learn from (default: the stream itself)."""
@@ -252,8 +262,10 @@ class Forest:
         rows = binned(blocks.stream.df if learn is None else learn, self.features, self.edges)
         states = [self.state()]
         for b in range(1, blocks.used):
-            here = blocks.with_state(states, STATE, blocks.rows(b, rows))
-            self.learn(self.histograms(self.payload(self.routed(here))))
+            # rows without a target are scored and not learned
+            here = blocks.with_state(states, STATE, blocks.rows(b, rows).where(self.target.isNotNull()))
+            turn = (b - 1) % self.spec.members if self.spec.kind == "gradient" else None
+            self.learn(self.histograms(self.payload(self.routed(here)), turn))
             states.append(self.state())
         return states
 
@@ -282,9 +294,15 @@ class Forest:
                     for j, c in enumerate(("w", "a", "b")):
                         np.add.at(h[:, :, j], (f, bins), part[c].to_numpy(float))
                 node = int(leaf)
-                # gradients age with the model, so only the block itself counts
-                tree.hist[node] = h if spec.kind == "gradient" else tree.hist.get(node, 0) + h
-                tree.stats[node] += h[0].sum(axis=0)
+                if spec.kind == "gradient":
+                    # gradients age with the model, so only the block itself counts
+                    tree.hist[node] = h
+                    tree.stats[node] = h[0].sum(axis=0)
+                    if node >= 2**spec.depth - 1:
+                        tree.value[node] += self._step(tree.stats[node])
+                else:
+                    tree.hist[node] = tree.hist.get(node, 0) + h
+                    tree.stats[node] += h[0].sum(axis=0)
                 if spec.revisit:
                     while node > 0:
                         node = (node - 1) // 2
@@ -304,12 +322,15 @@ class Forest:
             weight = one["w"].to_numpy(float)
             self.right[i] += weight[~wrong].sum()
             self.wrong[i] += weight[wrong].sum()
-            err, sq = n * wrong, n * wrong
+            err, sq, top = n * wrong, n * wrong, 1.0
         elif self.spec.kind == "reg":
-            w, a, b = (one[c].to_numpy(float) for c in ("w", "a", "b"))
-            err = sq = np.maximum(0.0, b - 2 * value * a + w * value * value)
+            # by the summed weights, as the errors are weighted
+            n, err, sq = (one[c].to_numpy(float) for c in ("w", "e", "e2"))
+            top = one["top"].max()
         else:
             return
+        if n.sum() <= 0:
+            return
         total, error = n.sum(), err.sum()
         tree.errors.append((total, error))
         if self.spec.vote == "accuracy":
@@ -320,13 +341,13 @@ class Forest:
         elif self.spec.vote == "decay":
             self.weight[i] = max(1e-3, self.weight[i] * 0.5 ** (error / total > 1 - 1 / max(self.outputs, 2)))
         if self.spec.reset:
-            if self.adwin[i].add(total, error, sq.sum()):
+            if self.adwin[i].add(total, error, sq.sum(), top):
                 self.drifted.add(i)
         if self.spec.prune:
             leaves = one["leaf"].to_numpy(int)
             for node in [k for k in range(len(tree.feature)) if tree.feature[k] >= 0]:
                 inside = np.isin(leaves, tree.below(node))
-                if inside.any() and tree.drift.setdefault(node, BlockAdwin()).add(n[inside].sum(), err[inside].sum(), sq[inside].sum()):
+                if inside.any() and tree.drift.setdefault(node, BlockAdwin()).add(n[inside].sum(), err[inside].sum(), sq[inside].sum(), top):
                     tree.cut_off(node)
 
     def _gains(self, h: np.ndarray, allowed) -> list[tuple[float, int, int]]:
@@ -379,6 +400,10 @@ class Forest:
         gap = best - second if self.spec.kind == "class" else 1 - second / best
         return gap > bound or bound < self.spec.tie
 
+    def _step(self, sums: np.ndarray) -> float:
+        """Newton step for (n, gradient, hessian), shortened."""
+        return -self.spec.shrink * float(sums[1] / (sums[2] + self.spec.ridge))
+
     def _split(self, i: int, tree: Tree) -> None:
         spec = self.spec
         last_inner = 2**spec.depth - 1
@@ -393,6 +418,9 @@ class Forest:
             gains = self._gains(h, allowed)
             n = h[0].sum() if spec.kind == "class" else h[0, :, 0].sum()
             if not gains:
+                if spec.kind == "gradient":
+                    tree.value[node] += self._step(tree.stats[node])
+                    tree.hist.pop(node, None)
                 continue
             if tree.feature[node] >= 0:
                 # an inner node of a revisiting tree: replace a split that is no longer the best one
@@ -403,12 +431,17 @@ class Forest:
                 tree.cut_off(node)
                 tree.hist[node] = keep
             elif not self._may_split(gains, n):
+                if spec.kind == "gradient":
+                    tree.value[node] += self._step(tree.stats[node])
+                    tree.hist.pop(node, None)
                 continue
             _, f, cut = gains[0]
             tree.feature[node], tree.cut[node] = f, cut
             left = h[f][: cut + 1].sum(axis=0)
             right = h[f][cut + 1 :].sum(axis=0)
             tree.stats[2 * node + 1], tree.stats[2 * node + 2] = left, right
+            if spec.kind == "gradient":
+                tree.value[2 * node + 1], tree.value[2 * node + 2] = (tree.value[node] + self._step(side) for side in (left, right))
             tree.stats[node] = 0 if spec.prune or spec.revisit else tree.stats[node]
             if not spec.revisit:
                 tree.hist.pop(node, None)

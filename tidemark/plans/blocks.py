@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.plans.stream import Stream
 
 
+#: Rows between two updates of a block model.
+BLOCK_ROWS = 200_000
+
+
 @dataclass
 class Blocks:
     """Equal blocks of a stream."""
@@ -31,6 +35,11 @@ class Blocks:
     def used(self) -> int:
         return math.ceil(self.stream.n / self.size) if self.stream.n else 0
 
+    @classmethod
+    def of_rows(cls, stream: Stream, rows: int = BLOCK_ROWS, least: int = 6) -> "Blocks":
+        """Blocks of at most ``rows`` rows, so that a model learns more often from a longer stream; at least ``least`` blocks."""
+        return cls(stream, max(least, math.ceil(stream.n / rows)))
+
     def number(self) -> Column:
         """1-based block of a row."""
         return F.ceil(F.col("step") / self.size).cast("int")

@@ -159,12 +159,12 @@ def a7_min_max(spark, d):
     over_runs(
         """SELECT library, count(*) AS n_inside, snap(min(RMSE), 4) AS low, snap(any_value(q1), 4) AS q1, snap(any_value(md), 4) AS median, snap(any_value(q3), 4) AS q3, snap(max(RMSE), 4) AS high
 FROM r JOIN b USING (library) WHERE RMSE BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY library""",
-        f"r AS (SELECT * FROM runs WHERE {REG} AND dataset = 'events')",
+        f"r AS (SELECT * FROM runs WHERE {REG})",
         "b AS (SELECT library, quantile_cont(RMSE, 0.25) AS q1, quantile_cont(RMSE, 0.5) AS md, quantile_cont(RMSE, 0.75) AS q3 FROM r GROUP BY library)",
     ),
 )
 def a8_distribution(spark, d):
-    rows = reg(runs(spark, d)).filter(F.col("dataset") == "events")
+    rows = reg(runs(spark, d))
     out = cmp.distribution(rows, "RMSE", ["library"])
     return out.select("library", "n_inside", *[snap(c, 4).alias(c) for c in ("low", "q1", "median", "q3", "high")])
 

@@ -269,8 +269,8 @@ EVF = ["value", "hour", "k"]
 REGF = ["hour", "u", "k"]
 
 
-def blocks_of(spark, d, name, count=N_BLOCKS):
-    return Blocks(stream(spark, d, name), count)
+def blocks_of(spark, d, name, least=N_BLOCKS):
+    return Blocks.of_rows(stream(spark, d, name), least=least)
 
 
 def class_index(st):

@@ -161,7 +161,7 @@ def p4_label_index(spark, d):
     return prep.label_index(stream(spark, d, "ev_multi").df.select("step", "event_type"), "event_type").select("step", "event_type", "label_index")
 
 
-@query("p4_label_sniff", with_(EV) + "SELECT count(*) FILTER (WHERE TRY_CAST(event_type AS DOUBLE) IS NULL) > 0 AS needs_encoding FROM ev WHERE step <= 10")
+@query("p4_label_sniff", with_(EV) + "SELECT count(*) FILTER (WHERE TRY_CAST(event_type AS DOUBLE) IS NULL) > 0 AS needs_encoding FROM ev")
 def p4_label_sniff(spark, d):
     return prep.needs_encoding(stream(spark, d, "ev_multi").df, "event_type")
 
@@ -182,8 +182,7 @@ def p5_first_true(spark, d):
     )
     literal = F.when(F.col("o_orderkey") % 11 == 0, F.lit("{'urgent': Tr")).otherwise(literal)
     rows = o.select("o_orderkey", literal.alias("label"))
-    classes = sorted(r[0] for r in rows.select(F.explode(col.dict_keys(F.col("label")))).distinct().limit(1000).collect())
-    return rows.select("o_orderkey", col.first_true(F.col("label"), classes).alias("label_index"))
+    return prep.first_true_index(rows, "label").select("o_orderkey", "label_index")
 
 
 @query(
@@ -238,7 +237,7 @@ def p8_interval_label(spark, d):
 def p9_sparse_columns(spark, d):
     ev = stream(spark, d, "ev_reg").df
     rows = ev.select("step", "event_id", F.create_map(F.lit("k"), F.col("k"), F.col("event_type"), F.col("value")).alias("x"))
-    return prep.sparse_to_columns(rows, "x", key_rows=None).drop("step")
+    return prep.sparse_to_columns(rows, "x").drop("step")
 
 
 @query(

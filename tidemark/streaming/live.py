@@ -44,12 +44,12 @@ BASELINES_OUT = (
     "user_id long, step long, event_id long, value double, event_type string, mean double, fading double, no_change double, "
     "last_class string, late boolean"
 )
-BASELINES_STATE = "version int, n long, total double, fade_s double, fade_n double, last double, last_class string, last_id long"
+BASELINES_STATE = "version int, n long, seen long, total double, fade_s double, fade_n double, last double, last_class string, last_id long"
 
 
 def _baselines(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Test-then-train over one key: predictions come from the rows before, in event order."""
-    n, total, fade_s, fade_n, last, last_class, last_id = state.get[1:] if state.exists else (0, 0.0, 0.0, 0.0, None, None, -1)
+    n, seen, total, fade_s, fade_n, last, last_class, last_id = state.get[1:] if state.exists else (0, 0, 0.0, 0.0, 0.0, None, None, -1)
     # rows of one trigger come unsorted
     rows = pd.concat(list(batches)).sort_values("event_id", kind="stable")
     out = []
@@ -62,13 +62,17 @@ def _baselines(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
         n += 1
         out.append(
             (
-                key[0], n, r.event_id, r.value, r.event_type, total / (n - 1) if n > 1 else 0.0, fade_s / fade_n if fade_n else 0.0,
+                key[0], n, r.event_id, r.value, r.event_type, total / seen if seen else 0.0, fade_s / fade_n if fade_n else 0.0,
                 last if last is not None else 0.0, last_class, False,
             )
         )
-        total, fade_s, fade_n = total + r.value, fade_s * 0.99 + r.value, fade_n * 0.99 + 1.0
-        last, last_class, last_id = r.value, r.event_type, r.event_id
-    state.update((1, n, total, fade_s, fade_n, last, last_class, last_id))
+        last_id = r.event_id
+        if pd.notna(r.value):  # a row without a value is predicted, not learned
+            seen, total, last = seen + 1, total + r.value, r.value
+            fade_s, fade_n = fade_s * 0.99 + r.value, fade_n * 0.99 + 1.0
+        if r.event_type is not None:
+            last_class = r.event_type
+    state.update((2, n, seen, total, fade_s, fade_n, last, last_class, last_id))
     names = [c.split()[0] for c in BASELINES_OUT.split(", ")]
     frame = pd.DataFrame(out, columns=names)
     yield frame.astype({"step": "Int64"})
