@@ -8,7 +8,7 @@ from tidemark.operators import anomaly, drift, experts
 from tidemark.operators.baselines import baseline_classifiers, baseline_regressors, class_list
 from tidemark.operators.bayes import gaussian_nb
 from tidemark.operators.neighbours import knn_class, knn_mean, nearest, neighbour_pairs
-from tidemark.queries import sql
+from tidemark.queries import block_sql, sql
 from tidemark.queries.quality import CLS_OUT, shown_classification
 from tidemark.queries.registry import query, snap
 from tidemark.queries.sql import BEFORE, EV, EMB, ORD, with_
@@ -291,16 +291,19 @@ def _linear(names, kind):
     return run
 
 
-query("k4_logistic_block")(_linear({"logistic": {"loss": "log", "rate": 0.5}, "logistic_slow": {"loss": "log", "rate": 0.005}}, "class"))
-query("k9_alma_block")(_linear({"alma": {"loss": "alma"}}, "class"))
-query("k10_passive_aggressive_block")(_linear({"pa": {"loss": "pa_class"}}, "class"))
-query("r4_linear_block")(
-    _linear({"plain": {}, "ridge": {"l2": 1.0}, "lasso": {"l1": 1.0}}, "reg")
-)
-query("r5_passive_aggressive_block")(_linear({"pa1": {"loss": "pa1"}, "pa2": {"loss": "pa2"}}, "reg"))
+LINEAR_BLOCKS = {
+    "k4_logistic_block": ("class", {"logistic": {"loss": "log", "rate": 0.5}, "logistic_slow": {"loss": "log", "rate": 0.005}}),
+    "k9_alma_block": ("class", {"alma": {"loss": "alma"}}),
+    "k10_passive_aggressive_block": ("class", {"pa": {"loss": "pa_class"}}),
+    "r4_linear_block": ("reg", {"plain": {}, "ridge": {"l2": 1.0}, "lasso": {"l1": 1.0}}),
+    "r5_passive_aggressive_block": ("reg", {"pa1": {"loss": "pa1"}, "pa2": {"loss": "pa2"}}),
+}
+for _name, (_kind, _models) in LINEAR_BLOCKS.items():
+    _sql = block_sql.linear(_models, EVF if _kind == "class" else REGF, "is_error" if _kind == "class" else "value", 10)
+    query(_name, _sql)(_linear(_models, _kind))
 
 
-@query("k8_softmax_block")
+@query("k8_softmax_block", block_sql.softmax(EVF, ["click", "error", "purchase", "signup", "view"], "event_type", N_BLOCKS))
 def k8_softmax_block(spark, d):
     blocks = blocks_of(spark, d, "ev_multi")
     y, classes = class_index(blocks.stream)
@@ -308,10 +311,14 @@ def k8_softmax_block(spark, d):
     return out.select("step", y.cast("int").alias("y"), F.col("softmax").cast("int").alias("pred"))
 
 
-@query("r16_mlp_block")
+_MLP = {"rate": 0.05, "scale": 50.0}
+_first = MlpBlock("mlp", REGF, None, **_MLP).empty()
+
+
+@query("r16_mlp_block", block_sql.perceptron(REGF, "value", N_BLOCKS, _first["w1"].tolist(), _first["w2"].tolist(), **_MLP))
 def r16_mlp_block(spark, d):
     blocks = blocks_of(spark, d, "ev_reg")
-    out = run_blocks(blocks, [MlpBlock("mlp", REGF, F.col("value"), rate=0.05, scale=50.0)], block_scaled(blocks, REGF))
+    out = run_blocks(blocks, [MlpBlock("mlp", REGF, F.col("value"), **_MLP)], block_scaled(blocks, REGF))
     return out.select("step", snap("mlp", 6).alias("pred"))
 
 
@@ -328,7 +335,7 @@ def r4_normal_sums(spark, d):
     )
 
 
-@query("r4_normal_equations")
+@query("r4_normal_equations", block_sql.least_squares(ORD, "ord", ["month", "priority", "state"], "o_totalprice", 10))
 def r4_normal_equations(spark, d):
     out = linear.normal_equations(blocks_of(spark, d, "ord_reg", 10), ["month", "priority", "state"], "o_totalprice")
     return out.select("step", snap("least_squares", 4).alias("pred"))
@@ -347,19 +354,25 @@ def _fleet(names, target, feats):
     return run
 
 
-query("r4_linear_fleet")(_fleet({"plain": {}, "ridge": {"l2": 1.0}, "lasso": {"l1": 1.0}}, "value", REGF))
-query("r5_passive_aggressive_fleet")(_fleet({"pa1": {"loss": "pa1"}, "pa2": {"loss": "pa2"}}, "value", REGF))
-query("k4_logistic_fleet")(_fleet({"logistic": {"loss": "log", "rate": 0.005}}, "is_error", EVF))
-query("k9_k10_margin_fleet")(_fleet({"alma": {"loss": "alma"}, "pa": {"loss": "pa_class"}}, "is_error", EVF))
+FLEETS = {
+    "r4_linear_fleet": ("value", {"plain": {}, "ridge": {"l2": 1.0}, "lasso": {"l1": 1.0}}),
+    "r5_passive_aggressive_fleet": ("value", {"pa1": {"loss": "pa1"}, "pa2": {"loss": "pa2"}}),
+    "k4_logistic_fleet": ("is_error", {"logistic": {"loss": "log", "rate": 0.005}}),
+    "k9_k10_margin_fleet": ("is_error", {"alma": {"loss": "alma"}, "pa": {"loss": "pa_class"}}),
+}
+for _name, (_target, _models) in FLEETS.items():
+    _feats = REGF if _target == "value" else EVF
+    query(_name, block_sql.fleets(_models, _feats, _target))(_fleet(_models, _target, _feats))
+
+RUN_PLAN = {"plain": {}, "ridge": {"l2": 1.0}, "pa1": {"loss": "pa1"}}
 
 
-@query("l5_all_models_fleet")
+@query("l5_all_models_fleet", block_sql.fleet_errors(RUN_PLAN, REGF, "value"))
 def l5_all_models_fleet(spark, d):
     """Every (model, stream) pair in one job: the run plan is the model list times the keys."""
     st = stream(spark, d, "ev_keyed")
-    specs = {"plain": {}, "ridge": {"l2": 1.0}, "pa1": {"loss": "pa1"}}
-    out = replay.replay(st, {n: (lambda k, o=o: replay.OnlineLinear(k, **o)) for n, o in specs.items()}, REGF, "value")
-    aggs = [F.avg(F.abs(F.col("_y") - F.col(n))).alias(f"mae_{n}") for n in specs]
+    out = replay.replay(st, {n: (lambda k, o=o: replay.OnlineLinear(k, **o)) for n, o in RUN_PLAN.items()}, REGF, "value")
+    aggs = [F.avg(F.abs(F.col("_y") - F.col(n))).alias(f"mae_{n}") for n in RUN_PLAN]
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
 
 
@@ -488,7 +501,10 @@ def k7_two_memories(spark, d):
 # ---------------------------------------------------------------- block anomaly scorers
 
 
-@query("n5_one_class_svm_block")
+@query(
+    "n5_one_class_svm_block",
+    block_sql.linear({"svm": {"loss": "one_class"}}, EVF, "is_high", 10).replace("x.y, ", "x.y AS is_high, ").replace(" AS svm FROM", " AS score FROM"),
+)
 def n5_one_class_svm_block(spark, d):
     blocks = blocks_of(spark, d, "ev_anom", 10)
     model = LinearBlock("svm", ["value", "hour", "k"], F.col("is_high"), loss="one_class", rate=0.1, nu=0.1)
