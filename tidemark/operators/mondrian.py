@@ -76,7 +76,7 @@ def mondrian_forest(
     routed = blocks.with_state(drawn, "trees array<struct<feature:array<int>,cut:array<double>>>").drop("block").withColumn("_x", x)
     routed = routed.withColumn("_leaf", F.transform("trees", lambda t: walk(F.col("_x"), t["feature"], t["cut"], depth) - inner)).drop("trees", "_x")
     y = target.cast("double")
-    long = routed.where(y.isNotNull()).select(blocks.number().alias("block"), y.alias("y"), F.posexplode("_leaf").alias("tree", "leaf"))
+    long = routed.where(y.isNotNull()).select(blocks.number().alias("block"), y.alias("y"), F.posexplode_outer("_leaf").alias("tree", "leaf"))
     if classes:
         sums = long.groupBy("block", "tree", "leaf", "y").agg(F.count(F.lit(1)).cast("double").alias("n")).toPandas()
         width = classes

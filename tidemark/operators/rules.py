@@ -69,7 +69,7 @@ def model_rules(
         y = F.col("_y")
         here = here.withColumn("_e", F.pow(y - F.get("rules", F.col("rule"))["value"], F.lit(2)))
         table = (
-            here.select("rule", "_y", "_e", F.posexplode("_bins").alias("f", "bin"))
+            here.select("rule", "_y", "_e", F.posexplode_outer("_bins").alias("f", "bin"))
             .groupBy("rule", "f", "bin")
             .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.sum("_e").alias("e"), F.sum(F.col("_e") * F.col("_e")).alias("e2"), F.max("_e").alias("top"))
             .toPandas()

@@ -240,11 +240,12 @@ class Forest:
 
     def histograms(self, rows: DataFrame, member: int | None = None):
         """(member, leaf, feature, bin[, class]) sums of one block, as a small local table; of one member if it is named."""
-        pay = F.explode("_pay") if member is None else F.get("_pay", F.lit(member))
+        # outer: else the optimizer adds a filter on the arrays' sizes, and evaluates routing and weights a second time for it
+        pay = F.explode_outer("_pay") if member is None else F.get("_pay", F.lit(member))
         table = rows.select("_y", "_bins", pay.alias("p"))
         table = table.select(
             F.col("p.m").alias("m"), F.col("p._leaf").alias("leaf"), F.col("p._w").alias("w"), F.col("p._a").alias("a"),
-            F.col("p._b").alias("b"), F.col("p._e").alias("e"), "_y", F.posexplode("_bins").alias("f", "bin"),
+            F.col("p._b").alias("b"), F.col("p._e").alias("e"), "_y", F.posexplode_outer("_bins").alias("f", "bin"),
         )
         if self.spec.kind == "class":
             keys, sums = ["m", "leaf", "f", "bin", "_y"], ["w"]
