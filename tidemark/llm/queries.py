@@ -78,6 +78,6 @@ def op9(spark, sf_dir):
     return logbilinear.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op10_sharding")
+@query("op10_sharding", shards.SQL)
 def op10(spark, sf_dir):
     return shards.digest(table(spark, sf_dir, "documents"))

@@ -48,3 +48,19 @@ def digest(docs: DataFrame, shards: int = 24) -> DataFrame:
     narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
     out = byte_shards(written(narrow, "shard-sizes"), "size", ["doc_id", "text_crc32"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: For the check: CRC-32 byte by byte from its table (polynomial 0xEDB88320), then prefix sums over all documents.
+SQL = """
+WITH tbl AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 8 AS size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, size, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes),
+         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1])))::BIGINT AS text_crc32 FROM b, tbl),
+p AS (SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total FROM c
+      WINDOW w AS (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, least(23, floor((before + size / 2.0) * 24 / total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot,
+       NULL::INT AS grown_shard FROM s
+"""
