@@ -207,3 +207,26 @@ def fleet_errors(models: dict[str, dict], features: list[str], y: str) -> str:
     head = "WITH RECURSIVE " + ",\n".join([EV, fleet_rows(y), *(fleet(n, features, **o) for n, o in models.items())])
     shown = ", ".join(f"avg(abs(evf.y - {n}_r.pred)) AS mae_{n}" for n in models)
     return head + f" SELECT evf.user_id, count(*) AS n_rows, {shown} FROM evf " + " ".join(f"JOIN {n}_r ON {n}_r.user_id = evf.user_id AND {n}_r.step = evf.step" for n in models) + " GROUP BY evf.user_id"
+
+
+def midrange(count: int) -> str:
+    before = "SELECT g.block, min(o.value) AS lo, max(o.value) AS hi FROM (SELECT DISTINCT block FROM b) g JOIN b o ON o.block < g.block GROUP BY g.block"
+    return with_(EV, blocks(count)) + f"SELECT b.step, snap((least(0.0, coalesce(lo, 0.0)) + greatest(0.0, coalesce(hi, 0.0))) / 2, 6) AS pred FROM b LEFT JOIN ({before}) USING (block)"
+
+
+def autoencoder(features: list[str], count: int, squarings: int = 14) -> str:
+    """Reconstruction error of the leading component: its projection is the limit of powers of the correlations over their trace."""
+    n = range(len(features))
+    sums = ", ".join([*(f"avg(o.{f}) AS m{i}, greatest(stddev_pop(o.{f}), 1e-6) AS s{i}" for i, f in enumerate(features)), *(f"covar_pop(o.{features[i]}, o.{features[j]}) AS c{i}_{j}" for i in n for j in n)])
+    keep = ", ".join(["block", *(f"m{i}, s{i}" for i in n)])
+    trace = lambda c: " + ".join(f"{c}{i}_{i}" for i in n)
+    ctes = [
+        f"t AS (SELECT g.block, {sums} FROM (SELECT DISTINCT block FROM b) g JOIN b o ON o.block < g.block GROUP BY g.block)",
+        f"p0 AS (SELECT {keep}, " + ", ".join(f"c{i}_{j} / (s{i} * s{j}) / {len(features)} AS p{i}_{j}" for i in n for j in n) + " FROM t)",
+    ]
+    for k in range(squarings):
+        square = ", ".join(" + ".join(f"p{i}_{h} * p{h}_{j}" for h in n) + f" AS r{i}_{j}" for i in n for j in n)
+        ctes.append(f"p{k + 1} AS (SELECT {keep}, " + ", ".join(f"r{i}_{j} / ({trace('r')}) AS p{i}_{j}" for i in n for j in n) + f" FROM (SELECT {keep}, {square} FROM p{k}))")
+    z = [f"((b.{f} - m{i}) / s{i})" for i, f in enumerate(features)]
+    error = " + ".join(f"power({z[i]} - ({' + '.join(f'p{i}_{j} * {z[j]}' for j in n)}), 2)" for i in n)
+    return with_(EV, blocks(count), *ctes) + f"SELECT b.step, snap(coalesce({error}, 0.0), 6) AS score FROM b LEFT JOIN p{squarings} USING (block)"

@@ -525,7 +525,7 @@ query("n7_random_histogram_forest")(_isolation("histogram"))
 query("n8_random_cut_forest")(_isolation("displacement"))
 
 
-@query("n9_linear_autoencoder")
+@query("n9_linear_autoencoder", block_sql.autoencoder(EVF, 10))
 def n9_linear_autoencoder(spark, d):
     out = linear.linear_autoencoder(blocks_of(spark, d, "ev_anom", 10), EVF)
     return out.select("step", snap("autoencoder", 6).alias("score"))
@@ -545,7 +545,7 @@ def j8_state_before_block(spark, d):
     return blocks.with_state(states, "mean double").select("step", "block", snap("mean", 4).alias("pred"))
 
 
-@query("l6_user_block_model")
+@query("l6_user_block_model", block_sql.midrange(10))
 def l6_user_block_model(spark, d):
     """A model written against the BlockModel interface: midrange of the target so far."""
 
