@@ -9,14 +9,6 @@ TASK_FOLDERS = {
     "anomaly_detection": "Anomaly detection",
 }
 
-# Metrics of each task.
-TASK_METRICS = {
-    "Binary classification": ["Accuracy", "Precision", "Recall", "F1"],
-    "Multiclass classification": ["Accuracy", "MicroF1", "MacroF1"],
-    "Regression": ["MAE", "RMSE"],
-    "Anomaly detection": ["Accuracy", "Precision", "Recall", "F1"],
-}
-
 # Texts that stand for true and false in label columns.
 TRUE_TEXTS = ["true", "1", "yes"]
 FALSE_TEXTS = ["false", "0", "no"]

@@ -42,6 +42,13 @@ def metric_column(name: str) -> str:
     return METRIC_ALIASES.get(name.lower(), name)
 
 
+def metric_value(df: DataFrame, name: str) -> Column:
+    """The metric's value in each row; F1 falls back to its macro and then its micro form where a task has no plain one."""
+    wanted = metric_column(name)
+    names = [c for c in (["F1", "MacroF1", "MicroF1"] if wanted == "F1" else [wanted]) if c in df.columns]
+    return F.coalesce(*names) if names else F.lit(None).cast("double")
+
+
 def mean_by(df: DataFrame, metric: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(metric).alias(metric))
 
@@ -66,9 +73,9 @@ def metric_by_model(final: DataFrame, metric: str) -> DataFrame:
     return ordered(wide, ["model"])
 
 
-def distribution(final: DataFrame, metric: str, keys: list[str], approximate: bool = False) -> DataFrame:
+def distribution(final: DataFrame, metric: str, keys: list[str]) -> DataFrame:
     """Quartiles and whiskers (farthest values within 1.5 interquartile ranges of the box)."""
-    quartiles = (F.percentile_approx if approximate else F.percentile)(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quartiles = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     box = final.filter(F.col(metric).isNotNull()).groupBy(*keys).agg(quartiles.alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     rows = final.join(box, keys).filter(F.col(metric).between(F.col("q")[0] - reach, F.col("q")[2] + reach))

@@ -74,6 +74,13 @@ def interval_label(
     return hit.withColumn("target", F.col("_s").isNotNull().cast("int")).drop("_bucket", "_b", "_s", "_e", "_island")
 
 
+def json_intervals(df: DataFrame, text: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Intervals of a JSON text that lists ``[start, end]`` pairs of timestamp texts; pairs that can't be read are left out."""
+    pairs = df.select(F.explode(F.from_json(text, "array<array<string>>")).alias("_pair"))
+    read = pairs.select(*[F.get("_pair", F.lit(i)).try_cast("timestamp_ntz").alias(n) for i, n in enumerate((start, end))])
+    return read.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+
+
 def sparse_to_columns(df: DataFrame, features: str, key_rows: int | None = None, limit: int = 5_000) -> DataFrame:
     """One column per key of a map column, sorted, missing keys 0.0.
 

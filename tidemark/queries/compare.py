@@ -441,6 +441,12 @@ def p16_metric_alias(spark, d):
     )
 
 
+@query("p16_f1_fallback", over_runs("SELECT library, track, model, dataset, step, snap(coalesce(F1, MacroF1, MicroF1), 6) AS f1 FROM runs"))
+def p16_f1_fallback(spark, d):
+    rows = runs(spark, d)
+    return rows.select("library", "track", "model", "dataset", "step", snap(cmp.metric_value(rows, "f1"), 6).alias("f1"))
+
+
 @query(
     "p17_shown_numbers",
     over_final("SELECT library, track, model, dataset, coalesce(printf('%.4f', snap(Accuracy, 6)), 'N/A') AS accuracy, coalesce(printf('%.2f', time_s), 'N/A') AS time_s FROM fin"),

@@ -229,6 +229,18 @@ def p8_interval_label(spark, d):
     return prep.interval_label(points, "ts", _windows(spark, d), "start", "end", 3600).select("event_id", "target")
 
 
+@query(
+    "p8_interval_file",
+    with_(EV, WINDOWS_SQL) + "SELECT event_id, CAST(EXISTS (SELECT 1 FROM w WHERE ev.ts BETWEEN w.s AND w.e) AS INTEGER) AS target FROM ev",
+)
+def p8_interval_file(spark, d):
+    """As above, with the intervals written as a JSON list of pairs and read back (one text an hour)."""
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")]
+    texts = _windows(spark, d).groupBy(F.date_trunc("hour", "start")).agg(F.to_json(F.collect_list(F.array(*shown))).alias("text"))
+    points = events(spark, d).select("event_id", "ts")
+    return prep.interval_label(points, "ts", prep.json_intervals(texts, "text"), "start", "end", 3600).select("event_id", "target")
+
+
 @query(
     "p9_sparse_columns",
     with_(EV) + "SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{c}' THEN value ELSE 0.0 END AS x_{c}" for c in ("click", "error")) + ", k AS x_k, "

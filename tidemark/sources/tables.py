@@ -64,19 +64,7 @@ def _li(spark, d):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    return prepare(lineitems(spark, d), order, "l_extendedprice", ("l_quantity", "l_discount", "l_tax"))
-
-
-def _docs(spark, d):
-    docs = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text", "n_chars"), "doc_id")
-    docs = docs.select(
-        "doc_id",
-        "quality",
-        F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
-        F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("n_digits"),
-    )
-    return prepare(docs, ("doc_id",), "quality", ("n_chars", "n_words", "n_digits"))
+    return prepare(lineitems(spark, d).select(*order), order, "l_extendedprice", ("l_quantity", "l_discount", "l_tax"))
 
 
 def _emb(spark, d):
@@ -91,7 +79,6 @@ _BUILD = {
     "ord": lambda s, d: prepare(orders(s, d), ("o_orderkey",), "o_totalprice", ("o_totalprice", *ORDER_FEATURES)),
     "li_reg": _li,
     "ev_keyed": lambda s, d: prepare(events(s, d), ("event_id",), "value", ("hour", "u", "k"), by=("user_id",)),
-    "doc_bin": _docs,
     "emb_multi": _emb,
 }
 # (prepared table, target, features): several streams read the same prepared rows
