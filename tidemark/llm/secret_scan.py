@@ -274,21 +274,28 @@ class Scanner:
         """For each rule the places at which a longest match ends: the last of a run of accepting places."""
         d = self.forward
         step, first, s = d.step, d.first, d.start
-        marks: list[tuple[int, int]] = []
+        runs: list[list[int]] = []  # first and last place and state, while neither changes but by one
+        last = -1
         i = 0
         for c in text.translate(d.class_of):
             s = step[s + c]
             i += 1
             if s >= first:
-                marks.append((i, s))
+                if s == last:
+                    runs[-1][1] = i
+                else:
+                    runs.append([i, i, s])
+                last = s
+            else:
+                last = -1
         out: dict[int, list[int]] = {}
-        for at, state in marks:
+        for at, until, state in runs:
             for r in d.accepts[state]:
                 ends = out.setdefault(r, [])
                 if ends and ends[-1] == at - 1:
-                    ends[-1] = at
+                    ends[-1] = until
                 else:
-                    ends.append(at)
+                    ends.append(until)
         return out
 
     def _start(self, r: int, text: bytes, end: int, done: int) -> int | None:
