@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.fixed_values import GENERATED_PREFIX, LIBRARIES, LIBRARY_WORD, MEMORY_NAMES, TASK_FOLDERS, TIME_NAMES
 from tidemark.functions.columns import number_or_zero
-from tidemark.operators.prepare import first_alias
+from tidemark.operators.prepare import bounded, first_alias
 
 # task folder and dataset name of a CSV file, or of a part file of a CSV folder
 PLACE = r"/([^/]+)/([^/]+)\.csv(?:/[^/]*)?$"
@@ -46,7 +46,8 @@ def discover(spark: SparkSession, base: str) -> DataFrame:
     # the header is the line that ends with the target name
     is_header = F.col("value").rlike(r"(^|,)target\s*$")
     headers = lines.filter(is_header).groupBy("path").agg(F.first("value").alias("header"))
-    rows = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "path")
+    # one header a file: lines stay where they are
+    rows = lines.filter(~is_header & (F.trim("value") != "")).join(bounded(headers), "path")
     names, cells = F.split("header", ","), F.split("value", ",")
     x = F.map_from_arrays(
         F.slice(names, F.lit(1), F.size(names) - 1), F.transform(F.slice(cells, F.lit(1), F.size(names) - 1), number_or_zero)
