@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log, sqrt
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -151,8 +152,29 @@ def _sample(marked: DataFrame, label: int, n: int, rows: int) -> list[tuple[byte
     return [(r["body"] and bytes(r["body"]), label) for r in found]
 
 
+def unalike(texts: list[tuple[bytes | None, int]], n: int) -> list[tuple[bytes | None, int]]:
+    """The first ``n`` texts that are no near copies of earlier ones: none of four least hashes of five-word shingles is shared.
+
+    Else a term that one group of copies happens to hold would look like a mark of its label.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text, label in texts:
+        words = words_of(text)
+        shingles = {crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+        h = np.array(list(shingles), np.uint64)
+        marks = {(i, int((h * np.uint64(a) % np.uint64(4294967291)).min())) for i, a in enumerate((1, 2654435761, 2246822519, 3266489917))}
+        if not marks & seen:
+            out.append((text, label))
+        seen |= marks
+        if len(out) == n:
+            break
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, seed: int = 11) -> Index:
-    """An index over a bounded sample of labelled documents: at most ``examples`` different texts of either label.
+    """An index over a bounded sample of labelled documents: at most ``examples`` texts of either label that are no near copies
+    of each other.
 
     Terms are those that the two labels use in clearly different shares of their documents, so that a term marks a
     document rather than its topic. A document with several labels has the smallest; null labels are left out.
@@ -161,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     named = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("label"))
     marked = labelled(source, named, "label").where("_label is not null").withColumn("h", F.xxhash64("body", F.lit(seed)))
     totals = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [x for y in (0, 1) for x in _sample(marked, y, examples, totals.get(y, 0))]
+    rows = [x for y in (0, 1) for x in unalike(_sample(marked, y, 2 * examples, totals.get(y, 0)), examples)]
     index = Index(np.array([y for _, y in rows], np.int64))
     n = np.array([totals.get(0, 0), totals.get(1, 0)], float)
     kept = np.bincount(index.labels, minlength=2).astype(float)
