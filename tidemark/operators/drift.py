@@ -20,16 +20,18 @@ def cut_bound(n0, n1, var, delta: float = DELTA, log=math.log, sqrt=math.sqrt, s
 def cut_tests(blocks: DataFrame, keys: list[str], delta: float = DELTA) -> DataFrame:
     """Test every cut between blocks of (``block``, ``n``, ``s``, ``q``): size, sum and sum of squares of an error.
 
+    With a column ``top`` (largest error of the block) errors of any range can be tested; without it the range is 1.
     Blocks are few, so the windows run over aggregates only.
     """
     everything = Window.partitionBy(*keys)
     upto = everything.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     cols = {f"{c}0": F.sum(c).over(upto) for c in "ns"} | {f"{c}t": F.sum(c).over(everything) for c in "nsq"}
+    cols["span"] = F.max("top").over(everything) if "top" in blocks.columns else F.lit(1.0)
     out = blocks.withColumns(cols).filter(F.col("nt") > F.col("n0"))
     n0, n1 = F.col("n0").cast("double"), (F.col("nt") - F.col("n0")).cast("double")
     mean = F.col("st") / F.col("nt")
     var = F.greatest(F.lit(0.0), F.col("qt") / F.col("nt") - mean * mean)
-    bound = cut_bound(n0, n1, var, delta, F.log, F.sqrt)
+    bound = cut_bound(n0, n1, var, delta, F.log, F.sqrt, F.col("span"))
     gap: Column = F.abs(F.col("s0") / n0 - (F.col("st") - F.col("s0")) / n1)
     return out.select(*keys, "block", gap.alias("gap"), bound.alias("bound"), (gap > bound).alias("drift"))
 

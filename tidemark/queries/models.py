@@ -189,6 +189,29 @@ def d1_adwin_cuts(spark, d):
     return out.select("model", "block", snap("gap", 6).alias("gap"), snap("bound", 6).alias("bound"), "drift")
 
 
+@query(
+    "d1_adwin_regression",
+    with_(
+        EV, sql.regressors("ev", "value"),
+        "b AS (SELECT model, CAST(ceil(step / 200.0) AS BIGINT) AS block, count(*) AS n, sum(power(y - pred, 2)) AS s, sum(power(y - pred, 4)) AS q, max(power(y - pred, 2)) AS top FROM preds GROUP BY ALL)",
+        """c AS (SELECT model, block, sum(n) OVER w AS n0, sum(s) OVER w AS s0, sum(n) OVER p AS nt, sum(s) OVER p AS st, sum(q) OVER p AS qt, max(top) OVER p AS span FROM b
+  WINDOW w AS (PARTITION BY model ORDER BY block), p AS (PARTITION BY model))""",
+        """g AS (SELECT model, block, abs(s0 / n0 - (st - s0) / (nt - n0)) AS gap, greatest(0.0, qt / nt - (st / nt) * (st / nt)) AS var, span,
+  1.0::DOUBLE / (1.0::DOUBLE / n0 + 1.0::DOUBLE / (nt - n0)) AS m, ln(2.0 * ln(nt) / 0.002) AS e FROM c WHERE nt > n0)""",
+    )
+    + "SELECT model, block, snap(gap / span, 8) AS gap, snap((sqrt(2.0 / m * var * e) + span * 2.0 / (3.0 * m) * e) / span, 8) AS bound, gap > sqrt(2.0 / m * var * e) + span * 2.0 / (3.0 * m) * e AS drift FROM g",
+)
+def d1_adwin_regression(spark, d):
+    """The same test on squared errors, whose range is not 1; shown as shares of the range."""
+    rows = baseline_regressors(stream(spark, d, "ev_reg"), ("mean", "no_change"))
+    parts = [rows.select("step", F.lit(m).alias("model"), F.pow(F.col("value") - F.col(m), F.lit(2)).alias("e")) for m in ("mean", "no_change")]
+    blocks = parts[0].unionByName(parts[1]).groupBy("model", F.ceil(F.col("step") / 200).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"), F.max("e").alias("top")
+    )
+    out = drift.cut_tests(blocks, ["model"]).join(blocks.groupBy("model").agg(F.max("top").alias("span")), "model")
+    return out.select("model", "block", snap(F.col("gap") / F.col("span"), 8).alias("gap"), snap(F.col("bound") / F.col("span"), 8).alias("bound"), "drift")
+
+
 # ---------------------------------------------------------------- anomaly scores
 
 MOMENTS = f"""mo AS (SELECT *, count(value) OVER ({BEFORE}) AS cn, avg(value) OVER ({BEFORE}) AS m, stddev_samp(value) OVER ({BEFORE}) AS sd FROM ev)"""
