@@ -21,6 +21,8 @@ from tidemark.plans.stream import Stream, parallelism
 from tidemark.session import written
 
 CHUNK_ROWS = 1_000_000
+#: Rows of one group of keys, on average.
+BUCKET_ROWS = 200_000
 #: A stream without keys is replayed up to this length, in chunks; it runs on one core.
 KEYLESS_ROWS = 1_000_000
 
@@ -123,6 +125,93 @@ def replay_rows(model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+class Fleet:
+    """The same linear model for many keys, one row of every array for each key, learning in lock step."""
+
+    def __init__(self, model: OnlineLinear, n: int, count: int) -> None:
+        self.like, self.scaled = model, model.scaler is not None
+        self.w, self.q, self.mean, self.m2 = (np.zeros((count, n)) for _ in range(4))
+        self.b, self.u, self.seen = (np.zeros(count) for _ in range(3))
+        self.k = np.ones(count)
+
+    def load(self, i: int, text: str) -> None:
+        d = json.loads(text)
+        self.w[i], self.b[i], self.u[i], self.q[i], self.k[i] = d["w"], d["b"], d["u"], d["q"], d["k"]
+        if d["s"]:
+            self.seen[i], self.mean[i], self.m2[i] = d["s"]
+
+    def dump(self, i: int) -> str:
+        scaler = [int(self.seen[i]), self.mean[i].tolist(), self.m2[i].tolist()] if self.scaled else None
+        return json.dumps({"w": self.w[i].tolist(), "b": self.b[i], "u": self.u[i], "q": self.q[i].tolist(), "k": int(self.k[i]), "s": scaler})
+
+    def _scale(self, i, x: np.ndarray) -> np.ndarray:
+        if not self.scaled:
+            return x
+        var = self.m2[i] / np.maximum(self.seen[i], 1)[:, None]
+        return np.where(var > 0, (x - self.mean[i]) / np.sqrt(np.where(var > 0, var, 1.0)), 0.0)
+
+    def _raw(self, i, x: np.ndarray) -> np.ndarray:
+        return (self.w[i] * x).sum(1) + self.b[i]
+
+    def predict(self, i, x: np.ndarray) -> np.ndarray:
+        score = self._raw(i, self._scale(i, x))
+        return (score > 0).astype(float) if self.like.loss in ("log", "pa_class", "alma") else score
+
+    def learn(self, i: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """One row for each of the keys ``i``."""
+        m = self.like
+        if self.scaled:
+            self.seen[i] += 1
+            gap = x - self.mean[i]
+            self.mean[i] += gap / self.seen[i][:, None]
+            self.m2[i] += gap * (x - self.mean[i])
+            x = self._scale(i, x)
+        p, sign = self._raw(i, x), 2 * y - 1
+        if m.loss in ("squared", "log"):
+            g = 2 * (p - y) if m.loss == "squared" else 1 / (1 + np.exp(-np.clip(p, -500.0, 500.0))) - y
+            g = np.clip(g, -1e12, 1e12)
+            self.w[i] -= m.rate * (g[:, None] * x + m.l2 * self.w[i])
+            self.b[i] -= m.rate * g
+            if m.l1:
+                self.u[i] += m.rate * m.l1
+                u, old = self.u[i][:, None], self.w[i]
+                low, high = np.maximum(0.0, old - (u + self.q[i])), np.minimum(0.0, old + (u - self.q[i]))
+                self.w[i] = np.where(old > 0, low, np.where(old < 0, high, 0.0))
+                self.q[i] += self.w[i] - old
+            return
+        norm = (x * x).sum(1)
+        if m.loss == "alma":
+            alpha, root = 0.9, np.sqrt(self.k[i])
+            size = np.where(norm > 0, np.sqrt(norm), 1.0)
+            hit = sign * p <= (1 - alpha) / alpha / root * size
+            new = self.w[i] + (math.sqrt(2.0) / root * sign / size)[:, None] * x
+            new /= np.maximum(1.0, np.sqrt((new * new).sum(1)))[:, None]
+            self.w[i] = np.where(hit[:, None], new, self.w[i])
+            self.k[i] += hit
+            return
+        if m.loss == "pa_class":
+            miss, way = np.maximum(0.0, 1 - sign * p), sign
+        else:
+            miss, way = np.maximum(0.0, np.abs(y - p) - m.eps), np.copysign(1.0, y - p)
+        if m.loss == "pa2":
+            tau = miss / (norm + 1 / (2 * m.c))
+        else:
+            tau = np.where(norm > 0, np.minimum(m.c, miss / np.where(norm > 0, norm, 1.0)), 0.0)
+        self.w[i] += (tau * way)[:, None] * x
+
+
+def replay_fleet(fleet: Fleet, x: np.ndarray, y: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Predict, then learn, all keys in lock step; key i has ``lengths[i]`` rows from ``starts[i]``, and lengths fall."""
+    out = np.empty(len(y))
+    for t in range(int(lengths[0]) if len(lengths) else 0):
+        i = np.arange(np.searchsorted(-lengths, -t, "left"))  # keys with more than t rows
+        at = starts[i] + t
+        out[at] = fleet.predict(i, x[at])
+        known = ~np.isnan(y[at])
+        fleet.learn(i[known], x[at[known]], y[at[known]])
+    return out
+
+
 def replay(stream: Stream, models: dict[str, Callable], features: list[str], target: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(keys, step, target, one prediction column per model); ``models`` maps names to ``f(n_features)``.
 
@@ -136,38 +225,68 @@ def replay(stream: Stream, models: dict[str, Callable], features: list[str], tar
     keys = ", ".join(f"{k} {types[k]}" for k in by)
     schema = f"{keys}, step long, _y double, {', '.join(f'`{m}` double' for m in models)}, _state string"
     names = list(models)
-    rows = rows.repartition(parallelism(rows, 4), *by)  # Python groups: keep them spread over all cores
+    # keys by the bucket: many in one group, so that they are replayed together
+    buckets = max(parallelism(rows, 4), math.ceil(stream.n / BUCKET_ROWS)) if stream.by else 1
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("_bucket")
+    rows = rows.select("*", bucket).repartition(parallelism(rows, 4), "_bucket")
 
     def run(rows_pdf: pd.DataFrame, state_pdf: pd.DataFrame | None) -> pd.DataFrame:
         if rows_pdf.empty:
             return pd.DataFrame({c.split()[0].strip("`"): [] for c in schema.split(", ")})
-        rows_pdf = rows_pdf.sort_values("step", kind="stable")
+        rows_pdf = rows_pdf.sort_values([*by, "step"], kind="stable")
+        code = rows_pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        lengths = np.diff(np.append(starts, len(code)))
+        order = np.argsort(-lengths, kind="stable")  # long ones first
+        starts, lengths = starts[order], lengths[order]
         x, y = rows_pdf[features].fillna(0.0).to_numpy(float), rows_pdf["_y"].to_numpy(float)
-        old = json.loads(state_pdf["_state"].iloc[0]) if state_pdf is not None and len(state_pdf) else {}
+        keys_of = list(rows_pdf[by].iloc[starts].itertuples(index=False, name=None))
+        old = {}
+        if state_pdf is not None and len(state_pdf):
+            old = dict(zip(state_pdf[by].itertuples(index=False, name=None), map(json.loads, state_pdf["_state"]), strict=True))
         out = rows_pdf[[*by, "step", "_y"]].copy()
-        new = {}
+        new: list[dict] = [{} for _ in starts]
         for m in names:
             model = models[m](len(features))
-            if m in old:
-                model.load(old[m])
-            out[m] = replay_rows(model, x, y)
-            new[m] = model.dump()
-        out["_state"] = None
-        out.iloc[-1, out.columns.get_loc("_state")] = json.dumps(new)
+            if type(model) is OnlineLinear:
+                fleet = Fleet(model, len(features), len(starts))
+                for i, key in enumerate(keys_of):
+                    if m in old.get(key, {}):
+                        fleet.load(i, old[key][m])
+                out[m] = replay_fleet(fleet, x, y, starts, lengths)
+                if keep:
+                    for i, d in enumerate(new):
+                        d[m] = fleet.dump(i)
+                continue
+            done = np.empty(len(y))
+            for i, (s, n) in enumerate(zip(starts, lengths, strict=True)):  # a model of the user's own: key by key
+                model = models[m](len(features))
+                if m in old.get(keys_of[i], {}):
+                    model.load(old[keys_of[i]][m])
+                done[s : s + n] = replay_rows(model, x[s : s + n], y[s : s + n])
+                new[i][m] = model.dump()
+            out[m] = done
+        state = np.full(len(out), None, dtype=object)
+        if keep:
+            state[starts + lengths - 1] = [json.dumps(d) for d in new]
+        out["_state"] = state
         return out
 
     longest = stream.n if not stream.by else rows.agg(F.max("step")).collect()[0][0] or 0
     rounds = max(1, math.ceil(longest / chunk_rows))
+    keep = rounds > 1
     parts, state = [], None
+    if keep:  # cut once; each round reads its own part
+        rows = written(rows.withColumn("_round", F.floor((F.col("step") - 1) / chunk_rows)), "replay-rows")
     for r in range(rounds):
-        mine = rows.filter(F.col("step").between(r * chunk_rows + 1, (r + 1) * chunk_rows))
+        mine = rows.filter(F.col("_round") == r).drop("_round") if keep else rows
         if state is None:
-            done = mine.groupBy(*by).applyInPandas(lambda pdf: run(pdf, None), schema)
+            done = mine.groupBy("_bucket").applyInPandas(lambda pdf: run(pdf, None), schema)
         else:
-            done = mine.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(run, schema)
+            done = mine.groupBy("_bucket").cogroup(state.groupBy("_bucket")).applyInPandas(run, schema)
         if rounds > 1:
             done = written(done, "replay")
-            state = done.filter(F.col("_state").isNotNull()).select(*by, "_state")
+            state = done.filter(F.col("_state").isNotNull()).select(*by, "_state", bucket)
         parts.append(done)
     out = parts[0]
     for p in parts[1:]:
