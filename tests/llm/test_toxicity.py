@@ -48,3 +48,20 @@ def test_edges(spark):
         assert len(got) == len(rows)
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.digest(docs.limit(0), labels).count() == 0
+
+
+def test_rare_insults_and_copies(spark):
+    """Every term is searched: an insult of two examples, and a copy of an example without any marked term, are found."""
+    rnd = random.Random(1)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 3000)}" for _ in range(n))
+    copied = text(40)
+    rows = [(i, text(40), 0) for i in range(300)] + [(300 + i, "you snollygoster " + text(4), 1) for i in range(2)] + [(302, copied, 1)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    index = toxicity.fit(train.select("doc_id", "text"), train.select("doc_id", "toxic"))
+    # every word of every example, and its beginnings
+    assert {x for _, t, _ in rows for w in t.encode().split() for x in toxicity.terms_of(w)} == set(index.place)
+    asked = [copied, "what a snollygoster", text(40)]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string").coalesce(1)
+    got = [r.found for r in docs.select("doc_id", toxicity.scores(docs["text"], index).alias("found")).orderBy("doc_id").collect()]
+    assert got[0].labels[0] == 1 and abs(got[0].cosines[0] - 1) < 1e-9
+    assert got[0].score >= 0.5 and got[1].score >= 0.5 and got[2].score < 0.5

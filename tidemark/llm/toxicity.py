@@ -1,11 +1,11 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, and distance-weighted votes."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms of the examples, by block-max indexes, and distance-weighted votes."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log, sqrt
+from math import sqrt
 from zlib import crc32
 
 import numpy as np
@@ -20,14 +20,18 @@ EXAMPLES = 2000
 #: Examples that vote, block length of the posting lists.
 NEIGHBOURS = 25
 BLOCK = 64
-#: Terms kept: those whose share of documents differs between the labels by this many standard errors, and by this factor.
+#: A term counts 1 + min(z / SIGMAS, 1) ** 2 * BOOST times its idf, where the labels' shares of documents with it differ by z
+#: standard errors. No term is left out.
 SIGMAS = 5.0
-FACTOR = 3.0
+BOOST = 20.0
+#: Terms of more than this share of the examples are kept as dense columns.
+COMMON = 0.05
 #: Besides words, their beginnings of so many bytes are terms, so that other endings of a word are met.
 STEMS = (4, 5)
-#: Words whose kept terms a task remembers.
+#: Texts searched for by one product.
+BATCH = 128
+#: Words whose terms a task remembers.
 CACHE_WORDS = 200_000
-LEAST_DOCUMENTS = 5
 #: Fixed by the definition of a term: lower-cased A-Z, digits and everything outside ASCII.
 _TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -43,98 +47,172 @@ def terms_of(word: bytes) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors, by term: example numbers and weights in blocks, with each block's largest weight."""
+    """Examples as unit TF-IDF vectors over all their terms.
+
+    Rare terms have lists of examples and weights, end to end; common ones are dense columns by example, with the largest
+    weight in each block of examples.
+    """
 
     labels: np.ndarray
     idf: dict[bytes, float] = field(default_factory=dict)
-    examples: dict[bytes, np.ndarray] = field(default_factory=dict)
-    weights: dict[bytes, np.ndarray] = field(default_factory=dict)
-    tops: dict[bytes, np.ndarray] = field(default_factory=dict)
-    known: dict[bytes, tuple[bytes, ...]] = field(default_factory=dict, repr=False)
+    place: dict[bytes, int] = field(default_factory=dict, repr=False)
+    factor: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64), repr=False)
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32), repr=False)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32), repr=False)  # of each term, -1 if it is rare
+    common: tuple[np.ndarray, ...] = field(default=(), repr=False)  # examples, columns and weights of common terms
+    laid: tuple[np.ndarray, ...] = field(default=(), repr=False)  # dense columns, block maxima, single precision; made by each worker
+    known: dict[bytes, tuple[int, ...]] = field(default_factory=dict, repr=False)
     prior: float = 0.0
     blank: float = 0.0
-    bandwidth: float = 0.25
+    bandwidth: float = 0.1
     scale: np.ndarray = field(default_factory=lambda: np.ones(2))
 
-    def vector(self, text: bytes | None) -> dict[bytes, float]:
-        """Unit TF-IDF vector over the kept terms: (1 + log of the count) times idf. Empty if the text has none of them."""
-        idf, known = self.idf, self.known
-        seen: Counter[bytes] = Counter()
-        for w in words_of(text):
+    def row(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's terms that any example has, and the unit TF-IDF vector over them: (1 + log of the count) times idf."""
+        if self.idf and not self.place:
+            self.place = {w: i for i, w in enumerate(self.idf)}
+            self.factor = np.array(list(self.idf.values()))
+        place, known = self.place, self.known
+        ids: list[int] = []
+        counts: list[int] = []
+        sizes: list[int] = []
+        for w, n in Counter(words_of(text)).items():
             terms = known.get(w)
             if terms is None:
-                terms = tuple(t for t in terms_of(w) if t in idf)
+                terms = tuple(place[t] for t in terms_of(w) if t in place)
                 if len(known) < CACHE_WORDS:
                     known[w] = terms
             if terms:
-                seen.update(terms)
-        v = {w: (1 + log(n)) * idf[w] for w, n in seen.items()}
-        norm = sqrt(sum(x * x for x in v.values()))
-        return {w: x / norm for w, x in v.items()} if norm else {}
+                ids += terms
+                counts.append(n)
+                sizes.append(len(terms))
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, of = np.unique(np.array(ids), return_inverse=True)
+        x = (1 + np.log(np.bincount(of, np.repeat(counts, sizes)))) * self.factor[at]
+        return at, x / sqrt(x @ x)
+
+    def vector(self, text: bytes | None) -> dict[bytes, float]:
+        """``row`` by term. Empty if the text has no term of the examples."""
+        at, x = self.row(text)
+        names = list(self.place)
+        return {names[i]: v for i, v in zip(at.tolist(), x.tolist(), strict=True)}
 
     def build(self, vectors: list[dict[bytes, float]]) -> None:
-        lists: dict[bytes, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for w, x in v.items():
-                lists.setdefault(w, []).append((i, x))
-        for w, postings in lists.items():
-            x = np.array([p[1] for p in postings])
-            self.examples[w], self.weights[w] = np.array([p[0] for p in postings]), x
-            self.tops[w] = np.maximum.reduceat(x, np.arange(0, len(x), BLOCK))
+        self.row(None)
+        self.fill([(np.array([self.place[w] for w in v], np.int64), np.array(list(v.values()))) for v in vectors])
+
+    def fill(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        terms, n = len(self.place), len(rows)
+        at = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)])
+        x = np.concatenate([np.zeros(0), *(r[1] for r in rows)])
+        of = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
+        length = np.bincount(at, minlength=terms)
+        common = length > max(COMMON * n, 1)
+        self.column = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        mine = common[at]
+        self.common, self.laid = (of[mine], self.column[at[mine]], x[mine]), ()
+        at, x, of = at[~mine], x[~mine], of[~mine]
+        order = np.argsort(at, kind="stable")
+        self.examples, self.weights = of[order], x[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.where(common, 0, length))])
+
+    def lay(self) -> tuple[np.ndarray, ...]:
+        if not self.laid:
+            of, column, x = self.common
+            dense = np.zeros((len(self.labels), int(self.column.max(initial=-1)) + 1))
+            dense[of, column] = x
+            self.laid = (dense, np.maximum.reduceat(dense, np.arange(0, len(dense), BLOCK), axis=0), dense.T.astype(np.float32))
+        return self.laid
 
     def nearest(self, v: dict[bytes, float], k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest cosine (over 0) and their cosines, exactly; ties to the smaller number.
+        known = [(self.place[w], x) for w, x in v.items() if w in self.place]
+        return self.search([(np.array([i for i, _ in known], np.int64), np.array([x for _, x in known]))], k, [skip])[0]
+
+    def search(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row the ``k`` examples of largest cosine (over 0) and their cosines, exactly; ties to the smaller number.
 
-        Terms are taken by falling largest contribution. What the terms not yet taken can add at most is known from the
-        block maxima; once that is below the k-th best so far, only examples already met can win, and of the remaining
-        lists only blocks that hold such examples are read.
+        Rare terms are taken first, from their lists. What common terms can add at most is known from the block maxima;
+        an example that cannot reach the k-th best so far by that much is out. Rows with many examples left get the
+        common part by one product in single precision, which leaves those near the k-th. Cosines of what is left are
+        added up in double precision.
         """
-        order = sorted((w for w in v if w in self.tops), key=lambda w: (-v[w] * self.tops[w].max(), w))
-        rest = np.cumsum([v[w] * self.tops[w].max() for w in reversed(order)])[::-1].tolist() + [0.0]
-        sums = np.zeros(len(self.labels))
-        for i, w in enumerate(order):
-            if rest[i] > 0 and i:
-                met = np.flatnonzero(sums)
-                if len(met) > k and rest[i] < np.partition(sums[met], -k - 1)[-k - 1]:
-                    self._finish(sums, met, order[i:], rest[i], v, k)
-                    break
-            sums[self.examples[w]] += v[w] * self.weights[w]
-        if skip >= 0:
-            sums[skip] = 0.0
-        met = np.flatnonzero(sums > 0)
-        best = met[np.lexsort((met, -sums[met].round(12)))[:k]]
-        return best, sums[best]
-
-    def _finish(self, sums: np.ndarray, met: np.ndarray, terms: list[bytes], rest: float, v: dict[bytes, float], k: int) -> None:
-        """Adds the remaining terms to those examples of ``met`` that can still be among the best; others are set to 0."""
-        bar = np.partition(sums[met], -k - 1)[-k - 1]
-        able = met[sums[met] + rest >= bar - 1e-12]
-        kept = sums[able].copy()
-        sums[met] = 0.0
-        sums[able] = kept
-        for w in terms:
-            ids, x = self.examples[w], self.weights[w]
-            starts = np.arange(0, len(ids), BLOCK)
-            # blocks whose range of examples holds one that can win, and whose maximum adds anything
-            first, last = ids[starts], ids[np.minimum(starts + BLOCK, len(ids)) - 1]
-            full = (np.searchsorted(able, last, "right") > np.searchsorted(able, first)) & (self.tops[w] > 0)
-            for b in np.flatnonzero(full).tolist():
-                part = slice(b * BLOCK, (b + 1) * BLOCK)
-                mine = np.isin(ids[part], able)
-                sums[ids[part][mine]] += v[w] * x[part][mine]
-
-    def score(self, v: dict[bytes, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        n = len(self.labels)
+        dense, tops, single = self.lay()
+        wide, lists = np.zeros((len(rows), dense.shape[1])), []
+        for i, (at, x) in enumerate(rows):
+            column = self.column[at]
+            rare = column < 0
+            wide[i, column[~rare]] = x[~rare]
+            first = self.starts[at[rare]]
+            size = self.starts[at[rare] + 1] - first
+            places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            sums = np.bincount(self.examples[places], self.weights[places] * np.repeat(x[rare], size), n).astype(float)  # of nothing it counts in integers
+            if skip and skip[i] >= 0:
+                sums[skip[i]] = -np.inf
+            lists.append(sums)
+        most = np.repeat(wide @ tops.T, BLOCK, axis=1)[:, :n]
+        able = [np.flatnonzero(s + m >= _kth(s, k) - 1e-12) for s, m in zip(lists, most, strict=True)]
+        many = [i for i, left in enumerate(able) if len(left) > n / 8]
+        about = wide[many].astype(np.float32) @ single
+        for i, part in zip(many, about, strict=True):
+            part = lists[i] + part
+            able[i] = np.flatnonzero(part >= _kth(part, k) - 1e-5)
+        out = []
+        for sums, left, row in zip(lists, able, wide, strict=True):
+            cosines = sums[left] + dense[left] @ row
+            left, cosines = left[cosines > 0], cosines[cosines > 0]
+            best = np.lexsort((left, -cosines.round(12)))[:k]
+            out.append((left[best], cosines[best]))
+        return out
+
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Share of label 1 among the neighbours, each weighted by its nearness and by how rare its label's examples were made."""
+        none = (np.zeros(0, np.int64), np.zeros(0))
         if not len(self.labels):
-            return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        if not v:
-            return self.blank, np.zeros(0, np.int64), np.zeros(0)
-        near, cosines = self.nearest(v, skip=skip)
-        weight = np.exp((cosines - 1) / self.bandwidth) * self.scale[self.labels[near]]
-        total, toxic = weight.sum(), weight[self.labels[near] == 1].sum()
+            return [(0.0, *none)] * len(rows)
+        if not self.place:
+            return [(self.blank, *none)] * len(rows)
+        out = []
         # one vote of the prior with the weight of an example at no nearness
         ground = float(np.exp(-1 / self.bandwidth))
-        return float((toxic + ground * self.prior) / (total + ground)), near, cosines
+        for row, (near, cosines) in zip(rows, self.search(rows), strict=True):
+            weight = np.exp((cosines - 1) / self.bandwidth) * self.scale[self.labels[near]]
+            total, toxic = weight.sum(), weight[self.labels[near] == 1].sum()
+            out.append((float((toxic + ground * self.prior) / (total + ground)), near, cosines) if len(row[0]) else (self.blank, *none))
+        return out
+
+
+def _kth(x: np.ndarray, k: int) -> float:
+    return np.partition(x, -k)[-k] if len(x) > k else -np.inf
+
+
+def document_counts(bodies: DataFrame, place: dict[bytes, int]) -> np.ndarray:
+    """In how many of all texts (``body``) each term of ``place`` stands."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, tuple[int, ...]] = {}
+        total = np.zeros(len(place), np.int64)
+        for part in parts:
+            for t in part["body"]:
+                mine: set[int] = set()
+                for w in set(words_of(t)):
+                    found = known.get(w)
+                    if found is None:
+                        found = tuple(place[x] for x in terms_of(w) if x in place)
+                        if len(known) < CACHE_WORDS:
+                            known[w] = found
+                    mine.update(found)
+                total[list(mine)] += 1
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"term": some, "n": total[some]})
+
+    rows = bodies.select("body").mapInPandas(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(place), np.int64)
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
 def _sample(marked: DataFrame, label: int, n: int, rows: int) -> list[tuple[bytes | None, int]]:
@@ -176,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """An index over a bounded sample of labelled documents: at most ``examples`` texts of either label that are no near copies
     of each other.
 
-    Terms are those that the two labels use in clearly different shares of their documents, so that a term marks a
-    document rather than its topic. A document with several labels has the smallest; null labels are left out.
+    Every term of an example is in the index, with its idf from the counts over all of ``docs``; terms that the two labels
+    use in different shares of their examples count more. A document with several labels has the smallest; null labels are left out.
     """
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body(F.col(f"`{text}`")).alias("body"))
     named = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("label"))
@@ -192,21 +270,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return index
     index.scale = n / kept  # an example stands for so many labelled documents
     index.prior = float(n[1] / n.sum())
-    seen = [Counter(), Counter()]
-    for t, y in rows:
-        seen[y].update({x for w in set(words_of(t)) for x in terms_of(w)})
-    for w in seen[0].keys() | seen[1].keys():
-        a = np.array([seen[0][w], seen[1][w]])
-        if a.sum() < LEAST_DOCUMENTS:
-            continue
-        p, pooled = a / kept, a.sum() / kept.sum()
-        more, less = (p + 0.5 / kept).max(), (p + 0.5 / kept).min()
-        if more >= FACTOR * less and more - less >= SIGMAS * sqrt(pooled * (1 - pooled) * (1 / kept).sum()):
-            index.idf[w] = log(1 + kept.sum() / a.sum())
-    vectors = [index.vector(t) for t, _ in rows]
-    index.build(vectors)
+    place = index.place
+    having = [np.fromiter({place.setdefault(x, len(place)): 0 for w in dict.fromkeys(words_of(t)) for x in terms_of(w)}, np.int64) for t, _ in rows]
+    a = np.array([np.bincount(np.concatenate([h for h, (_, l) in zip(having, rows, strict=True) if l == y]), minlength=len(place)) for y in (0, 1)])
+    del having
+    p, pooled = a / kept[:, None], a.sum(0) / kept.sum()
+    z = np.abs(p[0] - p[1]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / kept).sum())
+    idf = np.log(1 + source.count() / np.maximum(document_counts(source, place), 1))
+    index.factor = idf * (1 + BOOST * np.minimum(z / SIGMAS, 1) ** 2)
+    vectors = [index.row(t) for t, _ in rows]
+    index.fill(vectors)
     index.known.clear()
-    empty = np.bincount([y for v, (_, y) in zip(vectors, rows, strict=True) if not v], minlength=2) * index.scale
+    empty = np.bincount([y for v, (_, y) in zip(vectors, rows, strict=True) if not len(v[0])], minlength=2) * index.scale
     index.blank = float((empty[1] + index.prior) / (empty.sum() + 1))
     return index
 
@@ -218,9 +293,9 @@ def scores(text: Column, index: Index) -> Column:
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             rows = []
-            for t in texts:
-                score, near, cosines = index.score(index.vector(t))
-                rows.append((score, near.tolist(), cosines.tolist(), index.labels[near].tolist()))
+            for at in range(0, len(texts), BATCH):
+                found = index.scores([index.row(t) for t in texts.iloc[at : at + BATCH]])
+                rows += [(score, near.tolist(), cosines.tolist(), index.labels[near].tolist()) for score, near, cosines in found]
             yield pd.DataFrame(rows, columns=["score", "examples", "cosines", "labels"])
 
     return of.asNondeterministic()(body(text))
