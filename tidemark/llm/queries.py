@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curves, decontaminate, language, logbilinear, packing, quality, secret_scan, shards, simhash, toxicity
+from tidemark.llm import curves, decontaminate, language, logbilinear, packing, quality, resampling, secret_scan, shards, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op9(spark, sf_dir):
 @query("op10_sharding", shards.SQL)
 def op10(spark, sf_dir):
     return shards.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling", resampling.SQL)
+def op11(spark, sf_dir):
+    return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
