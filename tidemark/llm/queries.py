@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import curves, decontaminate, language, logbilinear, packing, quality, resampling, secret_scan, shards, simhash, toxicity
+from tidemark.llm import centroids, curves, decontaminate, language, logbilinear, packing, quality, resampling, secret_scan, shards, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op10(spark, sf_dir):
 @query("op11_importance_resampling", resampling.SQL)
 def op11(spark, sf_dir):
     return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_centroid_clusters", centroids.SQL)
+def op13(spark, sf_dir):
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
