@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +41,19 @@ def crc_mod(c: Column | str, n: int) -> Column:
     return F.crc32((F.col(c) if isinstance(c, str) else c).cast("string")) % n
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as a Python worker process, which runs one task after another.
+
+    Functions reach workers by value, and their modules' variables with them anew for each task, so this one is kept in a
+    module that only the process itself knows.
+    """
+    name = "_tidemark_worker"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].state = {}
+    return sys.modules[name].state
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if its rows are counted below the bound, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

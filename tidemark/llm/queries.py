@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import centroids, curves, decontaminate, language, logbilinear, packing, quality, resampling, secret_scan, shards, simhash, toxicity
+from tidemark.llm import byte_pairs, centroids, curves, decontaminate, language, logbilinear, packing, quality, resampling, secret_scan, shards, simhash, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op11(spark, sf_dir):
 @query("op13_centroid_clusters", centroids.SQL)
 def op13(spark, sf_dir):
     return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_bpe")
+def op12(spark, sf_dir):
+    return byte_pairs.digest(table(spark, sf_dir, "documents"), vocabulary(byte_pairs.VOCABULARY))
