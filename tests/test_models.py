@@ -56,7 +56,7 @@ def linear_models(reg, cls):
 
 
 MODELS = {
-    "tree": forest("class", delta=0.05), "efdt": forest("class", delta=0.05, revisit=True), "hat": forest("class", delta=0.05, prune=True),
+    "tree": forest("class", delta=0.05), "efdt": forest("class", delta=0.05, revisit=True), "hat": forest("class", delta=0.05, on_drift="alternate"),
     "arf": forest("class", members=4, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
     "leveraging": forest("class", members=4, rate=6.0, reset="worst"), "oza": forest("class", delta=0.05, members=3, boost="oza", vote="log_odds"),
     "reg_tree": forest("reg"), "gradient": forest("gradient", members=3, shrink=0.8),

@@ -37,10 +37,15 @@ def cut_tests(blocks: DataFrame, keys: list[str], delta: float = DELTA) -> DataF
 
 
 class BlockAdwin:
-    """Window over (n, mean, variance) of blocks; drops old blocks while a cut shows a change."""
+    """Window over blocks as an exponential histogram: buckets of 1, 2, 4 ... blocks, a bounded number of each, so that memory grows with the
+    logarithm of the blocks. While a cut between two buckets shows a change, the oldest bucket goes."""
+
+    #: Buckets of one size; the two oldest of more are merged.
+    EACH = 5
 
     def __init__(self, delta: float = DELTA) -> None:
         self.delta, self.window, self.span = delta, [], 0.0
+        self.size: list[int] = []  # blocks in each bucket
 
     def add(self, n: float, s: float, q: float, top: float = 1.0) -> bool:
         """Add one block (weight, sum and sum of squares of its errors, and the largest); True if the window shrank because the mean went up."""
@@ -48,11 +53,23 @@ class BlockAdwin:
         if n <= 0:
             return False
         self.window.append((n, s, q))
+        self.size.append(1)
         before, shrank = self.mean, False
         while len(self.window) > 1 and self._changed():
             self.window.pop(0)
+            self.size.pop(0)
             shrank = True
-        return shrank and self.mean > before
+        rose = shrank and self.mean > before
+        self._merge()
+        return rose
+
+    def _merge(self) -> None:
+        size = 1
+        while self.size.count(size) > self.EACH:
+            at = self.size.index(size)  # oldest first, sizes never grow towards the newest
+            self.window[at : at + 2] = [tuple(a + b for a, b in zip(*self.window[at : at + 2], strict=True))]
+            self.size[at : at + 2] = [2 * size]
+            size *= 2
 
     def _changed(self) -> bool:
         n, s, q = (sum(w[i] for w in self.window) for i in range(3))

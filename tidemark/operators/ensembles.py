@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from tidemark.functions.columns import uniform
 from tidemark.operators.baselines import class_list
 from tidemark.operators.bayes import best_class, gaussian_nb
 from tidemark.operators.neighbours import knn_class, nearest
-from tidemark.operators.trees import STATE, Forest, TreeSpec, binned
+from tidemark.operators.trees import EXTRA, Cells, Forest, Model, TreeSpec
 from tidemark.plans.blocks import Blocks
 from tidemark.plans.stream import Stream, prepare
 from tidemark.session import written
@@ -24,135 +25,114 @@ class Shrubs(Forest):
     (Buschjaeger, Hess and Morik 2022)."""
 
     def __init__(self, blocks, spec: TreeSpec, *args, levels: int = 2, rate: float = 0.5, **kwargs) -> None:
-        super().__init__(blocks, spec, *args, **kwargs)
-        self.levels, self.pace = levels, rate
-        self.trees, self.weight = [], np.zeros(0)
-
-    def state(self) -> dict:
-        return {
-            "members": [
-                (t.feature.tolist(), t.cut.tolist(), self.leaf_values(t).tolist(), 1.0, 1.0, float(w)) for t, w in zip(self.trees, self.weight)
-            ]
-        }
-
-    def prediction(self) -> Column:
-        if self.spec.kind == "class":
-            return super().prediction()
-        return F.aggregate(F.zip_with("members", "_value", lambda m, v: m["weight"] * v), F.lit(0.0), lambda a, v: a + v)
+        super().__init__(blocks, replace(spec, members=0), *args, **kwargs)
+        self.levels, self.pace, self.most = levels, rate, spec.members
 
-    def gradients(self, rows: DataFrame) -> dict[int, tuple[float, float]]:
-        """Mean gradient of the squared ensemble loss by member weight, and the size of the member output."""
-        both = F.zip_with("members", "_value", lambda m, v: F.struct(m["weight"].alias("w"), v.alias("v")))
-        y = self.target.cast("double")
-        if self.spec.kind == "class":
-            agree = lambda v: F.aggregate(F.filter(both, lambda p: p["v"] == v), F.lit(0.0), lambda a, p: a + p["w"])
-            pull = F.transform("_value", lambda v: F.struct((agree(v) - (v == y).cast("double")).alias("g"), F.lit(1.0).alias("s")))
+    def model(self, learn: bool = False) -> tuple[Model, list]:
+        model, nodes = super().model(learn)
+        return ShrubModel(**vars(model)), nodes
+
+    def extra_cells(self) -> int:
+        return 3 * len(self.trees)
+
+    @staticmethod
+    def more(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient of the squared ensemble loss by member weight, size of the member's output, and rows."""
+        v, _ = model.outputs_of(x)
+        if model.spec.kind == "class":
+            # a member pulls the share of its own class towards 1 where it is right, towards 0 elsewhere
+            votes = np.stack([(v == c) @ model.weight for c in range(model.outputs)], 1)
+            g = np.take_along_axis(votes, np.maximum(v, 0).astype(int), 1) - (v == y[:, None])
+            size = np.ones_like(v)
         else:
-            miss = F.aggregate(both, F.lit(0.0), lambda a, p: a + p["w"] * p["v"]) - y
-            pull = F.transform("_value", lambda v: F.struct((miss * v).alias("g"), (v * v).alias("s")))
-        out = rows.select(F.posexplode(pull).alias("m", "p")).groupBy("m").agg(F.avg("p.g").alias("g"), F.avg("p.s").alias("s"))
-        return {r["m"]: (r["g"], r["s"]) for r in out.collect()}
-
-    def fit(self, learn=None) -> list[dict]:
-        rows = binned(self.blocks.stream.df if learn is None else learn, self.features, self.edges)
-        states = [self.state()]
-        for b in range(1, self.blocks.used):
-            here = self.blocks.rows(b, rows)
-            if self.trees:
-                pull = self.gradients(self.routed(self.blocks.with_state(states, STATE, here)))
-                step = np.array([pull.get(i, (0.0, 1.0)) for i in range(len(self.trees))])
-                self.weight = np.maximum(self.weight - self.pace * step[:, 0] / np.maximum(step[:, 1], 1e-12), 0.0)
-                self._trim()
-            self._grow(here, b)
-            states.append(self.state())
-        return states
+            g, size = (v @ model.weight - y)[:, None] * v, v * v
+        return np.stack([g.sum(0), size.sum(0), np.full(v.shape[1], float(len(y)))], 1).ravel()
+
+    def learn_rows(self, rows: DataFrame) -> None:
+        self.edges.add(rows)
+        if self.trees:
+            cells, _ = self.count(rows)
+            pull = cells.get(-1, EXTRA, (len(self.trees), 3))
+            step = pull[:, :2] / np.maximum(pull[:, 2:], 1.0)
+            self.weight = np.maximum(self.weight - self.pace * step[:, 0] / np.maximum(step[:, 1], 1e-12), 0.0)
+            self._trim()
+        self._grow(rows)
 
     def _trim(self) -> None:
         """Weights back to a convex mix of the best trees; trees without weight go."""
-        keep = np.argsort(-self.weight)[: self.spec.members - 1]
+        keep = np.argsort(-self.weight)[: self.most - 1]
         keep = sorted(i for i in keep if self.weight[i] > 1e-6)
         self.trees, self.weight = [self.trees[i] for i in keep], self.weight[keep]
         if len(keep):
             self.weight = self.weight / max(self.weight.sum(), 1e-12)
 
-    def _grow(self, here: DataFrame, b: int) -> None:
-        spec = TreeSpec("shrub", kind=self.spec.kind, depth=self.spec.depth, tie=10.0, seed=self.spec.seed + b)
-        small = Forest(self.blocks, spec, self.features, self.target, self.outputs, self.edges)
+    def _grow(self, rows: DataFrame) -> None:
+        """A tree of a few levels, fitted to this block alone, with a pass for each level."""
+        spec = TreeSpec("shrub", kind=self.spec.kind, depth=self.spec.depth, tie=10.0, seed=self.spec.seed)
+        small = Forest(self.blocks, spec, self.features, self.target, self.outputs)
+        small.edges = self.edges
         for _ in range(self.levels):
-            state = [small.state()] * b
-            rows = small.payload(small.routed(self.blocks.with_state(state, STATE, here)))
-            small.trees[0].stats[:] = 0
-            small.trees[0].hist.clear()
-            small.learn(small.histograms(rows))
+            for node in small.trees[0].leaves():
+                node.stats, node.hist = np.zeros(small.outputs), None
+            small.learn(*small.count(rows))
         share = 1.0 / (len(self.trees) + 1)
         self.trees = [*self.trees, small.trees[0]]
         self.weight = np.append(self.weight * (1 - share), share)
+        n = len(self.trees)
+        self.background, self.right, self.wrong = [None] * n, np.zeros(n), np.zeros(n)
+
+
+class ShrubModel(Model):
+    """A regression is the weighted sum of the members, whose weights add up to 1 once trimmed."""
+
+    def predict(self, x: np.ndarray, v: np.ndarray, walks: list) -> np.ndarray:
+        if self.spec.kind == "class":
+            return super().predict(x, v, walks)
+        return v @ self.weight
 
 
 class NearestLeaves(Forest):
     """Forest regressor that averages the k leaves nearest to the row; k by past error (Sun et al. 2022)."""
 
+    centres = True
+
     def __init__(self, *args, **kwargs) -> None:
         super().__init__(*args, **kwargs)
         self.best = self.spec.members
-        n = len(self.features)
-        self.centroid = [np.zeros((len(t.feature), n)) for t in self.trees]
 
-    def state(self) -> dict:
-        out = super().state()
-        if hasattr(self, "centroid"):
-            out |= {"centroids": [c.ravel().tolist() for c in self.centroid], "best": int(self.best)}
-        return out
+    def model(self, learn: bool = False) -> tuple[Model, list]:
+        model, nodes = super().model(learn)
+        return LeafModel(**vars(model), best=self.best), nodes
 
-    STATE = STATE + ", centroids array<array<double>>, best int"
+    def extra_cells(self) -> int:
+        return self.spec.members
 
-    def _ranked(self) -> Column:
-        """Member values, nearest leaf first (distance in bins)."""
-        n = len(self.features)
+    @staticmethod
+    def more(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Summed absolute error of the mean of the 1, 2, ... nearest leaves."""
+        return np.abs(model.means(x, *model.outputs_of(x)) - y[:, None]).sum(0)
 
-        def far(c, leaf):
-            steps = F.transform(F.col("_bins"), lambda b, i: F.pow(b - F.get(c, leaf * n + i), F.lit(2.0)))
-            return F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)
+    def learn(self, cells: Cells, nodes: list, only: int | None = None) -> None:
+        miss = cells.get(-1, EXTRA, (self.spec.members,))
+        if any(n.stats[0] > 0 for n in nodes[0]):  # else no tree has an output yet
+            self.best = int(miss.argmin()) + 1
+        super().learn(cells, nodes, only)
 
-        reach = F.zip_with("centroids", "_leaf", far)
-        pairs = F.zip_with(reach, "_value", lambda d, v: F.struct(d.alias("d"), v.alias("v")))
-        return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
-    @staticmethod
-    def _mean_of(values: Column, k: Column) -> Column:
-        return F.aggregate(F.slice(values, F.lit(1), k), F.lit(0.0), lambda a, v: a + v) / k
-
-    def fit(self, learn=None) -> list[dict]:
-        rows = binned(self.blocks.stream.df if learn is None else learn, self.features, self.edges)
-        states = [self.state()]
-        members = self.spec.members
-        for b in range(1, self.blocks.used):
-            here = self.routed(self.blocks.with_state(states, self.STATE, self.blocks.rows(b, rows)))
-            table = self.histograms(self.payload(here))
-            if b > 1:
-                y = self.target.cast("double")
-                miss = [F.avg(F.abs(self._mean_of(F.col("_r"), F.lit(k)) - y)).alias(str(k)) for k in range(1, members + 1)]
-                row = here.withColumn("_r", self._ranked()).agg(*miss).collect()[0]
-                self.best = min(range(1, members + 1), key=lambda k: row[str(k)])
-            self.learn(table)
-            for i, part in table.groupby("m"):
-                for leaf, sub in part.groupby("leaf"):
-                    for f, cells in sub.groupby("f"):
-                        w = cells["w"].to_numpy(float)
-                        self.centroid[int(i)][int(leaf), int(f)] = float((w * cells["bin"]).sum() / max(w.sum(), 1e-12))
-            for i, tree in enumerate(self.trees):
-                for node in np.flatnonzero(tree.feature >= 0):
-                    for child in (2 * node + 1, 2 * node + 2):
-                        if not self.centroid[i][child].any():
-                            self.centroid[i][child] = self.centroid[i][node]
-            states.append(self.state())
-        return states
-
-    def score(self, states, rows=None) -> DataFrame:
-        rows = binned(self.blocks.stream.df if rows is None else rows, self.features, self.edges)
-        out = self.routed(self.blocks.with_state(states, self.STATE, rows))
-        out = out.withColumn(self.spec.name, self._mean_of(self._ranked(), F.col("best")))
-        return out.drop("_bins", "_leaf", "_value", "members", "centroids", "best", "block")
+@dataclass
+class LeafModel(Model):
+    best: int = 1
+
+    def means(self, x: np.ndarray, v: np.ndarray, walks: list) -> np.ndarray:
+        """Mean output of the nearest leaves by their number; distance in bins to the mean of a leaf's rows."""
+        bins, far = self.edges.bins_of(x), np.zeros(v.shape)
+        for t, (row, leaf, main) in enumerate(walks):
+            far[row[main], t] = ((bins[row[main]] - self.routes[t].centre[leaf[main]]) ** 2).sum(1)
+        near = np.take_along_axis(v, np.argsort(far, axis=1, kind="stable"), 1)
+        return near.cumsum(1) / np.arange(1, v.shape[1] + 1)
+
+    def predict(self, x: np.ndarray, v: np.ndarray, walks: list) -> np.ndarray:
+        return self.means(x, v[:, : self.members], walks[: self.members])[:, self.best - 1]
 
 
 def oversampled(stream: Stream, features: list[str], minority: object, copies: int, k: int = 5, window: int = 1000, seed: int = 42) -> DataFrame:
@@ -188,8 +168,7 @@ def stacking(blocks: Blocks, features: list[str], classes: list, index: Column,
     position = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
     rows = gaussian_nb(stream, classes, features)
     rows = rows.withColumn("m_nb", F.element_at(position, F.col("naive_bayes")))
-    tree = Forest(blocks, TreeSpec("m_tree"), features, index, len(classes))
-    rows = tree.score(tree.fit(), rows)
+    rows = Forest(blocks, TreeSpec("m_tree"), features, index, len(classes)).run(rows=blocks.kept(rows, "stacking"))
     near = knn_class(nearest(stream, features, 5, 200), classes).select("step", F.element_at(position, F.col("knn")).alias("m_knn"))
     members = ["m_nb", "m_tree", "m_knn"]
     rows = rows.join(near, "step").withColumns({m: F.coalesce(m, F.lit(-1.0)) for m in members})

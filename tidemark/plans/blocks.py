@@ -12,12 +12,13 @@ from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.plans.stream import Stream
+from tidemark.session import scratch_path
 
-
-#: Rows between two updates of a block model.
-BLOCK_ROWS = 200_000
+#: Rows of a block for each core, so that a block keeps a cluster busy whatever its size.
+ROWS_A_CORE = 25_000
 
 
 @dataclass
@@ -36,15 +37,27 @@ class Blocks:
         return math.ceil(self.stream.n / self.size) if self.stream.n else 0
 
     @classmethod
-    def of_rows(cls, stream: Stream, rows: int = BLOCK_ROWS, least: int = 6) -> "Blocks":
-        """Blocks of at most ``rows`` rows, so that a model learns more often from a longer stream; at least ``least`` blocks."""
+    def of_rows(cls, stream: Stream, rows: int | None = None, least: int = 6) -> "Blocks":
+        """Blocks of at most ``rows`` rows (default: so many for each core of the session), so that a model learns more often from a
+        longer stream; at least ``least`` blocks. Results depend on the cut: give ``rows`` to repeat them on another cluster."""
+        if rows is None:
+            rows = ROWS_A_CORE * stream.df.sparkSession.sparkContext.defaultParallelism
         return cls(stream, max(least, math.ceil(stream.n / rows)))
 
     def number(self) -> Column:
         """1-based block of a row."""
         return F.ceil(F.col("step") / self.size).cast("int")
 
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` (with ``step``) as a table whose folders are blocks, for rows that every block would else compute anew."""
+        path = scratch_path(df.sparkSession, label)
+        df.withColumn("_block", self.number()).write.partitionBy("_block").parquet(path)
+        kind = StructType([*df.schema.fields, StructField("_block", IntegerType())])
+        return df.sparkSession.read.schema(kind).parquet(path)
+
     def rows(self, b: int, df: DataFrame | None = None) -> DataFrame:
+        if df is not None and "_block" in df.columns:
+            return df.where(F.col("_block") == b).drop("_block")
         return self.stream.between((b - 1) * self.size + 1, b * self.size, df)
 
     def with_state(self, states: list[dict], schema: str, rows: DataFrame | None = None) -> DataFrame:

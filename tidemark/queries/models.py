@@ -404,7 +404,7 @@ def l5_all_models_fleet(spark, d):
 CLASS_TREES = {
     "k11_hoeffding_tree": TreeSpec("pred"),
     "k12_efdt": TreeSpec("pred", revisit=True),
-    "k13_hoeffding_adaptive_tree": TreeSpec("pred", prune=True),
+    "k13_hoeffding_adaptive_tree": TreeSpec("pred", on_drift="alternate"),
     "k14_adaptive_random_forest": TreeSpec("pred", members=10, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
     "k16_streaming_random_patches": TreeSpec("pred", members=10, rate=6.0, subset=2, reset="member", vote="accuracy"),
     "e1_online_bagging": TreeSpec("pred", members=10, rate=1.0),
@@ -412,16 +412,16 @@ CLASS_TREES = {
     "e3_leveraging_bagging": TreeSpec("pred", members=10, rate=6.0, reset="worst"),
     "e4_oza_boost": TreeSpec("pred", members=5, rate=1.0, boost="oza", vote="log_odds"),
     "e4_smooth_boost": TreeSpec("pred", members=5, boost="smooth"),
-    "e5_dynamic_weighted_majority": TreeSpec("pred", members=5, rate=1.0, subset=2, vote="decay"),
+    "e5_dynamic_weighted_majority": TreeSpec("pred", subset=2, vote="majority"),
 }
 REG_TREES = {
     "r7_hoeffding_tree_regressor": TreeSpec("pred", kind="reg"),
-    "r7_option_tree_regressor": TreeSpec("pred", kind="reg", members=3, subset=2),
-    "r8_hoeffding_adaptive_tree_regressor": TreeSpec("pred", kind="reg", prune=True),
+    "r7_option_tree_regressor": TreeSpec("pred", kind="reg", options=10),
+    "r8_hoeffding_adaptive_tree_regressor": TreeSpec("pred", kind="reg", on_drift="alternate"),
     "r9_stochastic_gradient_tree": TreeSpec("pred", kind="gradient", shrink=1.0),
     "r10_adaptive_random_forest_regressor": TreeSpec("pred", kind="reg", members=10, rate=6.0, leaf_subset=2, reset="member", vote="accuracy"),
     "r13_streaming_random_patches_regressor": TreeSpec("pred", kind="reg", members=10, rate=6.0, subset=2, reset="member"),
-    "e1_bagging_regressor": TreeSpec("pred", kind="reg", members=10, rate=1.0, prune=True),
+    "e1_bagging_regressor": TreeSpec("pred", kind="reg", members=10, rate=1.0, on_drift="alternate"),
     "r15_gradient_boosted_regression": TreeSpec("pred", kind="gradient", members=5, shrink=0.5),
 }
 
@@ -489,7 +489,7 @@ def r14_nearest_leaves(spark, d):
 def k17_oversampled_tree(spark, d):
     blocks = blocks_of(spark, d, "ev_bin")
     learn = ensembles.oversampled(blocks.stream, EVF, 1, copies=3)
-    out = Forest(blocks, TreeSpec("pred"), EVF, F.col("is_error"), 2).run(learn)
+    out = Forest(blocks, TreeSpec("pred"), EVF, F.col("is_error"), 2).run(blocks.kept(learn, "oversampled"))
     return out.select("step", F.col("is_error").alias("y"), F.col("pred").cast("int").alias("pred"))
 
 
