@@ -62,7 +62,7 @@ def test_odd_rows(spark, library):
 
 def test_small_blocks(monkeypatch, library, coder):
     texts = [t.encode() if t is not None else None for t in odd_texts()]
-    for name, value in (("TEXT_BLOCK", 200), ("TOKEN_BLOCK", 7), ("QUERY_BYTES", 30), ("KEPT_WORDS", len(coder.numbers))):
+    for name, value in (("TEXT_BLOCK", 200), ("TOKEN_BLOCK", 7), ("QUERY_BYTES", 30), ("KEPT_WORDS", 50)):
         monkeypatch.setattr(byte_pairs, name, value)
     ids, counts = coder.encode(texts)
     ends = counts.cumsum()
@@ -74,8 +74,10 @@ def test_small_blocks(monkeypatch, library, coder):
 def test_recursion_equals_heap(coder):
     rng = random.Random(1)
     words = [bytes(rng.choice(b"abcest ing") for _ in range(rng.randrange(1, 40))) for _ in range(2000)] + [bytes(rng.randrange(256) for _ in range(60))]
-    for word, ids in zip(words, coder._contracted(words), strict=True):
-        assert ids.tolist() == byte_pairs.contracted_by_heap(word, coder.ranks).tolist()
+    ids, counts = coder._contracted(words)
+    ends = counts.cumsum()
+    for word, end, n in zip(words, ends, counts, strict=True):
+        assert ids[end - n : end].tolist() == byte_pairs.contracted_by_heap(word, coder.ranks).tolist()
 
 
 def test_unknown_id(coder):
@@ -83,3 +85,10 @@ def test_unknown_id(coder):
 
     with pytest.raises(ValueError):
         coder.decode(np.array([60_000]), np.array([1]))
+
+
+def test_columns_alone(spark, library):
+    texts = [(t,) for t in odd_texts()[:8]]
+    ids = spark.createDataFrame(texts, "text string").select("text", byte_pairs.encode("text", PATH).alias("ids"))
+    rows = ids.select("text", "ids", byte_pairs.decode("ids", PATH).alias("raw")).collect()
+    assert all(list(r.ids) == library.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode() for r in rows)

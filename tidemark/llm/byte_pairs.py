@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +20,29 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import body, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words that a worker process keeps (some 100 MB); beyond it starts anew.
-KEPT_WORDS = 400_000
+#: Words that a worker process keeps (some 100 MB); beyond it those met once since the last time go.
+KEPT_WORDS = 300_000
 #: Characters encoded and tokens decoded at a time, and bytes of new words in one recursive query.
-TEXT_BLOCK, TOKEN_BLOCK, QUERY_BYTES = 2_000_000, 500_000, 250_000
+TEXT_BLOCK, TOKEN_BLOCK, QUERY_BYTES = 2_000_000, 250_000, 250_000
+#: Texts of an Arrow batch taken at a time.
+SLICE = 2500
 #: Words over CUT bytes are cut where no token can lie across; stretches over LONG bytes are contracted by a heap, as
 #: the recursion takes a step for each contraction.
-CUT, LONG = 48, 256
+CUT, LONG = 48, 256  # LONG is below 1024, the places that CONTRACT has room for
 
 CONTRACT = """
 WITH RECURSIVE t(w, pos, id, done) AS (
   SELECT w, pos, id, false FROM fresh
   UNION ALL
-  SELECT rest.w, rest.pos, CASE WHEN rest.pos = best.pos THEN best.r ELSE rest.id END, best.r IS NULL
-  FROM (SELECT w, pos, id, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before FROM t WHERE NOT done) rest
-  LEFT JOIN (SELECT w, min(r) AS r, arg_min(pos, r::BIGINT * 4294967296 + pos) AS pos
-             FROM (SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM t WHERE NOT done) p
-             JOIN merges m ON p.id = m.a AND p.next = m.b GROUP BY w) best ON rest.w = best.w
-  WHERE best.r IS NULL OR rest.before IS DISTINCT FROM best.pos)
+  (WITH p AS MATERIALIZED (SELECT w, pos, id, lead(id) OVER win AS next, lag(pos) OVER win AS before FROM t WHERE NOT done
+                           WINDOW win AS (PARTITION BY w ORDER BY pos)),
+   best AS (SELECT w, min(r::BIGINT * 1024 + pos) AS least FROM p JOIN merges m ON p.id = m.a AND p.next = m.b GROUP BY w)
+   SELECT p.w, p.pos, CASE WHEN p.pos = best.least & 1023 THEN best.least >> 10 ELSE p.id END, best.least IS NULL
+   FROM p LEFT JOIN best ON p.w = best.w
+   WHERE best.least IS NULL OR p.before IS DISTINCT FROM best.least & 1023))
 SELECT w, id FROM t WHERE done ORDER BY w, pos
 """
-EXPAND = "SELECT doc, unhex(string_agg(h, '' ORDER BY pos)) AS raw FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
+EXPAND = "SELECT doc, list(raw ORDER BY pos) AS raw FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
 class Coder:
@@ -55,28 +57,42 @@ class Coder:
         self.longest = max(map(len, self.ranks))
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cut = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, r = (pa.array(np.array(c, np.int32)) for c in zip(*pairs, strict=True))
         self._load("merges", pa.table({"a": a, "b": b, "r": r}))
         ids = pa.array(np.array(list(self.ranks.values()), np.int32))
-        self._load("vocabulary", pa.table({"id": ids, "h": [t.hex() for t in self.ranks]}))
+        self._load("vocabulary", pa.table({"id": ids, "raw": pa.array(list(self.ranks), pa.binary())}))
         self.known = np.zeros(max(self.ranks.values()) + 1, bool)
         self.known[list(self.ranks.values())] = True
-        self._forget()
+        self._start()
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("_rows", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _rows")
         self.db.unregister("_rows")
 
-    def _forget(self) -> None:
-        """Only whole tokens are known words."""
+    def _start(self) -> None:
+        """At first whole tokens are the words known."""
         words = {t: r for t, r in self.ranks.items() if _is_text(t)}
         self.numbers = {t.decode(): i for i, t in enumerate(words)}
         self.flat = np.array(list(words.values()), np.int32)
         self.starts = np.arange(len(words), dtype=np.int64)
         self.counts = np.ones(len(words), np.int64)
+        self.used, self.tokens = np.zeros(len(words), np.int64), len(words)
+
+    def _forget(self) -> None:
+        """Keep whole tokens and, of the other words, those met most often."""
+        least, keep = 1, np.ones(len(self.counts), bool)
+        while keep.sum() - self.tokens > KEPT_WORDS // 2:
+            least *= 2
+            keep = self.used >= least
+            keep[: self.tokens] = True
+        counts = self.counts[keep]
+        at = np.repeat(self.starts[keep] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        new = np.cumsum(keep) - 1
+        self.numbers = {w: int(new[i]) for w, i in self.numbers.items() if keep[i]}
+        self.flat, self.starts, self.counts, self.used = self.flat[at], np.cumsum(counts) - counts, counts, np.zeros(len(counts), np.int64)
 
     # ------------------------------------------------------------ encoding
 
@@ -94,48 +110,57 @@ class Coder:
                     break
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
 
-    def _contracted(self, parts: list[bytes]) -> list[np.ndarray]:
-        """Tokens of each part, from its single bytes."""
-        n = np.array([len(p) for p in parts])
-        w = np.repeat(np.arange(len(parts), dtype=np.int32), n)
-        pos = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        self.db.register("fresh", pa.table({"w": w, "pos": pos, "id": self.byte[np.frombuffer(b"".join(parts), np.uint8)]}))
-        out = self.db.sql(CONTRACT).to_arrow_table()
-        self.db.unregister("fresh")
-        ids, owner = out.column("id").to_numpy(), out.column("w").to_numpy()
-        return np.split(ids, np.cumsum(np.bincount(owner, minlength=len(parts)))[:-1])
-
-    def _learn(self, words: list[str]) -> None:
-        """Contract new words and keep their tokens."""
-        cut = [self._stretches(w.encode()) for w in words]
-        found: dict[bytes, np.ndarray] = {}
-        todo, size = [], 0
-        for part in dict.fromkeys(p for parts in cut for p in parts):
-            if len(part) > LONG:
-                found[part] = contracted_by_heap(part, self.ranks)
-                continue
-            todo.append(part)
-            size += len(part)
-            if size >= QUERY_BYTES:
-                found.update(zip(todo, self._contracted(todo), strict=True))
-                todo, size = [], 0
-        if todo:
-            found.update(zip(todo, self._contracted(todo), strict=True))
-        tokens = [found[p] for parts in cut for p in parts]
-        counts = np.array([sum(len(found[p]) for p in parts) for parts in cut], np.int64)
+    def _contracted(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all parts, from their single bytes, and their number for each part."""
+        size = np.array([len(p) for p in parts])
+        blocks = np.cumsum(size) // QUERY_BYTES
+        ids, counts = [], []
+        for some in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(blocks)) + 1):
+            n = size[some]
+            w = np.repeat(np.arange(len(some), dtype=np.int32), n)
+            pos = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            raw = np.frombuffer(b"".join(parts[some[0] : some[-1] + 1]), np.uint8)
+            self.db.register("fresh", pa.table({"w": w, "pos": pos, "id": self.byte[raw]}))
+            out = self.db.sql(CONTRACT).to_arrow_table()
+            self.db.unregister("fresh")
+            ids.append(out.column("id").to_numpy())
+            counts.append(np.bincount(out.column("w").to_numpy(), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.numbers.update(zip(words, range(len(self.counts), len(self.counts) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, *tokens])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def _learn(self, words: list[str]) -> None:
+        """Contract new words and keep their tokens."""
+        raw = [w.encode() for w in words]
+        short = [i for i, r in enumerate(raw) if len(r) <= CUT]
+        if short:
+            self._keep([words[i] for i in short], *self._contracted([raw[i] for i in short]))
+        long = [i for i, r in enumerate(raw) if len(r) > CUT]
+        if not long:
+            return
+        cut = [self._stretches(raw[i]) for i in long]
+        parts = list(dict.fromkeys(p for some in cut for p in some))
+        found = {p: contracted_by_heap(p, self.ranks) for p in parts if len(p) > LONG}
+        if some := [p for p in parts if len(p) <= LONG]:
+            ids, counts = self._contracted(some)
+            found.update(zip(some, np.split(ids, np.cumsum(counts)[:-1]), strict=True))
+        tokens = [found[p] for some in cut for p in some]
+        self._keep([words[i] for i in long], np.concatenate(tokens), np.array([sum(len(found[p]) for p in some) for some in cut]))
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words in one array, and their number for each word."""
-        if len(self.numbers) > KEPT_WORDS:
+        if len(self.numbers) - self.tokens > KEPT_WORDS:
             self._forget()
         fresh = [w for w in dict.fromkeys(words) if w not in self.numbers]
         if fresh:
             self._learn(fresh)
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self.used += np.bincount(at, minlength=len(self.used))
         counts = self.counts[at]
         ends = np.cumsum(counts)
         return self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(counts.sum()))], counts
@@ -184,11 +209,19 @@ class Coder:
             self.db.register("tokens", part)
             made = self.db.sql(EXPAND).to_arrow_table()
             self.db.unregister("tokens")
-            for d, raw in zip(made.column("doc").to_pylist(), made.column("raw").to_pylist(), strict=True):
-                out[d].append(raw)
+            for d, chunk in zip(made.column("doc").to_pylist(), _joined(made.column("raw").combine_chunks()), strict=True):
+                out[d].append(chunk)
         return [b"".join(parts) for parts in out]
 
 
+def _joined(lists: pa.Array) -> Iterator[bytes]:
+    """The parts of each list of bytes, joined: they lie one after another in one buffer."""
+    values = lists.values
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    buffer, at = memoryview(values.buffers()[2]), ends[lists.offsets.to_numpy()]
+    return (bytes(buffer[a:b]) for a, b in pairwise(at.tolist()))
+
+
 def _is_text(token: bytes) -> bool:
     try:
         token.decode()
@@ -232,6 +265,14 @@ def cut_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    return (batch.slice(at, SLICE) for at in range(0, max(len(batch), 1), SLICE))
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 def encode(text: Column | str, path: str, pattern: str | None = None) -> Column:
     """Token ids of whole texts. Null and empty texts have none; bytes that are no UTF-8 count as U+FFFD. Very long texts are taken
     in blocks of words, equal texts have equal ids."""
@@ -240,8 +281,7 @@ def encode(text: Column | str, path: str, pattern: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ids, counts = _coder(path, pattern).encode(batch.to_pylist())
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.concat_arrays([_lists(*_coder(path, pattern).encode(part.to_pylist())) for part in _slices(batch)])
 
     return ids_of(body(text))
 
@@ -253,17 +293,36 @@ def decode(ids: Column | str, path: str, pattern: str | None = None) -> Column:
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            counts = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.array(_coder(path, pattern).decode(batch.flatten().to_numpy(zero_copy_only=False), counts), pa.binary())
+            out = []
+            for part in _slices(batch):
+                counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                out += _coder(path, pattern).decode(part.flatten().to_numpy(zero_copy_only=False), counts)
+            yield pa.array(out, pa.binary())
 
     return bytes_of(ids)
 
 
+def round_trip(text: Column | str, path: str, pattern: str | None = None) -> Column:
+    """``ids`` as ``encode`` gives them and ``raw`` as ``decode`` makes of these, by one worker process instead of two in a row."""
+    pattern = pattern or cut_pattern()
+
+    @F.arrow_udf("ids array<int>, raw binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            lists, out = [], []
+            for part in _slices(batch):
+                ids, counts = _coder(path, pattern).encode(part.to_pylist())
+                lists.append(_lists(ids, counts))
+                out += _coder(path, pattern).decode(ids, counts)
+            yield pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.array(out, pa.binary())], ["ids", "raw"])
+
+    return both(body(text))
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """A row for each document; repeated rows keep one each, extra columns take no part."""
-    ids = docs.select("doc_id", encode("text", path).alias("ids"))
-    back = ids.select("doc_id", "ids", decode("ids", path).alias("raw"))
-    return back.select(
+    both = docs.select("doc_id", round_trip("text", path).alias("_both")).select("doc_id", "_both.ids", "_both.raw")
+    return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )
