@@ -77,7 +77,7 @@ def carry(old: np.ndarray, new: np.ndarray, low: float, high: float, bins: int)
         if b <= a:
             out[i, np.searchsorted(new, b, side="left")] = 1.0
             continue
-        for j in range(max(0, np.searchsorted(new, a, side="left")), len(new) + 1):
+        for j in range(np.searchsorted(new, a, side="right"), len(new) + 1):
             part = min(b, cuts[j + 1]) - max(a, cuts[j])
             if part <= 0:
                 break

@@ -552,41 +552,41 @@ class Forest:
     # ------------------------------------------------------------ drift below a node
 
     def _suspect(self, tree: Tree, errors: dict[int, np.ndarray]) -> None:
-        """Watch the errors of every subtree; where they rise, grow an alternate and keep the better one, or cut off."""
-        todo = [tree.root]
-        while todo:
-            node = todo.pop()
-            if node.feature == LEAF:
-                continue
-            todo += node.children
-            own = self._sum(node, errors)
-            if own[0] <= 0:
-                continue
-            if node.drift is None:
-                node.drift = BlockAdwin(self.spec.drift)
-            rose = node.drift.add(*own)
-            if self.spec.on_drift == "cut":
-                if rose:
+        """Watch the errors of every subtree. Where they rise, cut it off, or grow an alternate beside the lowest node that shows it and keep the better one."""
+        inner = [n for n in tree.root.below() if n.feature != LEAF]  # parents first
+        if self.spec.on_drift == "cut":
+            gone: set[int] = set()
+            for node in inner:
+                own = self._sum(node, errors)
+                if id(node) not in gone and own[0] > 0 and self._watched(node, own):
+                    gone |= {id(n) for n in node.below()}
                     self._collapse(node)
-                    todo = [n for n in todo if n not in node.children]
-                    node.children = []
-                continue
+            return
+        busy: set[int] = set()
+        for node in reversed(inner):
+            own = self._sum(node, errors)
+            rose = own[0] > 0 and self._watched(node, own)
+            explained = any(id(c) in busy for c in node.children)
+            if rose or explained or node.alt:
+                busy.add(id(node))
             if node.alt is None:
-                if rose:
-                    node.alt, node.race = tree.leaf(node.depth), np.zeros((2, 3))
-                    node.alt.centre = node.centre
-                continue
-            other = self._sum(node.alt, errors)
-            if node.race is not None and other[0] > 0:
-                if node.race[1, 0] < 0 or node.alt.stats.sum() - other[0] > 0 or node.alt.feature != LEAF:
-                    node.race = np.maximum(node.race, 0) + np.stack([own[:3], other[:3]])
+                if rose and not explained:
+                    node.alt, node.race = tree.leaf(node.depth, centre=node.centre), None
+            elif node.race is None:
+                node.race = np.zeros((2, 3))  # the alternate has just learned its first block, so it starts from here
+            else:
+                node.race += np.stack([own[:3], self._sum(node.alt, errors)[:3]])
                 verdict = self._race(node.race)
                 if verdict > 0:
                     node.become(node.alt)
-                    todo = [n for n in todo if n not in node.below()]
                 elif verdict < 0:
                     node.alt = node.race = None
 
+    def _watched(self, node: Node, own: np.ndarray) -> bool:
+        if node.drift is None:
+            node.drift = BlockAdwin(self.spec.drift)
+        return node.drift.add(*own)
+
     @staticmethod
     def _race(race: np.ndarray, least: float = 300.0, risk: float = 0.05) -> int:
         """1 if the alternate's mean error is surely smaller, -1 if surely larger, 0 while that is open."""
