@@ -30,17 +30,19 @@ SLICE = 2500
 #: the recursion takes a step for each contraction.
 CUT, LONG = 48, 256  # LONG is below 1024, the places that CONTRACT has room for
 
+#: A row's place is its word times 1024 plus its position, so one order serves all words.
 CONTRACT = """
-WITH RECURSIVE t(w, pos, id, done) AS (
-  SELECT w, pos, id, false FROM fresh
+WITH RECURSIVE t(place, id, done) AS (
+  SELECT w::BIGINT * 1024 + pos, id, false FROM fresh
   UNION ALL
-  (WITH p AS MATERIALIZED (SELECT w, pos, id, lead(id) OVER win AS next, lag(pos) OVER win AS before FROM t WHERE NOT done
-                           WINDOW win AS (PARTITION BY w ORDER BY pos)),
-   best AS (SELECT w, min(r::BIGINT * 1024 + pos) AS least FROM p JOIN merges m ON p.id = m.a AND p.next = m.b GROUP BY w)
-   SELECT p.w, p.pos, CASE WHEN p.pos = best.least & 1023 THEN best.least >> 10 ELSE p.id END, best.least IS NULL
-   FROM p LEFT JOIN best ON p.w = best.w
-   WHERE best.least IS NULL OR p.before IS DISTINCT FROM best.least & 1023))
-SELECT w, id FROM t WHERE done ORDER BY w, pos
+  (WITH p AS MATERIALIZED (SELECT place, id, lead(id) OVER win AS next, lead(place) OVER win AS after, lag(place) OVER win AS before
+                           FROM t WHERE NOT done WINDOW win AS (ORDER BY place)),
+   best AS (SELECT place >> 10 AS w, min(r::BIGINT * 1024 + (place & 1023)) AS least FROM p JOIN merges m ON p.id = m.a AND p.next = m.b
+            WHERE after >> 10 = place >> 10 GROUP BY 1)
+   SELECT p.place, CASE WHEN p.place & 1023 = least & 1023 THEN least >> 10 ELSE p.id END, least IS NULL
+   FROM p LEFT JOIN best ON p.place >> 10 = best.w
+   WHERE least IS NULL OR p.before IS DISTINCT FROM (best.w << 10) + (least & 1023)))
+SELECT (place >> 10)::INTEGER AS w, id FROM t WHERE done ORDER BY place
 """
 EXPAND = "SELECT doc, list(raw ORDER BY pos) AS raw FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
