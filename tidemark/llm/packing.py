@@ -12,17 +12,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import body
+from tidemark.llm.common import body, worker_state
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 LENGTH = 4096
-#: Words whose ids a worker process keeps (some 60 MB).
-CACHE_WORDS = 400_000
+#: Parts of words whose ids a worker process keeps (some 100 MB); when there are more it begins anew.
+CACHE_PARTS = 600_000
+#: Bytes of text whose words are numbered together: the more, the fewer different words there are for each byte.
+SLICE_BYTES = 8 << 20
 #: Pieces that wait for a sequence in one task: as many as give the heuristic a choice, and few enough for memory.
 POOL = 512
 
@@ -39,12 +43,18 @@ class Limits:
         return np.array([self.tokens, self.segments, self.loss], np.int64)
 
 
+def spaced(words: pa.Array) -> bytes:
+    """The words with a space between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", words.type))[0].as_py()
+
+
 class WordTokenizer:
-    """Ids of whole texts, word by word: no token of this vocabulary spans white space, so a word's ids are kept.
+    """Ids of whole texts, word by word: no token of this vocabulary spans white space.
 
-    Kept are the first CACHE_WORDS words, among which frequent ones soon are; others are encoded for each batch. New
-    words are cut as the tokenizer cuts them, and each different part is encoded once. Parts end with an id that the
-    vocabulary marks as a word's end, which is checked; words for which this might not hold are encoded one by one.
+    A slice of texts is cut into words and these are numbered by Arrow, so only different words are looked at. They
+    are cut into parts as the tokenizer cuts them; the ids of parts, of which there are far fewer than words, are kept
+    for later slices. Ids of texts are then gathered by word number. Words in which white space or special
+    tokens might hide go through the whole tokenizer one by one.
     """
 
     #: The tokenizer's own cut of a text.
@@ -55,66 +65,108 @@ class WordTokenizer:
         import tokenizers
 
         self.encoder = tokenizers.Tokenizer.from_file(path)
-        vocabulary = self.encoder.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.merge = self.encoder.model.tokenize
+        self.bytes_as_letters = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.cut = regex.compile(self.PARTS + "| ").findall
         spaces = b"|".join(chr(i).encode() for i in range(0x80, 0x3001) if chr(i).isspace() or i == 0x180E)
         self.odd = regex.compile(rb"[\x00-\x1F\x7F]|<\||" + spaces).search
         # a worker process runs one task after another, and what it has learned holds for all of them
-        self.kept: dict[bytes, bytes] = tokenizers.__dict__.setdefault("_kept_words", {}).setdefault(path, {})
+        self.kept: dict[str, bytes] = worker_state().setdefault("packing", {}).setdefault(path, {})
 
-    def _one_by_one(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        out = []
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
             codes = self.encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            out.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, codes, strict=True))
+            out += [np.array(c.ids, "<u4").tobytes() for c in codes]
         return out
 
-    def _together(self, words: list[bytes]) -> dict[bytes, bytes] | None:
-        """Ids of different words, or None if their parts can't be told apart."""
-        text = self.encoder.normalizer.normalize_str(b" ".join(words).decode("utf-8", "replace"))
-        if text.count(" ") != len(words) - 1:
-            return None
+    def _learn(self, parts: set[str]) -> None:
+        """Keeps the ids of parts, each with one call of the merges."""
+        plain = [p for p in parts if p.isascii()]
+        other = [p for p in parts if not p.isascii()]
+        letters = self.bytes_as_letters(" ".join(other))[0][0].split("\u0120") if other else []  # a space as a letter
+        ids, stops = [], []
+        for p in plain + letters:
+            ids += [t.id for t in self.merge(p)]
+            stops.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        self.kept.update((p, raw[s:e]) for p, s, e in zip(plain + other, [0, *stops], stops, strict=False))
+
+    def _together(self, text: str, words: int) -> tuple[bytes, np.ndarray] | None:
+        """Ids of normalised words with a space between, and the number of each word's ids; None if the words can't be told apart."""
         found = self.cut(text)
-        parts = list(dict.fromkeys(found))
-        if " " in parts:
-            parts.remove(" ")
-        ids_of = {}
-        for at in range(0, len(parts), 5000):
-            some = parts[at : at + 5000]
-            ids = np.array(self.encoder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                return None
-            raw, stops = ids.tobytes(), (4 * ends).tolist()
-            ids_of.update((p, raw[s:e]) for p, s, e in zip(some, [0, *stops], stops, strict=False))
-        out, bits, n = {}, [], 0
-        for p in found:
-            if p == " ":
-                out[words[n]] = b"".join(bits)
-                bits, n = [], n + 1
-            else:
-                bits.append(ids_of[p])
-        out[words[n]] = b"".join(bits)
-        return out
+        parts = set(found) - {" "}
+        if len(self.kept) + len(parts) > CACHE_PARTS:
+            self.kept.clear()
+        self._learn(parts - self.kept.keys())
+        self.kept[" "] = b""
+        data = [self.kept[p] for p in found]
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        gaps = np.flatnonzero(sizes == 0)
+        if len(gaps) != words - 1:
+            return None
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        return b"".join(data), np.diff(before[np.concatenate([[0], gaps, [len(data)]])])
+
+    def _words(self, words: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Ids of different words in one string, and where each word's begin and how many they are."""
+        n = len(words)
+        joined = spaced(words)
+        letters = np.frombuffer(joined, np.uint8)
+        lengths = np.diff(np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1])
+        special = np.flatnonzero((letters >= 0x7F) | (letters < 0x20) | (letters == ord("<")))
+        other = np.zeros(n, bool)
+        other[np.searchsorted(np.cumsum(lengths + 1), special, "right")] = True
+        order, rest = np.flatnonzero(~other), words.filter(pa.array(other)).to_pylist()
+        odd = np.array([self.odd(w) is not None for w in rest], bool)
+        wide = [w for w, o in zip(rest, odd, strict=True) if not o]
+        raw, sizes, places = [], [], []
+        # letters of ASCII have one normal form; others are normalised together
+        simple = words.filter(pa.array(~other))
+        groups = [(spaced(simple).lower().decode(), order, simple.to_pylist)]
+        groups.append((self.encoder.normalizer.normalize_str(b" ".join(wide).decode("utf-8", "replace")) if wide else "", np.flatnonzero(other)[~odd], lambda: wide))
+        groups.append((None, np.flatnonzero(other)[odd], lambda: [w for w, o in zip(rest, odd, strict=True) if o]))
+        for text, at, plain in groups:
+            if not len(at):
+                continue
+            made = self._together(text, len(at)) if text is not None else None
+            if made is None:
+                codes = self._one_by_one(plain())
+                made = b"".join(codes), np.array([len(c) // 4 for c in codes], np.int64)
+            raw.append(made[0])
+            sizes.append(made[1])
+            places.append(at)
+        size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if places:
+            at, all_sizes = np.concatenate(places), np.concatenate(sizes)
+            size[at], start[at] = all_sizes, np.cumsum(all_sizes) - all_sizes
+        return b"".join(raw), start, size
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = lists.flatten().view(pa.large_binary()).dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        raw, start, size = self._words(coded.dictionary)
+        number = coded.indices.to_numpy()
+        many = size[number]
+        stops = np.cumsum(many)
+        places = np.repeat(start[number] - stops + many, many) + np.arange(stops[-1])
+        ids = np.frombuffer(raw, "<u4")[places].tobytes()
+        ends = np.concatenate([[0], stops])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        return [ids[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; none for null."""
-        kept = self.kept
-        split = [t.split() if t else [] for t in texts]  # on bytes: ASCII white space
-        fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in kept]
-        new: dict[bytes, bytes] = {}
-        odd = [w for w in fresh if self.odd(w)]
-        if odd:
-            new.update(self._one_by_one(odd))
-            fresh = [w for w in fresh if w not in new]
-        if fresh:
-            new.update(self._together(fresh) or self._one_by_one(fresh))
-        for w in list(new)[: max(0, CACHE_WORDS - len(kept))]:
-            kept[w] = new.pop(w)
-        return [b"".join([kept[w] if w in kept else new[w] for w in words]) for words in split]
+        out, some, size = [], [], 0
+        for t in texts:
+            if some and size + len(t or b"") > SLICE_BYTES:
+                out += self._slice(some)
+                some, size = [], 0
+            some.append(t or b"")
+            size += len(t or b"")
+        return out + self._slice(some) if some else out
 
 
 def choose(needs: np.ndarray, waits: np.ndarray, room: np.ndarray, scale: np.ndarray) -> int:
@@ -209,10 +261,9 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 at += n
 
         for part in parts:
-            for some in (part[i : i + 2000] for i in range(0, len(part), 2000)):
-                free = encoder.encode(list(some["prompt"])) if prompt else [b""] * len(some)
-                for d, before, after in zip(some["doc_id"].array, free, encoder.encode(list(some["body"])), strict=True):
-                    place(None if pd.isna(d) else d, before, after)
+            free = encoder.encode(list(part["prompt"])) if prompt else [b""] * len(part)
+            for d, before, after in zip(part["doc_id"].array, free, encoder.encode(list(part["body"])), strict=True):
+                place(None if pd.isna(d) else d, before, after)
             yield frame()
         out(packer.close())
         yield frame()
