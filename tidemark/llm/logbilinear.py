@@ -1,7 +1,9 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, beside add-one word frequencies.
 
-The corpus is counted by Spark: all tokens, and all pairs of neighbouring frequent words. The pair table, whose size is
-fixed by the vocabulary, is a sufficient statistic of the model, so training covers every training document.
+A word's probability is that of its class after the word before, times its share of the class. Each of the most frequent words is
+a class; the others are in classes by frequency, and have context vectors of their own, so the vocabulary grows with the
+corpus. Spark counts all tokens and all pairs (context, class) as a sparse table. Class vectors are trained on the pairs
+summed by the contexts' classes; then each word's context vector is trained on its own pairs, by partitions of the table.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import body, crc_mod
 from tidemark.session import written
 
-#: Words with an output and a context vector of their own; all others share one class, in which add-one frequencies decide.
+#: Words that are classes of their own; others share a class with those of like frequency, in which frequencies decide.
 VOCABULARY = 1024
+#: Words met at least so often have a context vector of their own; rarer ones, and unknown ones, share a class and its vector.
+LEAST = 5
+#: Steps for a word's context vector, and the weight of its class's vector in observations: one for each unknown.
+OWN_STEPS, PRIOR = 40, 24
 DIMENSIONS = 24
 STEPS = 150
 #: Noise words for each word of the corpus. Their expectation is taken exactly, not sampled.
@@ -29,6 +35,8 @@ HEAD = 200_000
 HEAD_BYTES = 64
 #: Different tokens, or pairs, that one task gathers before it sends them on.
 GATHER = 1 << 20
+#: Tokens of a text whose vectors are multiplied at once.
+PIECE = 1 << 16
 OTHER, EDGE = 0, 1  # the class of all other words; the start of a text as context, its end as a word
 
 
@@ -63,19 +71,27 @@ class Vocabulary:
 
     place: dict[bytes, int]
     count: np.ndarray
-    words: int  # of ``place``, the first so many have vectors
+    words: int  # of ``place``, the first so many are classes of their own
     ends: int
     tokens: int
     distinct: int
 
-    @property
-    def size(self) -> int:
-        return self.words + 2
-
-    def classes(self) -> np.ndarray:
-        """Model class of each place, and of a token that has none (the last entry)."""
-        at = np.arange(len(self.count) + 1)
-        return np.where(at < self.words, at + 2, OTHER)
+    def __post_init__(self) -> None:
+        named = max(self.words, int((self.count >= LEAST).sum()))
+        shared = self.count[self.words : named]
+        bands, band = np.unique(np.floor(np.log2(shared)).astype(np.int64), return_inverse=True)
+        #: classes: OTHER, EDGE, one for each of the first words, one for each doubling of the counts from LEAST on
+        self.size = 2 + self.words + len(bands)
+        #: class of each place, and of a token that has none (the last entry)
+        unnamed = len(self.count) - named
+        self.classes = np.concatenate([np.arange(self.words) + 2, band + 2 + self.words, np.full(unnamed + 1, OTHER)]).astype(np.int64)
+        #: words that have a context vector of their own, beside the classes
+        self.own = named - self.words
+        self.contexts = np.concatenate([np.arange(self.words) + 2, np.arange(self.own) + self.size, np.full(unnamed + 1, OTHER)]).astype(np.int64)
+        #: log10 of a word's share of its class; of a token without place only the sum below the line
+        sums = np.bincount(band, weights=shared + 1.0, minlength=len(bands))
+        rest = np.log10(self.tokens - self.ends - self.count[:named].sum() + self.distinct - min(self.ends, 1) - named + 1)
+        self.share = np.concatenate([np.zeros(self.words), np.log10(shared + 1.0) - np.log10(sums)[band], np.log10(self.count[named:] + 1.0) - rest, [-rest]])
 
     def places(self, tokens: list[bytes]) -> np.ndarray:
         get, none = self.place.get, len(self.count)
@@ -100,29 +116,40 @@ def vocabulary(counts: DataFrame, documents: int, words: int = VOCABULARY, head:
     return Vocabulary({bytes(t): i for i, (_, t) in enumerate(order)}, np.array([c for c, _ in order], np.int64), min(words, len(order)), documents, total + documents, distinct + known)
 
 
-def pair_counts(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """How often each class follows each class, over all of ``texts``; a square of the vocabulary's size."""
-    size, classes = v.size, v.classes()
+def pair_counts(texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """How often each class (``word``) follows each context, over all of ``texts``: ``context``, its class ``parent``, ``word``, ``n``."""
+    size = v.size
+    parent = np.concatenate([np.arange(size), v.classes[v.words : v.words + v.own]])
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, waiting, n = np.zeros(size * size, np.int64), [], 0
+        waiting, n = [], 0
+
+        def frame():
+            pairs, times = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pd.DataFrame({"context": pairs // size, "parent": parent[pairs // size], "word": pairs % size, "n": times})
+
         for part in parts:
             for t in part["body"]:
-                ids = np.concatenate([[EDGE], classes[v.places(tokens_of(t))], [EDGE]])
-                waiting.append(ids[:-1] * size + ids[1:])
-                n += len(ids)
+                at = v.places(tokens_of(t))
+                waiting.append(np.concatenate([[EDGE], v.contexts[at]]) * size + np.concatenate([v.classes[at], [EDGE]]))
+                n += len(at) + 1
                 if n > GATHER:
-                    total += np.bincount(np.concatenate(waiting), minlength=size * size)
-                    waiting, n = [], 0
+                    yield frame()
+                    n = 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size * size)
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": some, "n": total[some]})
+            yield frame()
 
-    rows = texts.select("body").mapInPandas(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size)
-    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(size, size)
+    rows = texts.select("body").mapInPandas(count, "context bigint, parent bigint, word bigint, n bigint")
+    return rows.groupBy("context", "parent", "word").agg(F.sum("n").alias("n"))
+
+
+def class_pairs(pairs: DataFrame, size: int) -> np.ndarray:
+    """The pairs summed by the contexts' classes: a square whose size the classes bound."""
+    rows = pairs.groupBy("parent", "word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((size, size))
+    out[rows["parent"].to_numpy(), rows["word"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
 @dataclass
@@ -134,6 +161,11 @@ class LogBilinear:
     targets: np.ndarray
     bias: np.ndarray
 
+    def predictions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The vector that each context predicts, and the natural log of the sum by which its scores are normalised."""
+        predicted = self.contexts @ self.mix
+        return predicted, log_sums(predicted, self.targets, self.bias)
+
     def log10(self, block: int = 256) -> np.ndarray:
         """Normalised log10 probabilities of all words after all contexts, by batches of matrix products."""
         out = np.empty((len(self.contexts), len(self.bias)), np.float32)
@@ -144,6 +176,58 @@ class LogBilinear:
         return out
 
 
+def log_sums(predicted: np.ndarray, targets: np.ndarray, bias: np.ndarray, block: int = 256) -> np.ndarray:
+    out = np.empty(len(predicted))
+    for at in range(0, len(out), block):
+        s = predicted[at : at + block] @ targets.T + bias
+        top = s.max(1)
+        out[at : at + block] = top + np.log(np.exp(s - top[:, None]).sum(1, dtype=np.float64))
+    return out
+
+
+def train_contexts(pairs: np.ndarray, start: np.ndarray, model: LogBilinear, freq: np.ndarray, steps: int = OWN_STEPS, noise: int = NOISE, rate: float = 0.1) -> np.ndarray:
+    """Predicted vectors of contexts (rows of ``pairs``), by the same objective with the classes' vectors held, drawn to ``start``."""
+    p = (freq / freq.sum()).astype(np.float32)
+    shift = np.log(noise * p) - model.bias
+    total = pairs.sum(1, keepdims=True) + PRIOR
+    data = (pairs / total).astype(np.float32)
+    both = data + noise * data.sum(1, keepdims=True) * p
+    pull = (PRIOR / total).astype(np.float32)
+    h, a, b = start.astype(np.float32), np.zeros_like(start, np.float32), np.zeros_like(start, np.float32)
+    for t in range(1, steps + 1):
+        d = (data - both / (1 + np.exp(shift - h @ model.targets.T))) @ model.targets - pull * (h - start)
+        a += 0.1 * (d - a)
+        b += 0.01 * (d * d - b)
+        h += rate * (1 - t / (steps + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+    return h
+
+
+def own_contexts(pairs: DataFrame, v: Vocabulary, model: LogBilinear, freq: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Predicted vectors and log sums of all contexts: classes first, then the words with vectors of their own, trained in Spark."""
+    predicted, sums = model.predictions()
+    size, wide = v.size, predicted.shape[1]
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for some in (part[i : i + block] for i in range(0, len(part), block)):
+                table = np.zeros((len(some), size), np.float32)
+                for i, (words, n) in enumerate(zip(some["words"], some["ns"], strict=True)):
+                    table[i, words] = n
+                h = train_contexts(table, predicted[some["parent"].to_numpy()], model, freq)
+                yield pd.DataFrame({"context": some["context"].to_numpy(), "vector": list(h), "log_sum": log_sums(h, model.targets, model.bias)})
+
+    # a context has at most a row for each class
+    lists = pairs.where(F.col("context") >= size).groupBy("context", "parent").agg(F.collect_list(F.struct("word", "n")).alias("l"))
+    lists = lists.select("context", "parent", F.col("l.word").alias("words"), F.col("l.n").alias("ns"))
+    rows = written(lists.mapInPandas(fit, "context bigint, vector array<float>, log_sum double"), "contexts").toArrow()  # at most HEAD rows
+    out, out_sums = np.zeros((size + v.own, wide), np.float32), np.zeros(size + v.own)
+    out[:size], out_sums[:size] = predicted, sums
+    if rows.num_rows:
+        at = rows["context"].to_numpy()
+        out[at], out_sums[at] = rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, wide), rows["log_sum"].to_numpy()
+    return out, out_sums
+
+
 def train(pairs: np.ndarray, dimensions: int = DIMENSIONS, steps: int = STEPS, noise: int = NOISE, rate: float = 0.03, seed: int = 0) -> LogBilinear:
     """Maximises the noise-contrastive objective over the pair table, with unigram noise, by Adam."""
     size, rng = len(pairs), np.random.default_rng(seed)
@@ -181,27 +265,30 @@ def scores(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
     learn = training.select(body(F.col(f"`{text}`")).alias("body"))
     counts = written(token_counts(learn), "tokens")
     v = vocabulary(counts, learn.count(), vocabulary_words, head)
-    model = train(pair_counts(learn, v))
+    pairs = written(pair_counts(learn, v), "pairs")
+    by_class = class_pairs(pairs, v.size)
+    model = train(by_class)
+    predicted, sums = own_contexts(pairs, v, model, by_class.sum(0) + 0.5)
     base_log = np.log10(v.tokens + v.distinct + 1)
-    # within the class of other words: add-one frequencies again, with the same place for unknown ones
-    in_model = v.count[: v.words]
-    other_log = np.log10(v.tokens - v.ends - in_model.sum() + v.distinct - min(v.ends, 1) - v.words + 1)
     end_log = np.log10(v.ends + 1)
     id_kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, classes, none = model.log10(), v.classes(), len(v.count)
+        none = len(v.count)
         log_count = np.append(np.log10(v.count + 1), 0.0)
         for part in parts:
             rows = []
             for t in part["body"]:
                 tokens = tokens_of(t)
                 at = v.places(tokens)
-                ids = np.concatenate([[EDGE], classes[at], [EDGE]])
                 logs, rare = log_count[at], at == none
-                others = ids[1:-1] == OTHER
                 base = float(logs.sum() + end_log - (len(tokens) + 1) * base_log)
-                score = float(table[ids[:-1], ids[1:]].sum(dtype=np.float64) + logs[others].sum() - others.sum() * other_log)
+                score = float(v.share[at].sum())
+                before, words = np.concatenate([[EDGE], v.contexts[at]]), np.concatenate([v.classes[at], [EDGE]])
+                for i in range(0, len(words), PIECE):
+                    c, w = before[i : i + PIECE], words[i : i + PIECE]
+                    natural = np.einsum("ij,ij->i", predicted[c], model.targets[w]).astype(np.float64) + model.bias[w] - sums[c]
+                    score += float(natural.sum() / np.log(10))
                 few = Counter(tokens[i] for i in np.flatnonzero(rare).tolist())
                 rows.append((len(tokens) + 1, len(tokens) - int(rare.sum()) + int(v.ends > 0), base, score, [{"token": k, "n": n} for k, n in few.items()]))
             yield pd.concat([part[["row", "doc_id"]], pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "rare"], index=part.index)], axis=1)
