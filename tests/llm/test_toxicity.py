@@ -65,3 +65,24 @@ def test_rare_insults_and_copies(spark):
     got = [r.found for r in docs.select("doc_id", toxicity.scores(docs["text"], index).alias("found")).orderBy("doc_id").collect()]
     assert got[0].labels[0] == 1 and abs(got[0].cosines[0] - 1) < 1e-9
     assert got[0].score >= 0.5 and got[1].score >= 0.5 and got[2].score < 0.5
+
+
+def test_settings_are_compared_by_folds_of_the_examples(spark):
+    """A fold is scored by an index of the others, as a plain loop over the folds says; rows without a label take no part."""
+    rnd = random.Random(2)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 400)}" for _ in range(n))
+    rows = [(i, text(12) + (" you snollygoster" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)] + [(100, text(9), None)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    found = toxicity.sample(train.select("doc_id", "text"), train.select("doc_id", "toxic"))
+    assert len(found.texts) == 80 and found.totals.tolist() == [60, 20]
+    got = toxicity.fold_losses(found, [(0.0, 0.1), (10.0, 0.2)])
+    assert got["found"][1] >= got["found"][0] and got["log_loss"][1] < got["log_loss"][0]
+    loss = []
+    for f in range(5):
+        others = [r for i, r in enumerate(found.texts) if i % 5 != f]
+        part = toxicity.Examples(others, found.totals, found.place, found.idf)
+        index = part.index(np.arange(len(others)), 10.0, 0.2)
+        for t, y in found.texts[f::5]:
+            s = index.scores([index.row(t)])[0][0]
+            loss.append(-np.log(max(s if y else 1 - s, 1e-6)))
+    assert abs(np.mean(loss) - got["log_loss"][1]) < 1e-9
