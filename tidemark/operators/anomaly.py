@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import two_sided
 from tidemark.operators.metrics import classification_checkpoints
-from tidemark.plans.prefix import moments, scan
+from tidemark.operators.linear import normal_equations
+from tidemark.plans.blocks import Blocks
+from tidemark.plans.prefix import lagged, moments, scan
 from tidemark.plans.spans import apply_spans
 from tidemark.plans.stream import Stream
 
@@ -43,18 +46,42 @@ def absolute_deviation(stream: Stream, value: str, name: str = "deviation", rows
 
 
 def predictive_scorer(stream: Stream, rows: DataFrame, pred: str, n_std: float = 3.0, name: str = "predictive") -> DataFrame:
-    """Prediction error against ``mean + n_std * deviation`` of the earlier errors, at most 1.0."""
+    """Prediction error against ``mean + n_std * deviation`` of the earlier errors, at most 1.0.
+
+    A row without a prediction or without a target scores 0.0 and its error does not count.
+    """
     rows = rows.withColumn("_err", F.abs(F.col(stream.target) - F.col(pred)))
-    sums = {"_en": F.lit(1.0), "_e1": F.col("_err"), "_e2": F.col("_err") * F.col("_err")}
+    sums = {"_en": F.col("_err").isNotNull().cast("double"), "_e1": F.col("_err"), "_e2": F.col("_err") * F.col("_err")}
     out = scan(stream, sums, rows=rows)
     seen = F.nullif(F.col("_en"), F.lit(0.0))
     mean = F.col("_e1") / seen
     limit = mean + n_std * F.sqrt(F.greatest(F.lit(0.0), F.col("_e2") / seen - mean * mean))
     score = F.coalesce(F.least(F.lit(1.0), F.col("_err") / F.nullif(limit, F.lit(0.0))), F.lit(0.0))
-    score = F.when(limit.isNull(), 0.0).otherwise(score)
+    score = F.when(limit.isNull() | F.col("_err").isNull(), 0.0).otherwise(score)
     return out.withColumn(name, score).drop("_err", *sums)
 
 
+def forecasts(blocks: Blocks, value: str, order: int = 2, horizon: int = 1, name: str = "forecast") -> DataFrame:
+    """Forecast of ``value`` made ``horizon`` rows before: least squares over the ``order`` values known then, fitted on the blocks before.
+
+    NULL in the first block and where one of these values is missing.
+    """
+    lags = list(range(horizon, horizon + order))
+    known = [f"{value}_lag{h}" for h in lags]
+    rows = lagged(blocks.stream, value, lags)
+    out = normal_equations(Blocks(replace(blocks.stream, df=rows), blocks.count), known, value, name=name)
+    ready = F.col("step") > blocks.size
+    for c in known:
+        ready = ready & F.col(c).isNotNull()
+    return out.withColumn(name, F.when(ready, F.col(name))).drop(*known)
+
+
+def forecast_scorer(blocks: Blocks, value: str, order: int = 2, horizon: int = 1, n_std: float = 3.0, name: str = "predictive") -> DataFrame:
+    """``predictive_scorer`` over the errors of ``forecasts``."""
+    rows = forecasts(blocks, value, order, horizon)
+    return predictive_scorer(replace(blocks.stream, target=value), rows, "forecast", n_std, name)
+
+
 def half_space_trees(n_trees: int, height: int, n_features: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Random half-space trees over [0, 1] ranges in heap order: split feature and cut (the middle of the range)."""
     rng = random.Random(seed)
@@ -113,8 +140,8 @@ def half_space_scores(
     return apply_spans(stream.df.select("step", *scaled), stream.n, window, score, "step long, score double", size)
 
 
-def evaluate(scores: DataFrame, n: int, score: str, label: str, threshold: float = 0.5) -> DataFrame:
+def evaluate(scores: DataFrame, n: int, score: str, label: str, threshold: float = 0.5, rule: str = "floor") -> DataFrame:
     """Accuracy, precision, recall and F1 at checkpoints for ``score > threshold``; a missing score counts as 0.0."""
     pred = (F.coalesce(F.col(score), F.lit(0.0)) > threshold).cast("int")
     rows = scores.select("step", F.col(label).cast("int").alias("y"), F.lit(score).alias("model"), pred.alias("pred"))
-    return classification_checkpoints(rows, n, "floor", positive=1)
+    return classification_checkpoints(rows, n, rule, positive=1)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import LIBRARIES
+from tidemark.operators import anomaly
 from tidemark.operators.baselines import baseline_classifiers, baseline_regressors, class_list
 from tidemark.operators.metrics import classification_checkpoints, long_predictions, regression_checkpoints
 from tidemark.plans.stream import Stream
@@ -33,6 +34,12 @@ DATASETS = {
 POSITIVE = {"ord_multi": "F", "ev_multi": "error", "ev_bin": "1"}
 METRICS = ["Accuracy", "Precision", "Recall", "F1", "MicroF1", "MacroF1", "MAE", "RMSE", "R2"]
 BYTES_PER_MB = 1024.0 * 1024.0
+#: Scorers of the anomaly track: shown name, numbers kept between two rows, settings.
+SCORERS = {
+    "gaussian": ("GaussianScorer", 3, {"grace": "100", "threshold": "0.5"}),
+    "deviation": ("AbsoluteDeviation", 3, {"threshold": "0.5"}),
+    "predictive": ("PredictiveScorer", 5, {"n_std": "3.0", "threshold": "0.5", "model": "mean"}),
+}
 
 
 def state_values(model: str, n_classes: int) -> int:
@@ -108,6 +115,33 @@ def build_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table
 
 
+def anomaly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint rows of the anomaly track: every scorer over the event stream, under both checkpoint rules."""
+    st, values = stream(spark, sf_dir, "ev_anom"), stream(spark, sf_dir, "ev_reg")
+    scored = {
+        "gaussian": anomaly.gaussian_scorer(st, "value"),
+        "deviation": anomaly.absolute_deviation(st, "value"),
+        "predictive": anomaly.predictive_scorer(values, baseline_regressors(values, ("mean",)), "mean"),
+    }
+    rows = None
+    for m, df in scored.items():
+        part = df.select("step", F.lit(m).alias("model"), F.col(st.target), F.col(m).alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = written(rows, "anomaly-scores")
+    out = None
+    for library, rule in RULES.items():
+        times = clock(st, "ts", rule)
+        for m, (shown, size, _) in SCORERS.items():
+            ck = anomaly.evaluate(rows.where(F.col("model") == m), st.n, "score", st.target, rule=rule).join(times, "step", "left")
+            part = ck.select(
+                F.lit(library).alias("library"), F.lit("Anomaly detection").alias("track"), F.lit(shown).alias("model"),
+                F.lit("events").alias("dataset"), "step", "Accuracy", "Precision", "Recall", "F1", "valid_updates",
+                F.lit(size * 8 / BYTES_PER_MB).alias("memory_mb"), "time_s",
+            )
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 _runs: dict[tuple, DataFrame] = {}
 
 

@@ -141,6 +141,22 @@ def scan(
     return rows.withColumns(out).drop("_chunk", *held, *[f"_b_{c}" for c in (*sums, *lags, *decays)])
 
 
+def lagged(stream: Stream, column: str, lags: list[int], rows: DataFrame | None = None) -> DataFrame:
+    """Add ``<column>_lag<h>``, the value ``h`` rows before, for each of ``lags`` (NULL where there is none).
+
+    The last rows of a chunk are handed to the next one, only by step and value: one shuffle for all lags.
+    """
+    rows = stream.df if rows is None else rows
+    reach, names = max(lags), {f"{column}_lag{h}": h for h in lags}
+    size = max(stream.chunk_rows, reach)
+    mine, near = stream.chunk(size), F.col("step") - 1 + reach >= (stream.chunk(size) + 1) * size
+    carried = rows.where(near).select(*stream.by, "step", F.col(column), (mine + 1).alias("_chunk"), F.lit(True).alias("_carried"))
+    both = rows.withColumns({"_chunk": mine, "_carried": F.lit(False)}).unionByName(carried, allowMissingColumns=True)
+    order = Window.partitionBy(*stream.by, "_chunk").orderBy("step")
+    out = both.withColumns({name: F.lag(column, h).over(order) for name, h in names.items()})
+    return out.where(~F.col("_carried")).drop("_chunk", "_carried")
+
+
 def moments(stream: Stream, columns: list[str], rows: DataFrame | None = None, extra: dict | None = None) -> DataFrame:
     """Add ``<c>_n``, ``<c>_mean`` and ``<c>_var`` (population) over the earlier rows.
 

@@ -133,13 +133,16 @@ def perceptron(features: list[str], y: str, count: int, first: list[list[float]]
     return with_(EV, blocks(count), scaled(features, y), *ctes, states) + f"SELECT step, snap(o * {scale!r}, 6) AS pred FROM ({scored})"
 
 
-def least_squares(src_cte: str, src: str, features: list[str], y: str, count: int, ridge: float = 1e-6) -> str:
-    """Least squares on the blocks before, solved by elimination without pivots (the matrix is positive definite)."""
+def least_squares(src_cte: str, src: str, features: list[str], y: str, count: int, ridge: float = 1e-6, where: str = "true", tail: str | None = None) -> str:
+    """Least squares on the blocks before (rows with ``where``), solved by elimination without pivots (the matrix is positive definite).
+
+    ``tail`` goes on from a CTE ``ls`` (step, block, y, pred).
+    """
     cols = ["1.0", *features]
     k = len(cols)
     cell = lambda i, j: f"sum(({cols[i]}) * ({cols[j] if j < k else y}))"
     sums = ", ".join(f"{cell(i, j)} AS r{i}_{j}" for i in range(k) for j in range(k + 1))
-    totals = f"t AS (SELECT g.block, {sums} FROM (SELECT DISTINCT block FROM b) g JOIN b ON b.block < g.block GROUP BY g.block)"
+    totals = f"t AS (SELECT g.block, {sums} FROM (SELECT DISTINCT block FROM b) g JOIN b ON b.block < g.block AND {where} GROUP BY g.block)"
     unit = ", ".join(
         (f"r{i}_{j} / sqrt(r{i}_{i} * r{j}_{j})" if j < k else f"r{i}_{k} / sqrt(r{i}_{i})") + (f" + {ridge}" if i == j else "") + f" AS e0_{i}_{j}" for i in range(k) for j in range(k + 1)
     )
@@ -150,6 +153,9 @@ def least_squares(src_cte: str, src: str, features: list[str], y: str, count: in
         )
         ctes.append(f"e{p + 1} AS (SELECT block, {', '.join(f'z{i}' for i in range(k))}, {new} FROM e{p})")
     pred = " + ".join(f"({cols[i]}) * coalesce(e{k}_{i}_{k} / z{i}, 0.0)" for i in range(k))
+    if tail:
+        ctes.append(f"ls AS (SELECT step, block, {y} AS y, {pred} AS pred FROM b LEFT JOIN e{k} USING (block))")
+        return with_(src_cte, blocks(count, src), *ctes) + tail
     return with_(src_cte, blocks(count, src), *ctes) + f"SELECT step, snap({pred}, 4) AS pred FROM b LEFT JOIN e{k} USING (block)"
 
 

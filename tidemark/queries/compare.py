@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import LIBRARIES, METRIC_ALIASES, MODEL_NAMES, MULTICLASS_MODELS
 from tidemark.operators import compare as cmp
 from tidemark.operators.prepare import ensure_columns, first_alias, looked_up, normal_name
-from tidemark.operators.runs import DATASETS, POSITIVE, RULES, SHOWN_AS, runs
+from tidemark.operators.runs import DATASETS, POSITIVE, RULES, SCORERS, SHOWN_AS, anomaly_runs, runs
 from tidemark.queries import sql
+from tidemark.queries.models import GAUSS, MOMENTS, PREDICTIVE
 from tidemark.queries.registry import query, snap
 from tidemark.queries.sql import EV, ORD
 from tidemark.session import scratch_path
@@ -627,3 +628,47 @@ def c11_best_binary(spark, d):
     out = cmp.best_for_all(rows, ["Accuracy", "F1", "Recall", "time_s", "memory_mb"])
     return out.select("metric", "dataset", "library", "model", snap("value", 6).alias("value"))
 
+
+
+# ---------------------------------------------------------------- anomaly track
+
+
+def _anomaly_sql(library):
+    rule = RULES[library]
+    scores = "anp AS (" + " UNION ALL ".join(
+        f"SELECT {c}.step, is_high AS y, '{m}' AS model, CAST({score} > 0.5 AS INTEGER) AS pred FROM {src}"
+        for m, c, score, src in (
+            ("gaussian", "ga", "score", "ga"), ("deviation", "mo", "coalesce(abs(value - m) / (sd + 1e-10), 0.0)", "mo"),
+            ("predictive", "pr", "score", "pr JOIN ev USING (step)"),
+        )
+    ).replace("pr.step", "step") + ")"
+    body = sql.with_(EV, sql.sized("ev", rule), MOMENTS, GAUSS, sql.regressors("ev", "value"), PREDICTIVE, scores, sql.classification_checkpoints("anp", rule))
+    shown = " ".join(f"WHEN '{m}' THEN '{name}'" for m, (name, _, _) in SCORERS.items())
+    size = " ".join(f"WHEN '{m}' THEN {n}" for m, (_, n, _) in SCORERS.items())
+    return f"""SELECT * FROM ({body}
+SELECT '{library}' AS library, 'Anomaly detection' AS track, CASE model {shown} END AS model, 'events' AS dataset, ck.step,
+  accuracy AS Accuracy, prec AS Precision_, recall AS Recall, f1 AS F1, (CASE model {size} END) * 8 / 1048576.0::DOUBLE AS memory_mb,
+  abs(floor(epoch(s.ts)) - (SELECT floor(epoch(ts)) FROM ev WHERE step = 1)) AS time_s
+FROM ck JOIN ev s ON s.step = ck.step)"""
+
+
+ANOMALY_RUNS = "runs AS (\n" + "\nUNION ALL\n".join(_anomaly_sql(lib) for lib in RULES) + ")"
+ANOMALY_METRICS = ["Accuracy", "Precision", "Recall", "F1"]
+
+
+@query(
+    "c9_long_anomaly",
+    sql.with_(ANOMALY_RUNS)
+    + "SELECT library, track, model, dataset, step, " + ", ".join(f"snap({QUALITY_SQL[m]}, 4) AS {m.lower()}_" for m in ANOMALY_METRICS)
+    + ", snap(memory_mb, 9) AS memory_mb, time_s FROM runs",
+)
+def c9_long_anomaly(spark, d):
+    rows = anomaly_runs(spark, d)
+    out = cmp.long_frame({lib: rows.filter(F.col("library") == lib).drop("library") for lib in LIBRARIES}, ANOMALY_METRICS)
+    return out.select(*cmp.RUN, "step", *[snap(m, 4).alias(f"{m.lower()}_") for m in ANOMALY_METRICS], snap("memory_mb", 9).alias("memory_mb"), "time_s")
+
+
+@query("c11_best_anomaly", sql.with_(ANOMALY_RUNS) + best_all_sql(["Accuracy", "F1", "Recall", "time_s", "memory_mb"], "true"))
+def c11_best_anomaly(spark, d):
+    out = cmp.best_for_all(anomaly_runs(spark, d), ["Accuracy", "F1", "Recall", "time_s", "memory_mb"])
+    return out.select("metric", "dataset", "library", "model", snap("value", 6).alias("value"))

@@ -242,6 +242,27 @@ def n3_predictive_scorer(spark, d):
     return out.select("step", snap("predictive", 6).alias("score"))
 
 
+def _forecast_sql(horizon):
+    lags = [f"value_lag{h}" for h in (horizon, horizon + 1)]
+    source = EV + ",\nevl AS (SELECT *, " + ", ".join(f"lag(value, {c[9:]}) OVER (ORDER BY step) AS {c}" for c in lags) + " FROM ev)"
+    known = f"{lags[1]} IS NOT NULL"
+    tail = f""", er AS (SELECT step, CASE WHEN block > 1 AND step > {horizon + 1} THEN abs(y - pred) END AS e FROM ls),
+pm AS (SELECT step, e, count(e) OVER ({BEFORE}) AS cn, avg(e) OVER ({BEFORE}) AS m, stddev_pop(e) OVER ({BEFORE}) AS sd FROM er)
+SELECT step, snap(CASE WHEN e IS NOT NULL AND cn > 0 AND m + 3 * sd > 0 THEN least(1.0, e / (m + 3 * sd)) ELSE 0.0 END, 6) AS score FROM pm"""
+    return block_sql.least_squares(source, "evl", lags, "value", 6, where=known, tail=tail)
+
+
+@query("n3_forecast_scorer", _forecast_sql(1))
+def n3_forecast_scorer(spark, d):
+    """Errors of a linear forecast of the next value."""
+    return anomaly.forecast_scorer(blocks_of(spark, d, "ev_reg"), "value").select("step", snap("predictive", 6).alias("score"))
+
+
+@query("n3_forecast_scorer_horizon_5", _forecast_sql(5))
+def n3_forecast_scorer_horizon_5(spark, d):
+    return anomaly.forecast_scorer(blocks_of(spark, d, "ev_reg"), "value", horizon=5).select("step", snap("predictive", 6).alias("score"))
+
+
 HST_FEATURES = {"value": (0.0, 500.0), "k": (0.0, 100.0), "hour": (0.0, 24.0)}
 
 

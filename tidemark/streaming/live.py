@@ -6,6 +6,7 @@ Each operator has the same result as its batch counterpart on the same rows (che
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,10 +28,10 @@ def source(spark: SparkSession, folder: str, schema: str, files_per_batch: int |
     return reader.load(folder)
 
 
-def run_available(df: DataFrame, batch_fn=None, path: str | None = None, mode: str = "append") -> None:
-    """Process what is there and stop; checkpoints go to the shared folder."""
+def run_available(df: DataFrame, batch_fn=None, path: str | None = None, mode: str = "append", progress: str | None = None) -> None:
+    """Process what is there and stop; checkpoints go to the shared folder. With the ``progress`` of an earlier run it goes on from there."""
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", scratch_path(df.sparkSession, "progress"))
+    writer = writer.option("checkpointLocation", progress or scratch_path(df.sparkSession, "progress"))
     if batch_fn is not None:
         writer = writer.foreachBatch(batch_fn)
     else:
@@ -85,6 +86,51 @@ def keyed_baselines(events: DataFrame) -> DataFrame:
     )
 
 
+ORDERED_OUT = "user_id long, step long, event_id long, value double, event_type string, mean double, no_change double, last_class string"
+ORDERED_STATE = (
+    "version int, n long, seen long, total double, last double, last_class string, "
+    "ids array<long>, times array<long>, held array<double>, types array<string>"
+)
+
+
+def _ordered(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Test-then-train in event time: rows wait in the state until the watermark has passed them."""
+    n, seen, total, last, last_class, *held = state.get[1:] if state.exists else (0, 0, 0.0, None, None, [], [], [], [])
+    waiting = list(zip(*held, strict=True))
+    if not state.hasTimedOut:
+        for part in batches:
+            value = part["value"].astype(object).where(part["value"].notna(), None)
+            kind = part["event_type"].astype(object).where(part["event_type"].notna(), None)
+            waiting += zip(part["event_id"].tolist(), part["_ms"].tolist(), value.tolist(), kind.tolist(), strict=True)
+    mark = state.getCurrentWatermarkMs()
+    waiting.sort(key=lambda r: (r[1], r[0]))
+    ready = bisect_left(waiting, mark, key=lambda r: r[1])
+    out = []
+    for event_id, _, value, kind in waiting[:ready]:
+        n += 1
+        out.append((key[0], n, event_id, value, kind, total / seen if seen else 0.0, 0.0 if last is None else last, last_class))
+        if value is not None:  # a row without a value is predicted, not learned
+            seen, total, last = seen + 1, total + value, value
+        last_class = last_class if kind is None else kind
+    rest = waiting[ready:]
+    state.update((1, n, seen, total, last, last_class, *([r[i] for r in rest] for i in range(4))))
+    if rest:
+        state.setTimeoutTimestamp(max(rest[0][1], 1))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in ORDERED_OUT.split(", ")])
+
+
+def ordered_baselines(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Baseline predictions per user in the order of (``ts``, ``event_id``), whatever order the rows come in.
+
+    A row is predicted and learned once the watermark (the largest time seen less ``delay``) is beyond its time; so rows
+    that come up to ``delay`` late take their place. What is later still is dropped by Spark. A key keeps only the rows of the
+    last ``delay``. Rows without a time are left out.
+    """
+    timed = events.where(F.col(ts).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    rows = timed.select("user_id", "event_id", "value", "event_type", "_ts", F.unix_millis("_ts").alias("_ms"))
+    return rows.groupBy("user_id").applyInPandasWithState(_ordered, ORDERED_OUT, ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # ---------------------------------------------------------------- metrics and models over micro-batches
 
 
