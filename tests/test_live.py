@@ -38,3 +38,34 @@ def test_block_model_survives_a_restart(spark):
     again(df.filter("x >= 50"), 1)
     assert sorted(r["m"] for r in again.scored().filter("x >= 50").collect()) == want
     assert again.scored().count() == 100 and any(v != 0 for v in want)
+
+
+def test_late_rows_take_their_place(spark):
+    """Files in any order within the delay give the answer of a plain loop in event order; rows beyond the watermark are out."""
+    import datetime as dt
+    import random
+
+    folder, out, progress = (scratch_path(spark, n) for n in ("in", "out", "progress"))
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+    start, rnd = dt.datetime(2024, 1, 1), random.Random(3)
+    rows = [
+        (i, start + dt.timedelta(minutes=i // 2), i % 3, None if i % 11 == 0 else f"t{i % 4}", None if i % 7 == 0 else float(i * i % 50)) for i in range(300)
+    ]
+    came = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.randint(0, 25)))
+    for part in (came[:100], came[100:180], [*came[180:], (999, start, 1, "late", 1.0), (1000, None, 1, "x", 1.0)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        live.run_available(live.ordered_baselines(live.source(spark, folder, schema), delay="30 minutes"), path=out, progress=progress)
+    got = {r["event_id"]: r for r in spark.read.parquet(out).collect()}
+    want, mark = {}, max(r[1] for r in rows) - dt.timedelta(minutes=30)
+    for u in range(3):
+        seen, last, kind, n = [], 0.0, None, 0
+        for i, t, _, c, v in (r for r in sorted(rows, key=lambda r: (r[1], r[0])) if r[2] == u and r[1] < mark):
+            n += 1
+            want[i] = (n, sum(seen) / len(seen) if seen else 0.0, last, kind)
+            if v is not None:
+                seen, last = [*seen, v], v
+            kind = c or kind
+    assert got.keys() == want.keys()
+    for i, (n, mean, last, kind) in want.items():
+        r = got[i]
+        assert (r["step"], r["no_change"], r["last_class"]) == (n, last, kind) and abs(r["mean"] - mean) < 1e-9

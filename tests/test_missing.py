@@ -88,3 +88,35 @@ def test_smallest_rows_are_exact(spark):
     assert got == {(b, s) for b, all_ in by.items() for _, s in sorted(all_)[:50]}
     # a hash of 53 bits: the sample of a long block does not lean to its start
     assert rows.select(F.countDistinct("u")).first()[0] == 20_000
+
+
+def test_forecasts_with_a_horizon_and_missing_values(spark):
+    """A forecast uses values known ``horizon`` rows before and blocks before; a plain loop over the same blocks agrees."""
+    import random
+
+    import numpy as np
+
+    from tidemark.operators.anomaly import forecast_scorer, forecasts
+    from tidemark.plans.blocks import Blocks
+    from tidemark.plans.stream import prepare
+
+    rnd = random.Random(4)
+    y = [10.0, 12.0]
+    for _ in range(598):
+        y.append(0.6 * y[-1] + 0.3 * y[-2] + rnd.random())
+    y[50], y[300] = None, None
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(y)], "i bigint, y double")
+    blocks = Blocks(prepare(df, ("i",), "y", ()), 6)
+    got = {r["step"]: r["forecast"] for r in forecasts(blocks, "y", order=2, horizon=3).collect()}
+    assert sorted(got) == list(range(1, 601))
+    for step in (1, 99, 100, 101, 150, 304, 305, 600):
+        block = (step - 1) // 100
+        rows = [(y[t - 3], y[t - 4], y[t]) for t in range(4, block * 100) if None not in (y[t - 3], y[t - 4], y[t])]
+        if block == 0 or y[step - 4] is None or y[step - 5] is None:
+            assert got[step] is None
+            continue
+        x = np.array([(1.0, a, b) for a, b, _ in rows])
+        w = np.linalg.lstsq(x, np.array([c for *_, c in rows]), rcond=None)[0]
+        assert abs(got[step] - w @ [1.0, y[step - 4], y[step - 5]]) < 1e-2
+    scores = {r["step"]: r["predictive"] for r in forecast_scorer(blocks, "y", horizon=3).collect()}
+    assert scores[301] == 0.0 and scores[50] == 0.0 and max(scores.values()) <= 1.0
