@@ -7,13 +7,15 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.functions.columns import uniform
 from tidemark.operators.baselines import class_list
-from tidemark.operators.bayes import best_class, gaussian_nb
-from tidemark.operators.neighbours import knn_class, nearest
+from tidemark.operators.bayes import gaussian_nb
+from tidemark.operators.neighbours import first_places, knn_class, nearest, nearest_of
 from tidemark.operators.trees import EXTRA, Cells, Forest, Model, TreeSpec
 from tidemark.plans.blocks import Blocks
 from tidemark.plans.stream import Stream, prepare
@@ -196,6 +198,43 @@ def smallest(rows: DataFrame, cap: int) -> DataFrame:
     return few.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
 
 
+def long_memory(rows: DataFrame, states: list[list], classes: list, k: int) -> DataFrame:
+    """``rows`` (y, x, block) with ``long_pred``: the vote of the k nearest rows of the memory before their block, the smaller label on
+    ties of distance or of votes; NULL while that memory is empty. The memories are small and go with the job."""
+    place = {c: i for i, c in enumerate(classes)}
+    kept = []
+    for memory in states:
+        memory = sorted(memory, key=lambda r: place[r["y"]])
+        kept.append((np.array([r["x"] for r in memory], float), np.array([place[r["y"]] for r in memory], np.int64)))
+
+    def votes(x: np.ndarray, memory: np.ndarray, label: np.ndarray) -> np.ndarray:
+        dist = np.zeros((len(x), len(memory)))
+        for j in range(x.shape[1]):
+            gap = x[:, j][:, None] - memory[:, j][None, :]
+            dist += gap * gap
+        # without a distance all rows of the memory are alike
+        near, _ = first_places(np.nan_to_num(dist, nan=0.0, posinf=np.finfo(float).max), k)
+        row = np.repeat(np.arange(len(x)), near.shape[1])
+        count = np.bincount(row * len(classes) + label[near].ravel(), minlength=len(x) * len(classes))
+        return count.reshape(len(x), -1).argmax(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            best = np.full(batch.num_rows, -1)
+            for b in np.unique(block):
+                memory, label = kept[b - 1]
+                at = np.flatnonzero(block == b)
+                for part in np.array_split(at, len(at) // 1024 + 1) if len(label) else []:
+                    best[part] = votes(x[part], memory, label)
+            y = batch.column("y")
+            pred = pa.array(classes, y.type).take(pa.array(best, mask=best < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pred], [*batch.schema.names, "long_pred"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("long_pred", rows.schema["y"].dataType)]))
+
+
 def two_memories(
     blocks: Blocks, features: list[str], windows: tuple[int, ...] = (50, 100, 200), k: int = 5, cap: int = 200, seed: int = 42, name: str = "sam"
 ) -> DataFrame:
@@ -209,34 +248,22 @@ def two_memories(
     stream = blocks.stream
     target = stream.target
     classes = class_list(stream)
-    rows = stream.df.select("step", F.col(target).alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    rows = stream.df.withColumn("x", F.array(*[F.col(f).cast("double") for f in features]))
+    rows = nearest_of(stream, features, k, {f"near_{w}": w for w in windows}, rows, keep=("x",))
     for w in windows:
-        short = knn_class(nearest(stream, features, k, w), classes, name=f"short_{w}").select("step", f"short_{w}")
-        rows = rows.join(short, "step")
-    rows = written(rows.withColumn("block", blocks.number()), "memories")
+        rows = knn_class(rows, classes, name=f"short_{w}", near=f"near_{w}")
+    rows = written(rows.drop(*[f"near_{w}" for w in windows]).withColumn("block", blocks.number()), "memories")
     # long memory after block b: the cap rows with the smallest hash among the clean rows of blocks <= b
     clean = rows.filter(F.col(f"short_{windows[-1]}") == F.col("y"))
-    drawn = clean.select("block", uniform(F.lit(seed), F.col("step")).alias("u"), "step", "x", "y")
-    lists = smallest(drawn, cap).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("u", "step", "x", "y"))).alias("l")).collect()
-    memory, states = [], [{"long": []}]
+    drawn = smallest(clean.select("block", uniform(F.lit(seed), F.col("step")).alias("u"), "step"), cap)
+    found = clean.drop("block").join(F.broadcast(drawn), "step")  # at most cap rows a block
+    lists = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("u", "step", "x", "y"))).alias("l")).collect()
+    memory, states = [], [[]]
     by_block = {r["block"]: r["l"] for r in lists}
     for b in range(1, blocks.used):
         memory = sorted([*memory, *by_block.get(b, [])], key=lambda r: (r["u"], r["step"]))[:cap]
-        states.append({"long": [(list(r["x"]), r["y"]) for r in memory]})
-    kind = dict(rows.dtypes)["y"]
-    scored = blocks.with_state(states, f"long array<struct<x:array<double>,y:{kind}>>", rows.drop("block"))
-
-    def far(m):
-        gaps = F.zip_with(F.col("x"), m["x"], lambda a, b: (a - b) * (a - b))
-        return F.struct(F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v).alias("d"), m["y"].alias("y"))
-
-    top = F.slice(F.array_sort(F.transform("long", far)), 1, k)
-    scored = scored.withColumn("_top", top)
-
-    def votes(c):
-        return F.aggregate(F.filter("_top", lambda p: p["y"] == c), F.lit(0.0), lambda a, _: a + 1.0)
-
-    scored = scored.withColumn("long_pred", F.when(F.size("_top") > 0, best_class([votes(c) for c in classes], classes))).drop("long", "_top")
+        states.append(memory)
+    scored = long_memory(rows, states, classes, k).drop("x")
     options = [f"short_{w}" for w in windows] + ["long_pred"]
     scored = written(scored, "memories")
     wrong = scored.groupBy("block").agg(*[F.avg((F.coalesce(F.col(o) != F.col("y"), F.lit(True))).cast("double")).alias(o) for o in options])

@@ -33,5 +33,19 @@ def apply_spans(rows: DataFrame, n: int, reach: int, fn, schema: str, size: int
         pdf = pdf.sort_values("step", kind="stable").reset_index(drop=True)
         return fn(pdf, int(key[0]) * size + 1)
 
-    parts = min(parallelism(rows), math.ceil(n / size) + 1)
-    return cut.repartition(parts, "_span").groupBy("_span").applyInPandas(run, schema)
+    return _grouped(cut, n, size).applyInPandas(run, schema)
+
+
+def apply_spans_arrow(rows: DataFrame, n: int, reach: int, fn, schema: str, size: int | None = None) -> DataFrame:
+    """The same with Arrow tables, for results of nested columns."""
+    cut, size = spanned(rows, reach, size)
+
+    def run(key, table):
+        return fn(table.combine_chunks().sort_by("step"), key[0].as_py() * size + 1)
+
+    return _grouped(cut, n, size).applyInArrow(run, schema)
+
+
+def _grouped(cut: DataFrame, n: int, size: int):
+    parts = min(parallelism(cut), math.ceil(n / size) + 1)
+    return cut.repartition(parts, "_span").groupBy("_span")
