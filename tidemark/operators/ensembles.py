@@ -175,11 +175,12 @@ def stacking(blocks: Blocks, features: list[str], classes: list, index: Column,
     members = ["m_nb", "m_tree", "m_knn"]
     rows = rows.join(near, "step").withColumns({m: F.coalesce(m, F.lit(-1.0)) for m in members})
     keep = ["step", stream.target, *features, *members]
-    table = written(rows.select(*dict.fromkeys(keep)), "stacking")
-    level = Blocks(Stream(table, stream.n, stream.target, tuple(members)), blocks.count)
+    # by blocks: without their own folders, every block would read the rows of all
+    table = blocks.kept(rows.select(*dict.fromkeys(keep)), "stacking")
+    level = Blocks(Stream(table.drop("_block"), stream.n, stream.target, tuple(members)), blocks.count)
     edges = [[c + 0.5 for c in range(-1, len(classes) - 1)]] * len(members)
     meta = Forest(level, TreeSpec(name, members=5, rate=6.0, leaf_subset=2, vote="accuracy"), members, index, len(classes), edges)
-    return meta.run()
+    return meta.run(rows=table)
 
 
 def smallest(rows: DataFrame, cap: int) -> DataFrame:
