@@ -69,3 +69,32 @@ def test_late_rows_take_their_place(spark):
     for i, (n, mean, last, kind) in want.items():
         r = got[i]
         assert (r["step"], r["no_change"], r["last_class"]) == (n, last, kind) and abs(r["mean"] - mean) < 1e-9
+
+
+def test_users_share_a_state(spark):
+    """Many small users cost few calls of Python; users and rows without id keep their place, also over batches."""
+    import datetime as dt
+
+    folder, out, progress = (scratch_path(spark, n) for n in ("in", "out", "progress"))
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+    start, big = dt.datetime(2024, 1, 1), (1 << 60) + 1
+    users = [None, big, big + 1, *range(40)]
+    rows = [(None if i % 43 == 5 else i, start + dt.timedelta(seconds=i), users[i % 43], None if i % 4 == 1 else f"t{i % 3}", None if i % 5 == 2 else i / 7) for i in range(1290)]
+    for part in (rows[400:900], rows[:400] + rows[900:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        df = live.ordered_baselines(live.source(spark, folder, schema), delay="30 minutes", buckets=2)
+        live.run_available(df, path=out, progress=progress)
+    end = [(10_000, start + dt.timedelta(days=1), 0, "end", 0.0)]
+    spark.createDataFrame(end, schema).write.mode("append").parquet(folder)
+    live.run_available(live.ordered_baselines(live.source(spark, folder, schema), delay="30 minutes", buckets=2), path=out, progress=progress)
+    got = {(r["user_id"], r["step"]): r for r in spark.read.parquet(out).collect()}
+    assert len(got) == len(rows)
+    for u in users:
+        seen, last, kind = [], 0.0, None
+        for step, (i, _, _, c, v) in enumerate((r for r in rows if r[2] == u), 1):
+            r = got[u, step]
+            assert (r["event_id"], r["value"], r["event_type"], r["no_change"], r["last_class"]) == (i, v, c, last, kind)
+            assert abs(r["mean"] - (sum(seen) / len(seen) if seen else 0.0)) < 1e-9
+            if v is not None:
+                seen, last = [*seen, v], v
+            kind = c or kind

@@ -6,9 +6,9 @@ Each operator has the same result as its batch counterpart on the same rows (che
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,48 +87,90 @@ def keyed_baselines(events: DataFrame) -> DataFrame:
 
 
 ORDERED_OUT = "user_id long, step long, event_id long, value double, event_type string, mean double, no_change double, last_class string"
+#: By user (``users``, counts and last values) and by row that waits (``at`` is the place of its user).
 ORDERED_STATE = (
-    "version int, n long, seen long, total double, last double, last_class string, "
-    "ids array<long>, times array<long>, held array<double>, types array<string>"
+    "version int, users array<string>, n array<long>, seen array<long>, total array<double>, last array<double>, last_class array<string>, "
+    "at array<int>, ids array<long>, times array<long>, held array<double>, types array<string>"
 )
+#: Groups of users that share a state. A call of Python serves all users of a group, so that many small users cost as much as a few large ones.
+BUCKETS = 1024
+
+
+def _shifted(first: np.ndarray, start: np.ndarray, values: np.ndarray) -> pd.Series:
+    """The value of the row before; ``start`` in the first row of a user."""
+    out = np.empty(len(values), values.dtype)
+    out[1:] = values[:-1]
+    return pd.Series(np.where(first, start, out))
 
 
 def _ordered(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Test-then-train in event time: rows wait in the state until the watermark has passed them."""
-    n, seen, total, last, last_class, *held = state.get[1:] if state.exists else (0, 0, 0.0, None, None, [], [], [], [])
-    waiting = list(zip(*held, strict=True))
+    """Test-then-train in event time for a group of users: rows wait in the state until the watermark has passed them."""
+    users, n, seen, total, last, last_class, *held = state.get[1:] if state.exists else [[] for _ in range(11)]
+    waiting = [pd.DataFrame(dict(zip(("at", "id", "ms", "value", "kind"), held, strict=True)))] if held[0] else []
+    users, place = list(users), {u: i for i, u in enumerate(users)}
     if not state.hasTimedOut:
         for part in batches:
-            value = part["value"].astype(object).where(part["value"].notna(), None)
-            kind = part["event_type"].astype(object).where(part["event_type"].notna(), None)
-            waiting += zip(part["event_id"].tolist(), part["_ms"].tolist(), value.tolist(), kind.tolist(), strict=True)
-    mark = state.getCurrentWatermarkMs()
-    waiting.sort(key=lambda r: (r[1], r[0]))
-    ready = bisect_left(waiting, mark, key=lambda r: r[1])
-    out = []
-    for event_id, _, value, kind in waiting[:ready]:
-        n += 1
-        out.append((key[0], n, event_id, value, kind, total / seen if seen else 0.0, 0.0 if last is None else last, last_class))
-        if value is not None:  # a row without a value is predicted, not learned
-            seen, total, last = seen + 1, total + value, value
-        last_class = last_class if kind is None else kind
-    rest = waiting[ready:]
-    state.update((1, n, seen, total, last, last_class, *([r[i] for r in rest] for i in range(4))))
-    if rest:
-        state.setTimeoutTimestamp(max(rest[0][1], 1))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in ORDERED_OUT.split(", ")])
-
-
-def ordered_baselines(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+            codes, names = pd.factorize(part["_user"], use_na_sentinel=False)
+            names = [None if pd.isna(u) else u for u in names]
+            for u in names:
+                if place.setdefault(u, len(users)) == len(users):
+                    users.append(u)
+            at = np.array([place[u] for u in names], int)[codes] if len(part) else codes
+            columns = {"at": at, "id": part["event_id"], "ms": part["_ms"], "value": part["value"], "kind": part["event_type"]}
+            waiting.append(pd.DataFrame(columns))
+    new = len(users) - len(n)
+    n, seen = (np.array([*c, *[0] * new], np.int64) for c in (n, seen))
+    total, last = np.array([*total, *[0.0] * new], float), np.array([*last, *[np.nan] * new], float)
+    last_class = np.array([*last_class, *[None] * new], object)
+    kinds = {"at": "int64", "id": "Int64", "ms": "int64", "value": "float64", "kind": "object"}
+    rows = pd.concat([w.astype(kinds) for w in waiting], ignore_index=True) if waiting else pd.DataFrame(columns=list(kinds)).astype(kinds)
+    no_id = rows["id"].isna()
+    rows = rows.iloc[np.lexsort((rows["id"].fillna(0).to_numpy(np.int64), no_id, rows["ms"], rows["at"]))]  # rows without id come last
+    ready = rows["ms"].to_numpy() < state.getCurrentWatermarkMs()
+    rest, rows = rows[~ready], rows[ready].reset_index(drop=True)
+    if len(rows):
+        at, value, kind = rows["at"].to_numpy(), rows["value"].to_numpy(), rows["kind"].where(rows["kind"].notna(), None).to_numpy(object)
+        first = np.append(True, at[1:] != at[:-1])
+        ends = np.append(np.flatnonzero(first)[1:], len(at)) - 1
+        learned = ~np.isnan(value)  # a row without a value is predicted, not learned
+        amount = np.where(learned, value, 0.0)
+        before_n = _shifted(first, seen[at], learned.astype(np.int64)).groupby(at).cumsum().to_numpy()
+        before = _shifted(first, total[at], amount).groupby(at).cumsum().to_numpy()
+        before_last = _shifted(first, last[at], value).groupby(at).ffill().to_numpy()
+        before_class = _shifted(first, last_class[at], kind).groupby(at).ffill()
+        before_class = before_class.where(before_class.notna(), None).to_numpy(object)
+        step = n[at] + np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1] + 1
+        names = pd.array([None if u is None else int(u) for u in users], dtype="Int64")
+        out = (
+            names.take(at), step, rows["id"], value, kind, np.divide(before, before_n, out=np.zeros(len(at)), where=before_n > 0),
+            np.where(np.isnan(before_last), 0.0, before_last), before_class,
+        )
+        yield pd.DataFrame(dict(zip([c.split()[0] for c in ORDERED_OUT.split(", ")], out, strict=True)))
+        who = at[ends]
+        n[who], seen[who], total[who] = step[ends], before_n[ends] + learned[ends], before[ends] + amount[ends]
+        last[who] = np.where(learned[ends], value[ends], before_last[ends])
+        last_class[who] = [b if k is None else k for k, b in zip(kind[ends], before_class[ends], strict=True)]
+    ids = [None if i is pd.NA else i for i in rest["id"].tolist()]
+    types = [None if pd.isna(k) else k for k in rest["kind"]]
+    by_user = (c.tolist() for c in (n, seen, total, last, last_class))
+    state.update((2, users, *by_user, rest["at"].tolist(), ids, rest["ms"].tolist(), rest["value"].tolist(), types))
+    if len(rest):
+        state.setTimeoutTimestamp(max(int(rest["ms"].min()), 1))
+
+
+def ordered_baselines(events: DataFrame, ts: str = "ts", delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Baseline predictions per user in the order of (``ts``, ``event_id``), whatever order the rows come in.
 
     A row is predicted and learned once the watermark (the largest time seen less ``delay``) is beyond its time; so rows
-    that come up to ``delay`` late take their place. What is later still is dropped by Spark. A key keeps only the rows of the
-    last ``delay``. Rows without a time are left out.
+    that come up to ``delay`` late take their place. What is later still is dropped by Spark. A user keeps only the rows of the
+    last ``delay``; users share a state by ``buckets``, which a restart must keep. Rows without a time are left out.
     """
     timed = events.where(F.col(ts).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-    rows = timed.select("user_id", "event_id", "value", "event_type", "_ts", F.unix_millis("_ts").alias("_ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(_ordered, ORDERED_OUT, ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = timed.select(
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("_bucket"), F.col("user_id").cast("string").alias("_user"),
+        "event_id", "value", "event_type", "_ts", F.unix_millis("_ts").alias("_ms"),
+    )
+    return rows.groupBy("_bucket").applyInPandasWithState(_ordered, ORDERED_OUT, ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- metrics and models over micro-batches
