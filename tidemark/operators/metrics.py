@@ -38,13 +38,8 @@ def long_predictions(df: DataFrame, preds: list[str], y: str) -> DataFrame:
     return df.select("step", F.col(y).alias("y"), pairs.alias("p")).select("step", "y", "p.model", "p.pred")
 
 
-def regression_checkpoints(
-    df: DataFrame, n: int, preds: list[str], y: str, rule: str = "floor", skip_first: bool = False
-) -> DataFrame:
-    """(model, step, n_scored, MAE, RMSE, R2) for all prediction columns in one pass over the rows."""
-    every = interval(n, rule)
-    if skip_first:
-        df = df.filter(F.col("step") > 1)
+def error_sums(preds: list[str], y: str) -> list[Column]:
+    """Aggregates of the rows of a block that regression metrics are made of, for all prediction columns."""
     target = F.col(y).cast("double")
     aggs = []
     for i, p in enumerate(preds):
@@ -53,7 +48,22 @@ def regression_checkpoints(
         err = target - pred
         for name, value in {"n": F.lit(1.0), "a": F.abs(err), "s": err * err, "y": target, "q": target * target}.items():
             aggs.append(F.sum(F.when(ok, value)).alias(f"{name}_{i}"))
-    per_block = df.groupBy(block(F.col("step"), every).alias("block")).agg(*aggs)
+    return aggs
+
+
+def regression_checkpoints(
+    df: DataFrame, n: int, preds: list[str], y: str, rule: str = "floor", skip_first: bool = False
+) -> DataFrame:
+    """(model, step, n_scored, MAE, RMSE, R2) for all prediction columns in one pass over the rows."""
+    if skip_first:
+        df = df.filter(F.col("step") > 1)
+    per_block = df.groupBy(block(F.col("step"), interval(n, rule)).alias("block")).agg(*error_sums(preds, y))
+    return error_checkpoints(per_block, n, preds, rule)
+
+
+def error_checkpoints(per_block: DataFrame, n: int, preds: list[str], rule: str = "floor") -> DataFrame:
+    """Cumulative metrics from error sums per block."""
+    every = interval(n, rule)
     rows = per_block.select(
         "block",
         F.explode(

@@ -112,7 +112,6 @@ def scan(
     held |= {f"_v_{c}": e.cast("double") for c, (e, _) in decays.items()}
     if decays:
         held["_place"] = (F.col("step") - 1 - F.col("_chunk") * size).cast("double")  # 0 .. size - 1
-    rows = rows.withColumns(held)
 
     aggs = [F.sum(f"_v_{c}").alias(c) for c in sums]
     aggs += [F.max_by(f"_v_{c}", "step").alias(c) for c in lags]
@@ -120,25 +119,33 @@ def scan(
         F.sum(F.col(f"_v_{c}") * F.pow(F.lit(float(f)), F.lit(size - 1.0) - F.col("_place"))).alias(c)
         for c, (_, f) in decays.items()
     ]
-    totals = rows.groupBy(*by, "_chunk").agg(*aggs)
+    totals = rows.withColumns(held).groupBy(*by, "_chunk").agg(*aggs)
     levels = _before_one_level if n_chunks <= GROUP else _before_two_levels
     before = levels(totals, by, sums, lags, decays, size, reach)
-    rows = attach(rows, before, [*by, "_chunk"], None if by else n_chunks)
 
+    # rows are shuffled as they came: what is summed is computed behind the shuffle, what was before a chunk is joined at the end
+    rows = rows.repartition(*by, "_chunk").withColumns(held)
     order = Window.partitionBy(*by, "_chunk").orderBy("step")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
     # as text: there may be many sums, and one parsed expression is cheaper than a tree of column calls
     keys = ", ".join(f"`{k}`" for k in (*by, "_chunk"))
     frame = f"(PARTITION BY {keys} ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    out = {c: F.expr(f"coalesce(`_b_{c}`, 0D) + coalesce(sum(`_v_{c}`) OVER {frame}, 0D)") for c in sums}
-    for c in lags:
-        out[c] = F.when(F.row_number().over(order) == 1, F.col(f"_b_{c}")).otherwise(F.lag(f"_v_{c}").over(order))
+    here = {f"_h_{c}": F.expr(f"coalesce(sum(`_v_{c}`) OVER {frame}, 0D)") for c in sums}
+    here |= {f"_h_{c}": F.lag(f"_v_{c}").over(order) for c in lags}
     for c, (_, factor) in decays.items():
         base, place = F.lit(float(factor)), F.col("_place")
-        local = F.sum(F.col(f"_v_{c}") * F.pow(base, -place)).over(past) * F.pow(base, place - 1)
-        out[c] = F.coalesce(local, zero) + F.coalesce(F.col(f"_b_{c}"), zero) * F.pow(base, place)
-    return rows.withColumns(out).drop("_chunk", *held, *[f"_b_{c}" for c in (*sums, *lags, *decays)])
+        here[f"_h_{c}"] = F.coalesce(F.sum(F.col(f"_v_{c}") * F.pow(base, -place)).over(past) * F.pow(base, place - 1), zero)
+    if lags:
+        here["_first"] = F.lag("step").over(order).isNull()  # one frame for this and the lags
+    rows = attach(rows.withColumns(here), before, [*by, "_chunk"], None if by else n_chunks)
+
+    out = {c: F.expr(f"coalesce(`_b_{c}`, 0D) + `_h_{c}`") for c in sums}
+    for c in lags:
+        out[c] = F.when(F.col("_first"), F.col(f"_b_{c}")).otherwise(F.col(f"_h_{c}"))
+    for c, (_, factor) in decays.items():
+        out[c] = F.col(f"_h_{c}") + F.coalesce(F.col(f"_b_{c}"), zero) * F.pow(F.lit(float(factor)), F.col("_place"))
+    return rows.withColumns(out).drop("_chunk", *held, *here, *[f"_b_{c}" for c in (*sums, *lags, *decays)])
 
 
 def lagged(stream: Stream, column: str, lags: list[int], rows: DataFrame | None = None) -> DataFrame:
