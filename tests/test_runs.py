@@ -9,6 +9,7 @@ from tidemark.fixed_values import LIBRARIES
 from tidemark.operators import baselines, runs
 from tidemark.operators.metrics import classification_checkpoints, long_predictions, regression_checkpoints
 from tidemark.plans.stream import prepare
+from tidemark.queries import QUERIES
 
 KINDS = ["view", "click", "error", None]
 
@@ -69,3 +70,32 @@ def test_columns_are_computed_once(spark):
     st = prepare(rows, ("id",), "y", ("y",), columns=(F.col("id"), twice("x").alias("y")))
     assert st.df.where(F.col("y") != 6 * (F.col("step") - 1)).count() == 0
     assert (st.n, made.value, st.df.columns) == (5000, 5000, ["_part", "id", "y", "step"])
+
+
+def test_best_binary_from_shared_scans(spark, tmp_path, monkeypatch):
+    """The frame of the binary task: two scans for the runs of all tasks, and the values of a plain loop."""
+    n, start = 130, datetime.datetime(2024, 1, 1)
+    kinds = [["view", "error", "click"][(i * i + i // 7) % 3] for i in range(n)]
+    events = [(i, start + datetime.timedelta(minutes=i), i % 5, kinds[i], float(i % 50), '{"k": 1}') for i in range(n)]
+    orders = [(i, start + datetime.timedelta(days=i), float(i), "FOP"[i % 3], "5-LOW") for i in range(40)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    columns = "o_orderkey long, o_orderdate timestamp, o_totalprice double, o_orderstatus string, o_orderpriority string"
+    spark.createDataFrame(orders, columns).write.parquet(f"{tmp_path}/orders.parquet")
+    calls, scan = [], baselines.scan
+    monkeypatch.setattr(baselines, "scan", lambda *a, **k: calls.append(1) or scan(*a, **k))
+    got = {(r["library"], r["model"]): r["value"] for r in QUERIES["c11_best_binary"](spark, str(tmp_path)).collect() if r["metric"] == "Accuracy"}
+    assert len(calls) == 2
+
+    labels = [int(k == "error") for k in kinds]
+    preds = {
+        "last_class": [None, *labels[:-1]],
+        "majority": [None if i == 0 else int(sum(labels[:i]) * 2 > i) for i in range(n)],
+    }
+    means = {}
+    for library, every, tail in ((LIBRARIES[0], 3, False), (LIBRARIES[1], 2, True)):
+        steps = [s for s in range(1, n + 1) if s % every == 0 or (tail and s == n)]
+        for model, pred in preds.items():
+            values = [sum(p == y for p, y in zip(pred[1:s], labels[1:s])) / (s - 1) for s in steps]
+            means[library, runs.SHOWN_AS[library][model]] = sum(values) / len(values)
+    best = max(means.values())
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in means.items() if v > best - 1e-7}
