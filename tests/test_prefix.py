@@ -65,6 +65,20 @@ def test_majority_ties_take_the_smallest_label(spark):
     assert got == [None, "b", "a"]
 
 
+@pytest.mark.parametrize("group", [4096, 4])
+@pytest.mark.parametrize("file_rows", [25_000, 1])
+def test_previous_text_without_sorting_for_totals(spark, monkeypatch, group, file_rows):
+    """Rows at chunk ends hand on their text, missing or not, in both ways to deal out chunks; no aggregate sorts the rows for it."""
+    monkeypatch.setattr(prefix, "GROUP", group)
+    monkeypatch.setattr(prefix, "FILE_ROWS", file_rows)
+    labels = [None if i % 4 in (1, 2) and i % 3 else "abc"[i * i % 3] for i in range(100)]
+    st = prepare(spark.createDataFrame(list(enumerate(labels)), "id int, label string").orderBy(F.rand(2)), ("id",), "label")
+    st.__dict__["chunk_rows"] = 6
+    for out in (baseline_classifiers(st, ["a", "b", "c"]), prefix.scan(st, lags={"last_class": F.col("label")})):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [r["last_class"] for r in out.orderBy("step").collect()] == [None, *labels[:-1]]
+
+
 @pytest.mark.parametrize("n", [1, 49, 50, 51, 578])
 def test_checkpoint_rules(spark, n):
     rows = spark.range(1, n + 1).withColumnRenamed("id", "step")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import LIBRARIES
 from tidemark.operators import baselines, runs
 from tidemark.operators.metrics import classification_checkpoints, long_predictions, regression_checkpoints
+from tidemark.plans import stream as stream_module
 from tidemark.plans.stream import prepare
 from tidemark.queries import QUERIES
+from tidemark.sources import tables
 
 KINDS = ["view", "click", "error", None]
 
@@ -57,6 +59,27 @@ def test_tasks_share_a_scan(spark, folder, monkeypatch):
                 assert got[key][c] == (None if v is None else pytest.approx(v, nan_ok=True)), (key, c)
 
 
+def test_runs_prepare_targets_only(spark, tmp_path, monkeypatch):
+    """Runs read neither features nor blocks: their stream has no features and no file for every few rows."""
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(minutes=i % 70), i % 5, KINDS[i % 4], float(i % 50), '{"k": 1}') for i in range(2000)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).orderBy(F.rand(5)).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stream_module, "FILE_ROWS", 10)
+    got = {tuple(r) for r in runs.dataset_runs(spark, str(tmp_path), "events").collect()}
+    tables_made = {base for _, folder, base in tables._prepared if folder == str(tmp_path)}
+    assert tables_made == {"ev_targets"}
+    narrow = tables.target_stream(spark, str(tmp_path), "ev_bin")
+    assert len(narrow.df.inputFiles()) <= stream_module.parallelism(narrow.df, 4)
+    assert {"props", "user_id", "hour", "u", "k"}.isdisjoint(narrow.df.columns)
+
+    whole = tables.stream(spark, str(tmp_path), "ev_bin")
+    columns = ["step", "event_id", "ts", "event_type", "value", "is_error"]
+    assert sorted(narrow.df.select(columns).collect()) == sorted(whole.df.select(columns).collect(), key=lambda r: r["step"])
+    assert tables.target_stream(spark, str(tmp_path), "ev_bin").df.columns == whole.df.columns
+    assert {tuple(r) for r in runs.dataset_runs(spark, str(tmp_path), "events").collect()} == got
+
+
 def test_columns_are_computed_once(spark):
     """Ranges are taken from a first pass over the input; what is made of it is not computed there."""
     made = spark.sparkContext.accumulator(0)

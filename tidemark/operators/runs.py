@@ -20,7 +20,7 @@ from tidemark.operators.metrics import confusion_checkpoints, error_checkpoints,
 from tidemark.plans.checkpoints import block, checkpoint_steps, interval, reported
 from tidemark.plans.stream import Stream
 from tidemark.session import written
-from tidemark.sources.tables import stream
+from tidemark.sources.tables import stream, target_stream
 
 RULES = dict(zip(LIBRARIES, ("ceil", "floor")))
 # Model names under which the two libraries report the same baselines.
@@ -104,7 +104,7 @@ def clock(st: Stream, column: str, rule: str) -> DataFrame:
 def dataset_runs(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
     """All runs of all tasks of one dataset, as a table. Its rows are scanned once, whatever the number of tasks and libraries."""
     tasks = {task: sets[dataset] for task, sets in DATASETS.items() if dataset in sets}
-    streams = {task: stream(spark, sf_dir, name) for task, (name, _) in tasks.items()}
+    streams = {task: target_stream(spark, sf_dir, name) for task, (name, _) in tasks.items()}
     with ThreadPoolExecutor(len(tasks)) as pool:
         classes = dict(zip(streams, pool.map(lambda t: None if t == "Regression" else class_list(streams[t]), streams)))
     st, column = next(iter(streams.values())), next(iter(tasks.values()))[1]

@@ -13,10 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.stream import MAX_BROADCAST_CHUNKS, Stream
+from tidemark.plans.stream import FILE_ROWS, MAX_BROADCAST_CHUNKS, Stream
 
 # totals that one task may scan; above it the totals are scanned in two levels
 GROUP = 4096
+# tasks that the chunks of a long stream are dealt to
+MAX_TASKS = 2048
 
 
 def attach(rows: DataFrame, small: DataFrame, keys: list[str], n_small: int | None) -> DataFrame:
@@ -114,17 +116,22 @@ def scan(
         held["_place"] = (F.col("step") - 1 - F.col("_chunk") * size).cast("double")  # 0 .. size - 1
 
     aggs = [F.sum(f"_v_{c}").alias(c) for c in sums]
-    aggs += [F.max_by(f"_v_{c}", "step").alias(c) for c in lags]
     aggs += [
         F.sum(F.col(f"_v_{c}") * F.pow(F.lit(float(f)), F.lit(size - 1.0) - F.col("_place"))).alias(c)
         for c, (_, f) in decays.items()
     ]
-    totals = rows.withColumns(held).groupBy(*by, "_chunk").agg(*aggs)
+    totals = rows.withColumns(held).groupBy(*by, "_chunk").agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+    if lags:
+        # last rows of full chunks, no chunk follows another; as aggregates, texts among them would have all rows sorted
+        last = rows.where(F.col("step") % size == 0).select(*by, "_chunk", *[e.alias(c) for c, e in lags.items()])
+        totals = attach(totals, last, [*by, "_chunk"], None if by else n_chunks)
     levels = _before_one_level if n_chunks <= GROUP else _before_two_levels
     before = levels(totals, by, sums, lags, decays, size, reach)
 
     # rows are shuffled as they came: what is summed is computed behind the shuffle, what was before a chunk is joined at the end
-    rows = rows.repartition(*by, "_chunk").withColumns(held)
+    # a long stream has tasks of about a chunk each, short ones are put together by size
+    tasks = [] if by or size < FILE_ROWS else [min(2 * n_chunks, MAX_TASKS)]
+    rows = rows.repartition(*tasks, *by, "_chunk").withColumns(held)
     order = Window.partitionBy(*by, "_chunk").orderBy("step")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
