@@ -98,3 +98,58 @@ def test_users_share_a_state(spark):
             if v is not None:
                 seen, last = [*seen, v], v
             kind = c or kind
+
+
+def _keyed_loop(triggers):
+    """Rows of the live baselines, by a loop over the rows of each user and trigger."""
+    out, users = [], {}
+    for rows in triggers:
+        for i, u, c, v in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+            s = users.setdefault(u, {"n": 0, "seen": 0, "total": 0.0, "fs": 0.0, "fn": 0.0, "last": 0.0, "class": None, "id": -1})
+            if i is not None and i <= s["id"]:
+                out.append((u, None, i, v, c, None, None, None, None, True))
+                continue
+            s["n"] += 1
+            mean, fading = s["total"] / s["seen"] if s["seen"] else 0.0, s["fs"] / s["fn"] if s["fn"] else 0.0
+            out.append((u, s["n"], i, v, c, mean, fading, s["last"], s["class"], False))
+            s["id"] = s["id"] if i is None else i
+            if v is not None:
+                s |= {"seen": s["seen"] + 1, "total": s["total"] + v, "fs": s["fs"] * 0.99 + v, "fn": s["fn"] * 0.99 + 1.0, "last": v}
+            s["class"] = s["class"] if c is None else c
+    return out
+
+
+def test_keyed_users_share_a_state(spark):
+    """One call of Python for many users: late, repeated and incomplete rows, large ids and users without id, over triggers."""
+    from collections import Counter
+
+    folder, out, progress = (scratch_path(spark, n) for n in ("in", "out", "progress"))
+    schema, big = "event_id bigint, user_id bigint, event_type string, value double", (1 << 60) + 1
+    users = [None, big, big + 1, 0, *range(100, 140)]
+    rows = [
+        (big + i, users[i % 44 if i % 3 else 1], None if i % 4 == 1 else f"t{i % 3}", None if i % 5 == 2 else i / 7) for i in range(2200)
+    ]
+    blank = [(None, u, "x", 1.5) for u in users[:4]]
+    # the second trigger has a repeated row, rows older than the first one's, and new users; the third has rows without id once more
+    triggers = [rows[600:1400] + blank, rows[1390:1900] + rows[1700:1710] + rows[:50] + [(7, 999, None, None)], rows[1900:] + blank + [(5, 999, "a", 1.0), (8, 999, "b", 2.0)]]
+    for part in triggers:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        live.run_available(live.keyed_baselines(live.source(spark, folder, schema), buckets=2), path=out, progress=progress)
+    got = spark.read.parquet(out)
+    assert got.columns == [c.split()[0] for c in live.BASELINES_OUT.split(", ")]
+    assert Counter(map(tuple, got.collect())) == Counter(_keyed_loop(triggers))
+
+
+def test_a_write_of_many_files_is_learned_in_event_order(spark):
+    """Files of one write hold rows of the same users in no order; none of them is late."""
+    from tidemark.queries import QUERIES
+
+    d = scratch_path(spark, "table")
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = [(i, None, i % 7, f"t{i % 4}", float(i * i % 50), "{}") for i in range(400)]
+    spark.createDataFrame(rows, schema).repartition(4, F.col("event_id") % 4).write.parquet(f"{d}/events.parquet")
+    got = {r["event_id"]: (r["user_id"], r["step"], r["mean"], r["no_change"], r["last_class"]) for r in QUERIES["l2_keyed_state"](spark, d).collect()}
+    want = _keyed_loop([[(i, u, c, v) for i, _, u, c, v, _ in rows]])
+    assert len(got) == len(want)
+    for u, step, i, _, _, mean, _, no_change, last_class, _ in want:
+        assert got[i][:2] + got[i][3:] == (u, step, no_change, last_class) and abs(got[i][2] - mean) < 1e-5

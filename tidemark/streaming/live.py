@@ -6,6 +6,7 @@ Each operator has the same result as its batch counterpart on the same rows (che
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,45 +46,115 @@ BASELINES_OUT = (
     "user_id long, step long, event_id long, value double, event_type string, mean double, fading double, no_change double, "
     "last_class string, late boolean"
 )
-BASELINES_STATE = "version int, n long, seen long, total double, fade_s double, fade_n double, last double, last_class string, last_id long"
+#: By user of a group; ``last`` is NaN and ``last_class`` null before the first value and class.
+BASELINES_STATE = (
+    "version int, users array<long>, n array<long>, seen array<long>, total array<double>, fade_s array<double>, fade_n array<double>, "
+    "last array<double>, last_class array<string>, last_id array<long>"
+)
+#: Groups of users that share a state. A call of Python serves all users of a group, so that many small users cost as much as a few large ones.
+BUCKETS = 1024
+#: Rows that go back to Spark as one, with an array for each column: Spark's own Python work for a returned row is several times that of learning it.
+PACKED = 64
+#: Packed rows of a frame that is given back; Spark sends what it was given once that is more than ``maxRecordsPerBatch``.
+PIECE = 1000
+
+
+def _last_where(mask: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the last row of the same user with ``mask``, before a row and up to it; -1 for none. ``start``: place of the user's first row."""
+    upto = np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
+    before = np.append(-1, upto)[: len(mask)]
+    return np.where(before >= start, before, -1), np.where(upto >= start, upto, -1)
+
+
+def _nulls(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Whole numbers with None where ``mask``."""
+    return np.where(mask, None, values) if mask.any() else values
 
 
 def _baselines(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Test-then-train over one key: predictions come from the rows before, in event order."""
-    n, seen, total, fade_s, fade_n, last, last_class, last_id = state.get[1:] if state.exists else (0, 0, 0.0, 0.0, 0.0, None, None, -1)
-    # rows of one trigger come unsorted
-    rows = pd.concat(list(batches)).sort_values("event_id", kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        late = r.event_id <= last_id
-        if late:
-            # an older row cannot be put back in order: it is reported, scored by nothing and not learned
-            out.append((key[0], None, r.event_id, r.value, r.event_type, None, None, None, None, True))
-            continue
-        n += 1
-        out.append(
-            (
-                key[0], n, r.event_id, r.value, r.event_type, total / seen if seen else 0.0, fade_s / fade_n if fade_n else 0.0,
-                last if last is not None else 0.0, last_class, False,
-            )
-        )
-        last_id = r.event_id
-        if pd.notna(r.value):  # a row without a value is predicted, not learned
-            seen, total, last = seen + 1, total + r.value, r.value
-            fade_s, fade_n = fade_s * 0.99 + r.value, fade_n * 0.99 + 1.0
-        if r.event_type is not None:
-            last_class = r.event_type
-    state.update((2, n, seen, total, fade_s, fade_n, last, last_class, last_id))
-    names = [c.split()[0] for c in BASELINES_OUT.split(", ")]
-    frame = pd.DataFrame(out, columns=names)
-    yield frame.astype({"step": "Int64"})
-
-
-def keyed_baselines(events: DataFrame) -> DataFrame:
-    """Baseline predictions per user with constant state per key."""
-    return events.groupBy("user_id").applyInPandasWithState(
-        _baselines, BASELINES_OUT, BASELINES_STATE, "append", GroupStateTimeout.NoTimeout
+    """Test-then-train for a group of users: predictions come from the rows before of the user, in event order."""
+    users, n, seen, total, fade_s, fade_n, last, last_class, last_id = state.get[1:] if state.exists else [[] for _ in range(9)]
+    classes: dict = {}
+    parts = []
+    for part in batches:
+        codes, names = pd.factorize(part["event_type"])
+        names = np.array([classes.setdefault(c, len(classes)) for c in names] + [-1], np.int64)  # the last one is for rows without
+        parts.append((*(part[c].to_numpy() for c in ("_user", "_id", "_no_id", "value")), names[codes]))
+    user, ids, no_id, value, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    at, names = pd.factorize(np.concatenate([np.array(users, np.int64), user]))
+    at, new = at[len(users) :], len(names) - len(users)
+    n, seen, last_id = (np.array([*c, *[v] * new], np.int64) for c, v in ((n, 0), (seen, 0), (last_id, -1)))
+    total, fade_s, fade_n, last = (np.array([*c, *[v] * new], float) for c, v in ((total, 0.0), (fade_s, 0.0), (fade_n, 0.0), (last, np.nan)))
+    last_class = np.array([-1 if c is None else classes.setdefault(c, len(classes)) for c in last_class] + [-1] * new, np.int64)
+    classes_of = np.array([*classes, None], object)
+
+    # rows of one trigger come unsorted; rows without id come last
+    order = np.lexsort((ids, no_id, at))
+    at, ids, no_id, value, kind = at[order], ids[order], no_id[order], value[order], kind[order]
+    # an older row cannot be put back in order: it is reported, scored by nothing and not learned
+    late = ids <= last_id[at]
+    late[1:] |= (ids[1:] == ids[:-1]) & (at[1:] == at[:-1])
+    late &= ~no_id
+    size = len(at)
+    step, mean, fading, no_change = np.zeros(size, np.int64), *(np.full(size, np.nan) for _ in range(3))
+    said = np.full(size, -1)
+
+    timely = np.flatnonzero(~late)
+    if len(timely):
+        a, v, k = at[timely], value[timely], kind[timely]
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        stops = np.append(starts[1:], len(a))
+        ends, who, start = stops - 1, a[starts], np.repeat(starts, stops - starts)
+        step[timely] = n[a] + np.arange(len(a)) - start + 1
+        learned = ~np.isnan(v)  # a row without a value is predicted, not learned
+        j, j_end = _last_where(learned, start)
+        before = np.where(j >= 0, v[j], last[a])
+        no_change[timely] = np.where(np.isnan(before), 0.0, before)
+        c, c_end = _last_where(k >= 0, start)
+        said[timely] = np.where(c >= 0, k[c], last_class[a])
+        means, fades = array("d"), array("d")
+        for u, lo, hi in zip(who.tolist(), starts.tolist(), stops.tolist(), strict=True):
+            # sums of the rows one after another, so that they do not depend on the triggers
+            s, m, f, g = float(total[u]), int(seen[u]), float(fade_s[u]), float(fade_n[u])
+            for x in memoryview(v[lo:hi]):
+                means.append(s / m if m else 0.0)
+                fades.append(f / g if g else 0.0)
+                if x == x:
+                    s, m, f, g = s + x, m + 1, f * 0.99 + x, g * 0.99 + 1.0
+            total[u], seen[u], fade_s[u], fade_n[u] = s, m, f, g
+        mean[timely], fading[timely] = means, fades
+        n[who] = step[timely[ends]]
+        last[who] = np.where(j_end[ends] >= 0, v[j_end[ends]], last[who])
+        last_class[who] = np.where(c_end[ends] >= 0, k[c_end[ends]], last_class[who])
+        np.maximum.at(last_id, at[~late & ~no_id], ids[~late & ~no_id])
+
+    user = np.full(size, None) if key[0] < 0 else names[at]
+    columns = (user, _nulls(step, late), _nulls(ids, no_id), value, classes_of[kind], mean, fading, no_change, classes_of[said], late)
+    out = dict(zip([c.split()[0] for c in BASELINES_OUT.split(", ")], columns, strict=True))
+    for lo in range(0, size, PIECE * PACKED):
+        places = range(lo, min(lo + PIECE * PACKED, size), PACKED)
+        yield pd.DataFrame({c: [x[i : i + PACKED] for i in places] for c, x in out.items()})
+    by_user = (c.tolist() for c in (names, n, seen, total, fade_s, fade_n, last, classes_of[last_class], last_id))
+    state.update((3, *by_user))
+
+
+def keyed_baselines(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Baseline predictions per user with constant state per key, in the order of ``event_id`` within a trigger.
+
+    A row whose ``event_id`` is not beyond those that its user had in this trigger or an earlier one is late. Rows without id
+    come last in their trigger. Users share a state by ``buckets``, which a restart must keep; users without id have one of their own.
+    """
+    user, event = F.col("user_id").cast("long"), F.col("event_id").cast("long")
+    bucket = F.when(user.isNull(), -1).otherwise(F.pmod(F.xxhash64(user), F.lit(buckets)))
+    rows = events.select(  # numbers without nulls, which pandas would turn into floats
+        bucket.alias("_bucket"), F.coalesce(user, F.lit(0)).alias("_user"), F.coalesce(event, F.lit(0)).alias("_id"),
+        event.isNull().alias("_no_id"), F.col("value").cast("double").alias("value"), "event_type",
     )
+    names, types = zip(*(c.split() for c in BASELINES_OUT.split(", ")), strict=True)
+    arrays = ", ".join(f"{c} array<{t}>" for c, t in zip(names, types, strict=True))
+    packed = rows.groupBy("_bucket").applyInPandasWithState(_baselines, arrays, BASELINES_STATE, "append", GroupStateTimeout.NoTimeout)
+    return packed.select(F.inline(F.arrays_zip(*names)))
 
 
 ORDERED_OUT = "user_id long, step long, event_id long, value double, event_type string, mean double, no_change double, last_class string"
@@ -92,8 +163,6 @@ ORDERED_STATE = (
     "version int, users array<string>, n array<long>, seen array<long>, total array<double>, last array<double>, last_class array<string>, "
     "at array<int>, ids array<long>, times array<long>, held array<double>, types array<string>"
 )
-#: Groups of users that share a state. A call of Python serves all users of a group, so that many small users cost as much as a few large ones.
-BUCKETS = 1024
 
 
 def _shifted(first: np.ndarray, start: np.ndarray, values: np.ndarray) -> pd.Series:
